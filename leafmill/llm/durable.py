@@ -1,0 +1,29 @@
+"""Cutting lineage with tables written to the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder where none is set (local tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Later jobs start from the files, so a lost executor costs no recomputation of
+    what came before and nondeterministic plans are pinned. The files stay until the
+    folder is emptied."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
