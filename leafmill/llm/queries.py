@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .chat import chat_digest
 from .mixing import fair_mix
+from .ngram_join import near_duplicates
 from .quality_rules import quality_verdicts
 from .sharding import assign_shards
 from .sql import ORACLES
@@ -21,6 +22,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: five words, similarity 0.8 or more."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -42,7 +48,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mix_sources, op7_chat_format, op9_quality_rules, op10_shards)
+    f.__name__: f for f in (op4_mix_sources, op5_ngram_join, op7_chat_format, op9_quality_rules, op10_shards)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
