@@ -11,9 +11,21 @@ from ..sources.tables import read_table
 from .chat import chat_digest
 from .mixing import fair_mix
 from .ngram_join import near_duplicates
+from .quality_fm import quality_scores
 from .quality_rules import quality_verdicts
 from .sharding import assign_shards
 from .sql import ORACLES
+from .toxicity import toxicity_scores
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by compression distance."""
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by a factorisation machine."""
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +60,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mix_sources, op5_ngram_join, op7_chat_format, op9_quality_rules, op10_shards)
+    f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op7_chat_format, op9_quality_rules, op10_shards)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
