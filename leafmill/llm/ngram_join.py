@@ -4,14 +4,18 @@ Documents times shingles is a sparse 0/1 matrix M, and M times its transpose hol
 overlaps. Only entries that can reach the threshold are ever made:
 
 1. Texts with one and the same shingle set are one row of M (a class).
-2. Columns are ordered: rare ones by digest, then the commonest by their count over all
-   documents. A row that shares at least ceil(t n) columns with another meets it in its
-   first n - ceil(t n) + 1 columns, so the first block of the product takes those columns.
-3. In a column, a row meets the column's pivot first; when links have joined rows to
-   components, only rows of different components still meet, pivot after pivot (1, 8, 64,
-   ... of them), until every pair of the column is joined, ruled out or counted. Pairs
-   whose sizes rule out the threshold are discarded, as are those that the triangle
-   inequality of the Jaccard distance to the first pivot rules out.
+2. The first block of the product takes the columns whose digest is small. Of two rows with
+   similarity t, the smaller (n shingles) lacks at most e = floor(n (1 - t) / (1 + t)) of its
+   columns in the larger. So it need only be looked up in e + 1 of its columns: those
+   with the fewest rows, counted over all documents. A row with more than e columns of its
+   own alone needs none, which rules out documents that share passages only. A larger row
+   is found in all its columns of the block. (Where a row has fewer than e + 1 columns in the
+   block, the classical prefix of n - ceil(t n) + 1 columns of both stands in.)
+3. In a column, the rows meet the column's first looked-up row; when links have joined rows
+   to components, only rows of different components still meet, one looked-up row after the
+   other (1, 8, 64, ... of them), until every pair of the column is joined, ruled out or
+   counted. Pairs whose sizes rule out the threshold are discarded, as are those that the
+   triangle inequality of the Jaccard distance to the first row rules out.
 4. The full rows of the pairs that are left are multiplied in blocks, and a pair is a link
    if its overlap reaches ceil(t / (1 + t) (n_a + n_b)).
 5. Components come from the links by large-star and small-star steps.
@@ -38,9 +42,6 @@ from .durable import written
 from .shingles import least_overlap, mix, shingle_sets
 
 PERCENT = 80
-#: The commonest shingles that are ordered last: at most so many, by count, each counted so often.
-HOT, HOT_COUNT = 1 << 17, 8
-COUNTED = 1 << 21
 SMALL = 4
 
 
@@ -60,97 +61,79 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, _i64(flat))
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """The commonest shingles over all documents, rarest first; at most HOT of them.
+def block_part(n: int) -> float:
+    """The part of the digests that the first block takes of a row of n shingles."""
+    return 1.0 if n <= 40 else min(1.0, 0.15 + 1.2 / n**0.5)
 
-    Every task counts the shingles of its documents in stretches of COUNTED and passes on
-    those that occur three times in a stretch. The order serves speed alone: any order
-    gives the same links."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held, n = [], [], 0
+def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, fa, fb, tokens, x, quota for every document.
 
-        def close() -> None:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            kept.append((h[c >= 3], c[c >= 3]))
-
-        for b in batches:
-            for _, s in shingle_sets(b.column(0)):
-                held.append(s)
-                n += len(s)
-                if n >= COUNTED:
-                    close()
-                    held, n = [], 0
-        if held:
-            close()
-        for h, c in kept:
-            for i in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([_i64(h[i : i + (1 << 16)]), _i64(c[i : i + (1 << 16)])], ["h", "c"])
-
-    counts = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_COUNT)
-    top = counts.orderBy(F.col("c").desc(), "h").limit(HOT).toArrow()
-    return np.asarray(top.column("h").combine_chunks()).astype(np.int64).view(np.uint64)[::-1]
-
-
-def shingle_rows(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, fa, fb, prefix for every document.
-
-    (fa, fb) identify the set; the prefix is null where the task has met the set before."""
-    order = np.argsort(common)
-    ranked = common[order]
-    held = docs.sparkSession.sparkContext.broadcast((ranked, order))
+    (fa, fb) identify the set. ``tokens`` are the row's columns in the first block, by digest;
+    null where the task has met the set before. The first ``x`` of them may be looked up, and
+    ``quota`` of those must be."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = held.value
         met: set[tuple[int, int]] = set()
         for b in batches:
             m = b.num_rows
-            n, fa, fb = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            prefixes: list[np.ndarray | None] = [None] * m
+            n, x, quota = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+            fa, fb = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+            tokens: list[np.ndarray | None] = [None] * m
             for r, s in shingle_sets(b.column(1)):
-                n[r], fa[r] = len(s), mix(s).sum(dtype=np.uint64)
+                k = len(s)
+                n[r], fa[r] = k, mix(s).sum(dtype=np.uint64)
                 fb[r] = mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+                prefix = k - least_overlap(k, percent) + 1
+                need = k * (100 - percent) // (100 + percent) + 1
+                inside = lambda part, s=s: int(np.searchsorted(s, np.uint64(min(part * 2.0**64, 2.0**64 - 2048)), "right")) if part < 1 else len(s)
+                own = inside(block_part(k * 100 // percent + 1))
+                x[r], quota[r] = (own, need) if own >= need else (prefix, prefix)
                 key = (int(fa[r]), int(fb[r]))
                 if key in met:
                     continue
                 if len(met) < 1 << 18:
                     met.add(key)
-                take = len(s) - least_overlap(len(s), percent) + 1
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    is_hot = hot[at] == s
-                    rare = s[~is_hot]
-                    s = np.concatenate([rare, s[is_hot][np.argsort(rank[at[is_hot]])]]) if len(rare) < take else rare
-                prefixes[r] = s[:take]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _i64(n), _i64(fa), _i64(fb), _lists(prefixes)], ["doc_id", "n", "fa", "fb", "prefix"])
+                tokens[r] = s[: max(prefix, inside(block_part(k)))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _i64(n), _i64(fa), _i64(fb), _lists(tokens), _i64(x), _i64(quota)], ["doc_id", "n", "fa", "fb", "tokens", "x", "quota"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, fa long, fb long, tokens array<long>, x long, quota long")
+
+
+def columns_of(classes: DataFrame) -> DataFrame:
+    """(h, cid, n, looked_up): the shared columns of the first block in which a row is looked up."""
+    entries = classes.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long"))
+    entries = entries.toDF("h", "cid", "n2").repartition("h")
+    counts = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows")
+    shared = written(entries.join(counts.hint("shuffle_hash"), F.col("h") == F.col("_h")).select("h", "cid", "n2", "rows"), "shared")
+    # Of its x columns a row has x - mine alone; they count among its quota.
+    mine = shared.where("n2 % 2 = 1").withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("rows", "h")))
+    mine = mine.withColumn("mine", F.count("*").over(Window.partitionBy("cid")))
+    looked = mine.join(classes.select(F.col("cid").alias("_cid"), "x", "quota"), F.col("cid") == F.col("_cid"))
+    looked = looked.where("place <= quota - (x - mine)").select(F.col("h").alias("_h"), F.col("cid").alias("_cid"))
+    looked = written(looked, "looked-up")
+    of = shared.join(looked.select("_h").distinct(), F.col("h") == F.col("_h"), "left_semi").select("h", "cid", F.expr("n2 div 2").alias("n"))
+    return of.join(looked, (F.col("h") == F.col("_h")) & (F.col("cid") == F.col("_cid")), "left").select("h", "cid", "n", F.col("_cid").isNotNull().alias("looked_up"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, fa long, fb long, prefix array<long>")
 
+def first_meetings(columns: DataFrame) -> DataFrame:
+    """(h, a, b, na, nb, big, looked_up) for rows that meet in a column: all pairs with a
+    looked-up row where few rows share it, else each row with the first one.
 
-def first_meetings(entries: DataFrame) -> DataFrame:
-    """(h, a, b, na, nb, d0 slot) pairs of rows that meet in a column: all pairs where few
-    rows share it, else each with the first row. Rows arrive sorted by (h, cid)."""
+    Rows (h, rank, cid, n) arrive sorted by (h, rank, cid); rank 0 is looked up."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Columns that end inside the rows at hand are done at once; the last one is held over,
         # of a long one only its first row.
-        rest = np.zeros((0, 3), np.int64)
+        rest = np.zeros((0, 4), np.int64)
         pivot: np.ndarray | None = None
-        out = ["h", "a", "b", "na", "nb", "big"]
-
-        def batch(h, a, b, na, nb, big) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_i64(h), _i64(a), _i64(b), _i64(na), _i64(nb), pa.array(big)], out)
-
-        def star(p: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            k = len(rows)
-            return batch(rows[:, 0], np.full(k, p[1]), rows[:, 1], np.full(k, p[2]), rows[:, 2], np.ones(k, bool))
-
         for b in batches:
-            t = np.column_stack([np.asarray(b.column(i)) for i in range(3)]).astype(np.int64)
+            t = np.column_stack([np.asarray(b.column(i)) for i in range(4)]).astype(np.int64)
             if pivot is not None:
-                same = int(np.searchsorted(t[:, 0] != pivot[0], True)) if (t[:, 0] != pivot[0]).any() else len(t)
+                other = t[:, 0] != pivot[0]
+                same = int(other.argmax()) if other.any() else len(t)
                 if same:
-                    yield star(pivot, t[:same])
+                    yield meeting(np.broadcast_to(pivot, (same, 4)), t[:same], True)
                 t = t[same:]
                 if not len(t):
                     continue
@@ -160,15 +143,19 @@ def first_meetings(entries: DataFrame) -> DataFrame:
             last = first[-1]
             if len(t) - last > SMALL:
                 pivot = t[last].copy()
-                yield star(pivot, t[last + 1 :])
-                rest = np.zeros((0, 3), np.int64)
+                yield meeting(np.broadcast_to(pivot, (len(t) - last - 1, 4)), t[last + 1 :], True)
+                rest = np.zeros((0, 4), np.int64)
             else:
                 rest = t[last:].copy()
-            yield from closed(t[:last], first[:-1], batch)
+            yield from closed(t[:last], first[:-1])
         if len(rest):
-            yield from closed(rest, np.array([0]), batch)
+            yield from closed(rest, np.array([0]))
+
+    def meeting(x: np.ndarray, y: np.ndarray, big: bool) -> pa.RecordBatch:
+        columns = [_i64(x[:, 0]), _i64(x[:, 2]), _i64(y[:, 2]), _i64(x[:, 3]), _i64(y[:, 3]), pa.array(np.full(len(x), big)), pa.array(y[:, 1] == 0)]
+        return pa.RecordBatch.from_arrays(columns, ["h", "a", "b", "na", "nb", "big", "looked_up"])
 
-    def closed(t: np.ndarray, first: np.ndarray, batch) -> Iterator[pa.RecordBatch]:
+    def closed(t: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):
             return
         size = np.diff(np.append(first, len(t)))
@@ -176,34 +163,36 @@ def first_meetings(entries: DataFrame) -> DataFrame:
         place = np.arange(len(t)) - first[run]
         for back in range(1, SMALL):
             i = np.flatnonzero((size[run] <= SMALL) & (place >= back))
+            i = i[t[i - back, 1] == 0]
             if len(i):
-                yield batch(t[i, 0], t[i - back, 1], t[i, 1], t[i - back, 2], t[i, 2], np.zeros(len(i), bool))
+                yield meeting(t[i - back], t[i], False)
         i = np.flatnonzero((size[run] > SMALL) & (place > 0))
         if len(i):
-            p = first[run[i]]
-            yield batch(t[i, 0], t[p, 1], t[i, 1], t[p, 2], t[i, 2], np.ones(len(i), bool))
+            yield meeting(t[first[run[i]]], t[i], True)
 
-    return entries.mapInArrow(meet, "h long, a long, b long, na long, nb long, big boolean")
+    return columns.mapInArrow(meet, "h long, a long, b long, na long, nb long, big boolean, looked_up boolean")
 
 
 def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """(a, b) of rows that meet the pivots [low, high) of a column and are of another component.
+    """(a, b) of rows that meet the looked-up rows [low, high) of a column and are of another component.
 
-    ``members`` has h, cid, n, comp, d0 (distance to the first pivot) sorted by (h, cid)."""
+    ``members`` has h, rank, cid, n, comp, d0 (distance to the column's first row; NaN if not
+    known) sorted by (h, rank, cid); rank 0 is looked up."""
     slack = 1 - percent / 100 + 1e-9
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, place, held = None, 0, []
         for b in batches:
-            h, cid, n, comp, d0 = (np.asarray(b.column(i)) for i in range(5))
+            h, rank, cid, n, comp, d0 = (np.asarray(b.column(i)) for i in range(6))
             at = 0
             while at < len(h):
                 if h[at] != column:
                     column, place, held = h[at], 0, []
-                to = at + int(np.searchsorted(h[at:] != column, True)) if (h[at:] != column).any() else len(h)
+                other = h[at:] != column
+                to = at + int(other.argmax()) if other.any() else len(h)
                 pa_, pb_ = [], []
-                # The pivots of this stretch meet all that come after them.
-                new = [i for i in range(at, to) if low <= place + i - at < high]
+                # The looked-up rows of this stretch meet all that come after them.
+                new = [i for i in range(at + max(0, low - place), min(to, at + high - place)) if rank[i] == 0]
                 for p_cid, p_n, p_comp, p_d, begin in [(*x, at) for x in held] + [(cid[i], n[i], comp[i], d0[i], i + 1) for i in new]:
                     m, c, d, k = n[begin:to], comp[begin:to], d0[begin:to], cid[begin:to]
                     ok = (c != p_comp) & (100 * np.minimum(m, p_n) >= percent * np.maximum(m, p_n)) & ~(np.abs(d - p_d) > slack)
@@ -263,38 +252,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     were counted for that class."""
     small_batches(docs)
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    rows = written(shingle_rows(docs, common_shingles(docs), percent), "shingle-rows")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("cid"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    rows = written(shingle_rows(docs, percent), "shingle-rows")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota").agg(F.min("doc_id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens"))
     classes = written(classes, "classes")
-    entries = classes.select(F.explode("prefix").alias("h"), "cid", "n").repartition("h").sortWithinPartitions("h", "cid")
-    met = written(first_meetings(entries).where("a <> b").where(F.col("big") | fits), "meetings")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("columns")).select("a", "b")
+    columns = columns_of(classes).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n")
+    met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "cid"))
+    met = written(met.where("a <> b").where(F.col("big") | fits), "meetings")
+    pairs = met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
     ids = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
     sets = written(_full_rows(docs, ids), "sets")
     counted = written(overlaps(pairs, sets), "overlaps")
     links = counted.where(is_link(percent)).select("a", "b")
     labels = written(connected_components(links.toDF("u", "v")), "labels")
-    # Columns whose rows are not all of one component yet.
-    big = met.where("big")
-    d0 = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    far = counted.select("a", "b", d0.alias("d0"))
-    members = big.select("h", "a", "b", "nb").join(far, ["a", "b"]).select("h", F.col("b").alias("cid"), F.col("nb").alias("n"), "d0")
-    members = members.union(big.groupBy("h", "a").agg(F.min("na")).select("h", "a", "min(na)", F.lit(0.0)))
-    done = counted.select("a", "b")
+    # Columns whose rows are not all of one component yet. The distance to the first row is
+    # exact where the pair was counted, else at least what the sizes leave.
+    big = met.where("big").select("h", F.col("a").alias("first"), F.col("b").alias("cid"), "na", "nb", "looked_up")
+    exact = counted.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d0"))
+    one = (F.least("first", "cid") == F.col("a")) & (F.greatest("first", "cid") == F.col("b"))
+    members = big.join(exact, one, "left").select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", F.col("nb").alias("n"), F.coalesce("d0", F.lit(float("nan"))).alias("d0"))
+    firsts = big.groupBy("h", "first").agg(F.min("na").alias("na")).select("h", F.lit(0).cast("long"), "first", "na", F.lit(0.0))
+    members = members.union(firsts)
+    done = pairs
     low, high = 1, 8
     while True:
         m = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        open_ = m.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where(f"x <> y and k > {low}").select("h")
-        members = written(m.join(open_, "h", "left_semi").select("h", "cid", "n", "comp", "d0"), "members")
+        open_ = m.groupBy("h").agg(F.min("comp").alias("u"), F.max("comp").alias("v"), F.sum(1 - F.col("rank")).alias("k")).where(f"u <> v and k > {low}").select("h")
+        members = written(m.join(open_, "h", "left_semi").select("h", "rank", "cid", "n", "comp", "d0"), "members")
         if members.isEmpty():
             break
-        sorted_ = members.repartition("h").sortWithinPartitions("h", "cid").select("h", "cid", "n", "comp", "d0")
-        pairs = later_meetings(sorted_, low, high, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        counted = written(overlaps(pairs.join(done, ["a", "b"], "left_anti"), sets), "overlaps")
-        new = counted.where(is_link(percent)).select("a", "b")
-        labels = written(_joined_labels(labels, new), "labels")
-        done, links = done.union(counted.select("a", "b")), links.union(new)
-        members, low, high = members.select("h", "cid", "n", "d0"), high, high * 8
+        later = later_meetings(members.repartition("h").sortWithinPartitions("h", "rank", "cid"), low, high, percent)
+        new = later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        new = written(new, "pairs")
+        counted = written(overlaps(new, sets), "overlaps")
+        joined = counted.where(is_link(percent)).select("a", "b")
+        labels = written(_joined_labels(labels, joined), "labels")
+        done, links = done.union(new), links.union(joined)
+        members, low, high = members.select("h", "rank", "cid", "n", "d0"), high, high * 8
     of = classes.select("fa", "fb", "n", "cid")
     linked = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("class_links")).withColumnRenamed("a", "cid")
     of = of.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(linked, "cid", "left")
