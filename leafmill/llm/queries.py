@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from .chat import chat_digest
 from .mixing import fair_mix
 from .ngram_join import near_duplicates
+from .pieces import sampled_pieces
 from .quality_fm import quality_scores
 from .quality_rules import quality_verdicts
 from .sharding import assign_shards
@@ -39,6 +40,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every whole document, with the check of its decoding."""
+    return sampled_pieces(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,7 +66,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op7_chat_format, op9_quality_rules, op10_shards)
+    f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op6_sentencepiece, op7_chat_format, op9_quality_rules, op10_shards)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
