@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .ann import nearest
 from .chat import chat_digest
 from .mixing import fair_mix
 from .ngram_join import near_duplicates
@@ -17,6 +18,7 @@ from .quality_rules import quality_verdicts
 from .sharding import assign_shards
 from .sql import ORACLES
 from .toxicity import toxicity_scores
+from .url_filter import dated_list, host_of, judged
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    return nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document by a factorisation machine."""
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -55,6 +62,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(turns.unionByName(planted))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture judged by the list entries active on the day of its fetch.
+
+    The tables hold neither days nor a list: the day follows from page_id, the list from the hosts."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")))
+    out = judged(captures, dated_list(pages.select(host_of(F.col("url")).alias("host"))))
+    return out.select("_row.page_id", "host", F.col("fetched").cast("string").alias("fetched"), "rule", "verdict", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures and the verdict of the quality rules for every document."""
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
@@ -66,7 +83,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op6_sentencepiece, op7_chat_format, op9_quality_rules, op10_shards)
+    f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op6_sentencepiece, op7_chat_format, op8_url_filter, op9_quality_rules, op10_shards)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

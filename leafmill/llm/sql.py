@@ -58,6 +58,35 @@ FROM marked GROUP BY conv_id
 """
 
 
+OP8 = r"""
+WITH captures AS (
+  SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INTEGER AS fetched,
+         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1), '\.$', ''), '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL),
+cuts AS (SELECT host, labels, unnest(range(0, greatest(len(labels) - 2, 0)::BIGINT + 1)) AS i FROM hosts),
+domains AS (SELECT host, i, array_to_string(labels[i + 1:], '.') AS domain, i = greatest(len(labels) - 2, 0) AS top FROM cuts),
+numbered AS (
+  SELECT host AS domain, ('0x' || substr(md5(host), 1, 7))::BIGINT AS k FROM hosts
+  UNION ALL SELECT DISTINCT domain, ('0x' || substr(md5(domain), 1, 7))::BIGINT + 1 FROM domains WHERE top),
+listed AS (
+  SELECT domain, 'block' AS verdict, DATE '2024-01-01' + (k % 200)::INTEGER AS listed_on FROM numbered WHERE k % 3 = 0
+  UNION ALL SELECT domain, 'allow', DATE '2024-01-01' + (k % 200 + 60)::INTEGER FROM numbered WHERE k % 6 = 0
+  UNION ALL SELECT domain, 'allow', DATE '2024-01-01' + (k % 100)::INTEGER FROM numbered WHERE k % 5 = 0
+  UNION ALL SELECT domain, 'block', DATE '2024-01-01' + (k % 100 + 150)::INTEGER FROM numbered WHERE k % 10 = 0),
+daily AS (SELECT domain, listed_on, max(verdict) AS verdict FROM listed GROUP BY ALL),
+valid AS (
+  SELECT domain, verdict, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS valid_to FROM daily),
+matched AS (
+  SELECT c.page_id, arg_max(v.domain, length(v.domain)) AS rule, arg_max(v.verdict, length(v.domain)) AS verdict
+  FROM captures c JOIN domains d ON c.host = d.host
+  JOIN valid v ON v.domain = d.domain AND v.valid_from <= c.fetched AND (v.valid_to IS NULL OR c.fetched < v.valid_to)
+  GROUP BY c.page_id)
+SELECT page_id, host, fetched::DATE::VARCHAR AS fetched, rule, coalesce(verdict, 'none') AS verdict, coalesce(verdict, 'none') <> 'block' AS kept
+FROM captures LEFT JOIN matched USING (page_id)
+"""
+
+
 def _rules() -> str:
     parts = []
     for r in RULES:
@@ -106,4 +135,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op7_chat_format": OP7, "op9_quality_rules": OP9}
+ORACLES = {"op4_mix_sources": OP4, "op7_chat_format": OP7, "op8_url_filter": OP8, "op9_quality_rules": OP9}
