@@ -48,6 +48,7 @@ SMALL = 4
 def small_batches(df: DataFrame) -> None:
     """Arrow batches of whole texts stay small."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def _i64(a: np.ndarray) -> pa.Array:
@@ -177,13 +178,13 @@ def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> Dat
     """(a, b) of rows that meet the looked-up rows [low, high) of a column and are of another component.
 
     ``members`` has h, rank, cid, n, comp, d0 (distance to the column's first row; NaN if not
-    known) sorted by (h, rank, cid); rank 0 is looked up."""
+    known), m (columns that another row can share) sorted by (h, rank, cid); rank 0 is looked up."""
     slack = 1 - percent / 100 + 1e-9
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, place, held = None, 0, []
         for b in batches:
-            h, rank, cid, n, comp, d0 = (np.asarray(b.column(i)) for i in range(6))
+            h, rank, cid, n, comp, d0, can = (np.asarray(b.column(i)) for i in range(7))
             at = 0
             while at < len(h):
                 if h[at] != column:
@@ -193,12 +194,13 @@ def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> Dat
                 pa_, pb_ = [], []
                 # The looked-up rows of this stretch meet all that come after them.
                 new = [i for i in range(at + max(0, low - place), min(to, at + high - place)) if rank[i] == 0]
-                for p_cid, p_n, p_comp, p_d, begin in [(*x, at) for x in held] + [(cid[i], n[i], comp[i], d0[i], i + 1) for i in new]:
+                for p_cid, p_n, p_comp, p_d, p_can, begin in [(*x, at) for x in held] + [(cid[i], n[i], comp[i], d0[i], can[i], i + 1) for i in new]:
                     m, c, d, k = n[begin:to], comp[begin:to], d0[begin:to], cid[begin:to]
                     ok = (c != p_comp) & (100 * np.minimum(m, p_n) >= percent * np.maximum(m, p_n)) & ~(np.abs(d - p_d) > slack)
+                    ok &= (100 + percent) * np.minimum(can[begin:to], p_can) >= percent * (m + p_n)
                     pb_.append(k[ok])
                     pa_.append(np.full(int(ok.sum()), p_cid))
-                held += [(cid[i], n[i], comp[i], d0[i]) for i in new]
+                held += [(cid[i], n[i], comp[i], d0[i], can[i]) for i in new]
                 place += to - at
                 at = to
                 if pa_ and sum(map(len, pa_)):
@@ -274,21 +276,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = big.groupBy("h", "first").agg(F.min("na").alias("na")).select("h", F.lit(0).cast("long"), "first", "na", F.lit(0.0))
     members = members.union(firsts)
     done = pairs
-    low, high = 1, 8
+    low, high = 0, 8
+    members = _still_open(members, labels, 1)
+    can = written(_shareable(sets, members), "shareable")
+    members = members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n"))
     while True:
-        m = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        open_ = m.groupBy("h").agg(F.min("comp").alias("u"), F.max("comp").alias("v"), F.sum(1 - F.col("rank")).alias("k")).where(f"u <> v and k > {low}").select("h")
-        members = written(m.join(open_, "h", "left_semi").select("h", "rank", "cid", "n", "comp", "d0"), "members")
+        members = written(_still_open(members, labels, low), "members")
         if members.isEmpty():
             break
-        later = later_meetings(members.repartition("h").sortWithinPartitions("h", "rank", "cid"), low, high, percent)
+        later = later_meetings(members.select("h", "rank", "cid", "n", "comp", "d0", "m").repartition("h").sortWithinPartitions("h", "rank", "cid"), low, high, percent)
         new = later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         new = written(new, "pairs")
         counted = written(overlaps(new, sets), "overlaps")
         joined = counted.where(is_link(percent)).select("a", "b")
         labels = written(_joined_labels(labels, joined), "labels")
         done, links = done.union(new), links.union(joined)
-        members, low, high = members.select("h", "rank", "cid", "n", "d0"), high, high * 8
+        low, high = high, high * 8
     of = classes.select("fa", "fb", "n", "cid")
     linked = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("class_links")).withColumnRenamed("a", "cid")
     of = of.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(linked, "cid", "left")
@@ -300,6 +303,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _still_open(members: DataFrame, labels: DataFrame, low: int) -> DataFrame:
+    """The rows of columns that hold several components and looked-up rows past ``low``."""
+    of = labels.select(F.col("node").alias("_node"), F.col("component").alias("_of"))
+    m = members.drop("comp").join(of, F.col("cid") == F.col("_node"), "left").withColumn("comp", F.coalesce("_of", "cid")).drop("_node", "_of")
+    several = m.groupBy("h").agg(F.min("comp").alias("u"), F.max("comp").alias("v"), F.sum(1 - F.col("rank")).alias("k")).where(f"u <> v and k > {low}").select("h")
+    m = m.join(several, "h", "left_semi")
+    return m.select("h", "rank", "cid", "n", "comp", "d0", *[c for c in ("m",) if c in m.columns])
+
+
+def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(cid, m): how many columns of each row in question another such row has too.
+
+    Two rows that may still be linked are both in question, so m bounds their overlap."""
+    full = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("s").alias("h")).repartition("h")
+    twice = full.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h"))
+    return full.join(twice.hint("shuffle_hash"), F.col("h") == F.col("_h")).groupBy("cid").agg(F.count("*").alias("m"))
+
+
 def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after ``links`` between their nodes."""
     x = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
