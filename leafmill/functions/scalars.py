@@ -90,7 +90,7 @@ def needs_ocr(text: Column, force: bool = False) -> Column:
 
 def luhn_valid(value: Column) -> Column:
     digits = F.regexp_replace(value, r"[\s-]", "")
-    return F.coalesce(digits.rlike(r"^[0-9]{13,19}$") & F.luhn_check(F.when(digits.rlike(r"^[0-9]{13,19}$"), digits)), F.lit(False))
+    return F.coalesce(digits.rlike(r"^[0-9]{13,19}$") & F.call_function("luhn_check", F.when(digits.rlike(r"^[0-9]{13,19}$"), digits)), F.lit(False))
 
 
 def verhoeff_valid(value: Column) -> Column:
@@ -158,7 +158,7 @@ def normalize_rotation(degrees: Column) -> Column:
 def sniff_format(content: Column) -> Column:
     """pdf, jpeg, png, webp or null by the first bytes; a PDF's mark may stand in the first 1024."""
     head = F.hex(F.substring(content, 1, 12))
-    pdf = F.instr(F.decode(F.substring(content, 1, 1024), F.lit("ISO-8859-1")), "%PDF-") > 0
+    pdf = F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0
     return (
         F.when(pdf, "pdf").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")

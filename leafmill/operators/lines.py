@@ -59,14 +59,14 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 def text_ebook(docs: DataFrame) -> DataFrame:
     """doc_id, block, text: paragraphs between blank lines, trimmed, empty ones dropped."""
-    parts = F.filter(F.transform(F.split("text", r"\n[\s ]*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", r"\n[\s ]*\n"), lambda x: F.trim(x)), lambda p: p != "")
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("block", "text"))
 
 
 def transcript(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, line, stamp, text: a leading [h:mm:ss] of a line becomes its stamp."""
     clean = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    parts = F.filter(F.transform(F.split(clean, "\n{2,}"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean, "\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     p = docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("paragraph", "_p"))
     p = p.select("doc_id", "paragraph", F.posexplode(F.split("_p", "\n")).alias("line", "_l"))
     stamp = F.regexp_extract("_l", STAMP, 1)

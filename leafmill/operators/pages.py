@@ -15,7 +15,7 @@ def parse_ranges(expression: Column, page_count: Column) -> Column:
 
     Segments keep overlaps, pages are distinct in order of first sight, reversed ranges are
     turned with a warning. ``error`` says what is wrong; then the rest is null."""
-    tokens = F.transform(F.split(F.trim(expression), ","), F.trim)
+    tokens = F.transform(F.split(F.trim(expression), ","), lambda x: F.trim(x))
     low = lambda t: F.regexp_extract(t, r"^([0-9]+)", 1).try_cast("int")
     high = lambda t: F.regexp_extract(t, r"([0-9]+)$", 1).try_cast("int")
     segment = lambda t: F.struct(F.least(low(t), high(t)).alias("start"), F.greatest(low(t), high(t)).alias("end"))

@@ -79,19 +79,19 @@ def find_pii(docs: DataFrame, enabled: set[str] | None = None, custom: list[str]
     chosen = [(k, p) for k, p, on in DETECTORS if (on if enabled is None else k in enabled)] + custom_detectors(list(custom))
     order = [k for k, _, _ in DETECTORS] + ["custom"]
     text = F.col("text")
-    parts = []
-    for kind, pattern in chosen:
-        kept = F.filter(all_matches(text, pattern), lambda m, kind=kind: (F.length(m["value"]) > 0) & _accepted(kind, text, m))
-        value = (lambda m: F.trim(m["value"])) if kind in ("credit-card", "aadhaar", "phone") else (lambda m: m["value"])
-        parts.append(
-            F.transform(
-                kept,
-                lambda m, i, kind=kind, value=value: F.struct(
-                    F.lit(kind).alias("type"), value(m).alias("value"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"),
-                    F.lit(order.index(kind)).alias("detector_ord"), i.alias("match_ord"),
-                ),
-            )
-        )
+    def of_kind(kind: str, pattern: str) -> Column:
+        kept = F.filter(all_matches(text, pattern), lambda m: (F.length(m["value"]) > 0) & _accepted(kind, text, m))
+        trimmed = kind in ("credit-card", "aadhaar", "phone")
+
+        def row(m: Column, i: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("type"), (F.trim(m["value"]) if trimmed else m["value"]).alias("value"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"),
+                F.lit(order.index(kind)).alias("detector_ord"), i.alias("match_ord"),
+            )
+
+        return F.transform(kept, row)
+
+    parts = [of_kind(k, p) for k, p in chosen]
     if not parts:
         parts = [F.array().cast("array<struct<type:string,value:string,start:int,end:int,detector_ord:int,match_ord:int>>")]
     return docs.where("text is not null").select("doc_id", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "m.*")

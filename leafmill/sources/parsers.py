@@ -415,7 +415,6 @@ def html_titles(pages: DataFrame) -> DataFrame:
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """page_id, n, href of the links that are http, https or mailto, in order."""
+    """page_id, n, href, safe: all links in order; http, https and mailto ones are safe to keep."""
     found = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    safe = F.filter(F.transform(found, F.trim), lambda h: h.rlike(r"(?i)^(?:https?:|mailto:)"))
-    return pages.select("page_id", F.posexplode(safe).alias("n", "href"))
+    return pages.select("page_id", F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("n", "href")).withColumn("safe", F.col("href").rlike(r"(?i)^(?:https?:|mailto:)"))
