@@ -43,6 +43,8 @@ from .shingles import least_overlap, mix, shingle_sets
 
 PERCENT = 80
 SMALL = 4
+#: The Bloom filter that spares passing texts through the product: 8 MB, always.
+FILTER_WORDS, FILTER_HASHES = 1 << 20, 4
 
 
 def small_batches(df: DataFrame) -> None:
@@ -101,9 +103,11 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, fa long, fb long, tokens array<long>, x long, quota long")
 
 
-def columns_of(classes: DataFrame) -> DataFrame:
-    """(h, cid, n, looked_up): the shared columns of the first block in which a row is looked up."""
-    entries = classes.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long"))
+def columns_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(h, cid, n, looked_up): the shared columns of the first block in which a row is looked up.
+
+    ``classes`` has cid, x, quota; ``tokens`` the columns of each class as well."""
+    entries = tokens.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long"))
     entries = entries.toDF("h", "cid", "n2").repartition("h")
     counts = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows")
     shared = written(entries.join(counts.hint("shuffle_hash"), F.col("h") == F.col("_h")).select("h", "cid", "n2", "rows"), "shared")
@@ -209,18 +213,41 @@ def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> Dat
     return members.mapInArrow(meet, "a long, b long")
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (cid): FILTER_WORDS 64-bit words whatever their number.
+
+    Built by a grouped bit_or; at most FILTER_WORDS rows reach the driver. It only spares work:
+    ids that it lets through by chance do no harm, and once it is full it lets all through."""
+    spots = F.array(*[F.xxhash64(F.col("cid"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)) for k in range(FILTER_HASHES)])
+    spot = ids.select(F.explode(spots).alias("p"))
+    words = spot.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[np.asarray(words["w"])] = np.asarray(words["bits"])
+    return out.view(np.uint64)
+
+
 def _full_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, s): the shingle sets of the documents in ``ids`` (cid)."""
+    """(cid, s): the shingle sets of the documents in ``ids`` (cid), and of few others.
+
+    The texts are not shuffled: each task passes over those that the filter does not know."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    spots = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)).alias(f"p{k}") for k in range(FILTER_HASHES)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
         for b in batches:
-            sets: list[np.ndarray | None] = [None] * b.num_rows
-            for r, s in shingle_sets(b.column(1)):
+            known = np.ones(b.num_rows, bool)
+            for k in range(FILTER_HASHES):
+                p = np.asarray(b.column(2 + k)).astype(np.uint64)
+                known &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            some = b.filter(pa.array(known))
+            sets: list[np.ndarray | None] = [None] * some.num_rows
+            for r, s in shingle_sets(some.column(1)):
                 sets[r] = s
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], ["cid", "s"])
+            yield pa.RecordBatch.from_arrays([some.column(0), _lists(sets)], ["cid", "s"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(ids, "cid", "left_semi")
-    return d.mapInArrow(rows, "cid long, s array<long>").where("s is not null")
+    table = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("cid"), "text", *spots)
+    return table.mapInArrow(rows, "cid long, s array<long>").where("s is not null")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,9 +282,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small_batches(docs)
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = written(shingle_rows(docs, percent), "shingle-rows")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota").agg(F.min("doc_id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    classes = written(classes, "classes")
-    columns = columns_of(classes).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n")
+    of_class = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
+    classes = written(of_class.agg(F.min("doc_id").alias("cid")), "classes")
+    tokens = of_class.agg(F.min("doc_id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    columns = columns_of(classes, tokens).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n")
     met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "cid"))
     met = written(met.where("a <> b").where(F.col("big") | fits), "meetings")
     pairs = met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -315,8 +343,9 @@ def _still_open(members: DataFrame, labels: DataFrame, low: int) -> DataFrame:
 def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(cid, m): how many columns of each row in question another such row has too.
 
-    Two rows that may still be linked are both in question, so m bounds their overlap."""
-    full = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("s").alias("h")).repartition("h")
+    Two rows that may still be linked are both in question, so m bounds their overlap. Half of
+    each digest will do: columns taken for one another can only raise m."""
+    full = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode(F.transform("s", lambda h: F.shiftright(h, 32).cast("int"))).alias("h")).repartition("h")
     twice = full.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h"))
     return full.join(twice.hint("shuffle_hash"), F.col("h") == F.col("_h")).groupBy("cid").agg(F.count("*").alias("m"))
 
