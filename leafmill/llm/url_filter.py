@@ -59,16 +59,13 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
 def dated_list(hosts: DataFrame) -> DataFrame:
     """A list made by rule for tables that come without one: from the digest of each host and
     of its registered domain follow the days in 2024 on which it was blocked and allowed."""
-    h = hosts.where("host is not null").select("host").distinct()
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
-    own = h.select(F.col("host").alias("domain"), number(F.col("host")).alias("k"))
-    parents = h.select(F.element_at(domains_of(F.col("host")), -1).alias("domain")).distinct().select("domain", (number(F.col("domain")) + 1).alias("k"))
-    n = own.unionByName(parents)
-    parts = [
-        n.where("k % 3 = 0").select("domain", F.lit("block").alias("verdict"), day(F.col("k") % 200).alias("listed_on")),
-        n.where("k % 6 = 0").select("domain", F.lit("allow").alias("verdict"), day(F.col("k") % 200 + 60).alias("listed_on")),
-        n.where("k % 5 = 0").select("domain", F.lit("allow").alias("verdict"), day(F.col("k") % 100).alias("listed_on")),
-        n.where("k % 10 = 0").select("domain", F.lit("block").alias("verdict"), day(F.col("k") % 100 + 150).alias("listed_on")),
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    # A host stands for itself and, under another number, for its registered domain.
+    both = F.array(F.struct(F.col("host").alias("domain"), F.lit(0).alias("more")), F.struct(F.element_at(domains_of(F.col("host")), -1).alias("domain"), F.lit(1).alias("more")))
+    n = hosts.where("host is not null").select("host").distinct().select(F.explode(both).alias("d")).select("d.*").distinct()
+    n = n.select("domain", (number(F.col("domain")) + F.col("more")).alias("k"))
+    entry = lambda every, verdict, on: F.when(F.col("k") % every == 0, F.struct(F.lit(verdict).alias("verdict"), day(on).alias("listed_on")))
+    k = F.col("k")
+    entries = F.array(entry(3, "block", k % 200), entry(6, "allow", k % 200 + 60), entry(5, "allow", k % 100), entry(10, "block", k % 100 + 150))
+    return n.select("domain", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("domain", "e.*")
