@@ -116,16 +116,18 @@ def fit_index(vectors: DataFrame, k: int) -> tuple[np.ndarray, int, int] | None:
 def _search(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, k: int, rotations: np.ndarray, radius: int) -> DataFrame:
     across, down = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
     held = queries.sparkSession.sparkContext.broadcast(rotations)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    q = queries.withColumn("q", deal(across)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    r = rows.withColumn("r", deal(down)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    deal = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    q = queries.select(F.col("vec_id").alias("asking"), F.col("embedding").alias("asked"))
+    q = q.withColumn("q", deal(across, "asking", "asked")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    r = rows.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
+    r = r.withColumn("r", deal(down, "vec_id", "embedding")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, scores, of = [], [], []
         if left.num_rows and right.num_rows:
             turn = held.value
-            a, b = _matrix(left["embedding"].combine_chunks()), _matrix(right["embedding"].combine_chunks())
-            qa, rb = np.asarray(left["vec_id"]), np.asarray(right["vec_id"])
+            a, b = _matrix(left["asked"].combine_chunks()), _matrix(right["embedding"].combine_chunks())
+            qa, rb = np.asarray(left["asking"]), np.asarray(right["vec_id"])
             ca, cb = codes_of(_unit(a), turn), codes_of(_unit(b), turn)
             na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
             for at in range(0, len(qa), 256):
@@ -147,7 +149,7 @@ def _search(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, k:
         top = place < k
         return pa.table({"query_id": pa.array(qa[of[top]]), "vec_id": pa.array(ids[top]), "score": pa.array(scores[top])})
 
-    return q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInArrow(cell, FOUND)
+    return q.groupBy("q", "r").cogroup(r.select("vec_id", "embedding", F.col("q").alias("across"), F.col("r").alias("down")).groupBy("across", "down")).applyInArrow(cell, FOUND)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
