@@ -16,12 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to the shared folder."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
-    seen = None
-    while True:
-        mark = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if tuple(mark) == seen or mark[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        seen = tuple(mark)
+    while not _is_forest_of_stars(e):
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,3 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(least).distinct(), "small-star")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """True if every node has one edge down at most and no centre has any."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    g = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return g.where("down > 1 or (down = 1 and up = 1)").isEmpty()

@@ -317,8 +317,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = written(new, "pairs")
         counted = written(overlaps(new, sets), "overlaps")
         joined = counted.where(is_link(percent)).select("a", "b")
-        labels = written(_joined_labels(labels, joined), "labels")
-        done, links = done.union(new), links.union(joined)
+        if not joined.isEmpty():
+            labels = written(_joined_labels(labels, joined), "labels")
+            links = links.union(joined)
+        done = done.union(new)
         low, high = high, high * 8
     of = classes.select("fa", "fb", "n", "cid")
     linked = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("class_links")).withColumnRenamed("a", "cid")
