@@ -104,7 +104,8 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def columns_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(h, cid, n, looked_up): the shared columns of the first block in which a row is looked up.
+    """(h, cid, n, looked_up, alone): the shared columns of the first block in which a row is
+    looked up; ``alone`` counts a looked-up row's columns that no other row has.
 
     ``classes`` has cid, x, quota; ``tokens`` the columns of each class as well."""
     entries = tokens.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long"))
@@ -115,17 +116,17 @@ def columns_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
     mine = shared.where("n2 % 2 = 1").withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("rows", "h")))
     mine = mine.withColumn("mine", F.count("*").over(Window.partitionBy("cid")))
     looked = mine.join(classes.select(F.col("cid").alias("_cid"), "x", "quota"), F.col("cid") == F.col("_cid"))
-    looked = looked.where("place <= quota - (x - mine)").select(F.col("h").alias("_h"), F.col("cid").alias("_cid"))
+    looked = looked.where("place <= quota - (x - mine)").select(F.col("h").alias("_h"), F.col("cid").alias("_cid"), (F.col("x") - F.col("mine")).alias("alone"))
     looked = written(looked, "looked-up")
     of = shared.join(looked.select("_h").distinct(), F.col("h") == F.col("_h"), "left_semi").select("h", "cid", F.expr("n2 div 2").alias("n"))
-    return of.join(looked, (F.col("h") == F.col("_h")) & (F.col("cid") == F.col("_cid")), "left").select("h", "cid", "n", F.col("_cid").isNotNull().alias("looked_up"))
+    return of.join(looked, (F.col("h") == F.col("_h")) & (F.col("cid") == F.col("_cid")), "left").select("h", "cid", "n", F.col("_cid").isNotNull().alias("looked_up"), F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
 def first_meetings(columns: DataFrame) -> DataFrame:
     """(h, a, b, na, nb, big, looked_up) for rows that meet in a column: all pairs with a
     looked-up row where few rows share it, else each row with the first one.
 
-    Rows (h, rank, cid, n) arrive sorted by (h, rank, cid); rank 0 is looked up."""
+    Rows (h, rank, cid, n, alone) arrive sorted by (h, rank, alone, cid); rank 0 is looked up."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Columns that end inside the rows at hand are done at once; the last one is held over,
@@ -182,7 +183,7 @@ def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> Dat
     """(a, b) of rows that meet the looked-up rows [low, high) of a column and are of another component.
 
     ``members`` has h, rank, cid, n, comp, d0 (distance to the column's first row; NaN if not
-    known), m (columns that another row can share) sorted by (h, rank, cid); rank 0 is looked up."""
+    known), m (columns that another row can share) sorted by (h, rank, n - m, cid); rank 0 is looked up."""
     slack = 1 - percent / 100 + 1e-9
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +286,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_class = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
     classes = written(of_class.agg(F.min("doc_id").alias("cid")), "classes")
     tokens = of_class.agg(F.min("doc_id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    columns = columns_of(classes, tokens).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n")
-    met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "cid"))
+    columns = columns_of(classes, tokens).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n", "alone")
+    # The rows with the fewest columns of their own come first: they are the likeliest to link.
+    met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "alone", "cid"))
     met = written(met.where("a <> b").where(F.col("big") | fits), "meetings")
     pairs = met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = big.groupBy("h", "first").agg(F.min("na").alias("na")).select("h", F.lit(0).cast("long"), "first", "na", F.lit(0.0))
     members = members.union(firsts)
     done = pairs
-    low, high = 0, 8
+    low, high = 0, 1
     members = _still_open(members, labels, 1)
     can = written(_shareable(sets, members), "shareable")
     members = members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n"))
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members = written(_still_open(members, labels, low), "members")
         if members.isEmpty():
             break
-        later = later_meetings(members.select("h", "rank", "cid", "n", "comp", "d0", "m").repartition("h").sortWithinPartitions("h", "rank", "cid"), low, high, percent)
+        later = later_meetings(members.select("h", "rank", "cid", "n", "comp", "d0", "m").repartition("h").sortWithinPartitions("h", "rank", F.col("n") - F.col("m"), "cid"), low, high, percent)
         new = later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         new = written(new, "pairs")
         counted = written(overlaps(new, sets), "overlaps")
