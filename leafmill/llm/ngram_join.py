@@ -201,8 +201,10 @@ def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> Dat
                 new = [i for i in range(at + max(0, low - place), min(to, at + high - place)) if rank[i] == 0]
                 for p_cid, p_n, p_comp, p_d, p_can, begin in [(*x, at) for x in held] + [(cid[i], n[i], comp[i], d0[i], can[i], i + 1) for i in new]:
                     m, c, d, k = n[begin:to], comp[begin:to], d0[begin:to], cid[begin:to]
+                    # The smaller row of a pair must be looked up here; else another column has them.
                     ok = (c != p_comp) & (100 * np.minimum(m, p_n) >= percent * np.maximum(m, p_n)) & ~(np.abs(d - p_d) > slack)
                     ok &= (100 + percent) * np.minimum(can[begin:to], p_can) >= percent * (m + p_n)
+                    ok &= (rank[begin:to] == 0) | (m >= p_n)
                     pb_.append(k[ok])
                     pa_.append(np.full(int(ok.sum()), p_cid))
                 held += [(cid[i], n[i], comp[i], d0[i], can[i]) for i in new]
