@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +17,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], seed: str) -> dict[int, list[str]]:
-    """Texts by label: at most ``most[label]`` documents each, the first of a seeded shuffle.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], seed: str) -> DataFrame:
+    """(y, key, doc_id, text): at most ``most[label]`` documents each, the first of a seeded shuffle.
 
-    The ids are picked in the label table, so at most sum(most) rows are broadcast and
-    collected. Ids labelled twice count with the larger label; null texts are left out; of a
-    repeated doc_id the smallest text counts."""
+    The ids are picked in the label table, so at most sum(most) rows are broadcast. Ids
+    labelled twice count with the larger label; null texts are left out; of a repeated doc_id
+    the smallest text counts."""
     key = shuffle_key(seed, "doc_id")
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     marked = marked.where(~held_out(F.col("doc_id"))).withColumn("_key", key)
@@ -27,6 +31,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
         part = marked.where(F.col("_y") == y).orderBy("_key", "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"), F.first("_key").alias("key")).toArrow()
-    rows = sorted(zip(rows["key"].to_pylist(), rows["doc_id"].to_pylist(), rows["y"].to_pylist(), rows["text"].to_pylist(), strict=True))
-    return {y: [t for _, _, z, t in rows if z == y] for y in most}
+    return texts.groupBy("doc_id").agg(F.first("_y").cast("int").alias("y"), F.first("_key").alias("key"), F.min("text").alias("text")).select("y", "key", "doc_id", "text")
+
+
+def trained_in_a_task(sample: DataFrame, train: Callable[[dict[int, list[str]]], tuple | None]) -> tuple | None:
+    """What ``train`` makes of the sample's texts by label, run in one task of an executor.
+
+    The sample is bounded, so the task is; the driver sees the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        texts: dict[int, list[str]] = {}
+        for y, _, _, text in rows:
+            texts.setdefault(y, []).append(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return found and pickle.loads(bytes(found["model"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample
+from .labelled import held_out, labelled_sample, trained_in_a_task
 from .ngram_join import small_batches
 from .shingles import _COEF, byte_pieces, mix, word_digests
 
@@ -167,7 +167,13 @@ def train(texts: dict[int, list[str]], seed: int = 7) -> Machine | None:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Machine | None:
     """The machine of the labelled documents outside the held-out fifth."""
-    return train(labelled_sample(docs, labels, "quality", most, "quality"))
+
+    def parts(texts: dict[int, list[str]]) -> tuple | None:
+        m = train(texts)
+        return m and (m.w0, m.w, m.v, m.mean, m.scale)
+
+    machine = trained_in_a_task(labelled_sample(docs, labels, "quality", most, "quality"), parts)
+    return machine and Machine(*machine)
 
 
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:

@@ -34,7 +34,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample
+from .labelled import held_out, labelled_sample, trained_in_a_task
 from .ngram_join import small_batches
 from .shingles import _COEF, _LOWER, _SPACE, _VALUE, WIDTH, _power, byte_pieces, mix, shingle_sets, word_digests
 
@@ -237,7 +237,13 @@ def train(texts: dict[int, list[str]]) -> ToxicityModel | None:
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> ToxicityModel | None:
     """The model of the labelled documents outside the held-out fifth."""
-    return train(labelled_sample(docs, labels, "toxic", most, "toxicity"))
+
+    def parts(texts: dict[int, list[str]]) -> tuple | None:
+        model = train(texts)
+        return model and astuple(model)
+
+    model = trained_in_a_task(labelled_sample(docs, labels, "toxic", most, "toxicity"), parts)
+    return model and ToxicityModel(*model)
 
 
 def scored(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
