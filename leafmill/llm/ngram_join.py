@@ -11,13 +11,14 @@ overlaps. Only entries that can reach the threshold are ever made:
    own alone needs none, which rules out documents that share passages only. A larger row
    is found in all its columns of the block. (Where a row has fewer than e + 1 columns in the
    block, the classical prefix of n - ceil(t n) + 1 columns of both stands in.)
-3. In a column, the rows meet the column's first looked-up row; when links have joined rows
-   to components, only rows of different components still meet, one looked-up row after the
-   other (1, 8, 64, ... of them), until every pair of the column is joined, ruled out or
-   counted. Pairs whose sizes rule out the threshold are discarded, as are those that the
-   triangle inequality of the Jaccard distance to the first row rules out.
-4. The full rows of the pairs that are left are multiplied in blocks, and a pair is a link
-   if its overlap reaches ceil(t / (1 + t) (n_a + n_b)).
+3. In a column of few rows all pairs with a looked-up row meet; in others the rows meet the
+   column's first looked-up row. Pairs whose sizes rule out the threshold are discarded. The
+   full rows of the pairs are multiplied, and a pair is a link if its overlap reaches
+   ceil(t / (1 + t) (n_a + n_b)).
+4. Where a column has more looked-up rows, the rows that can still share enough are grouped by
+   common columns and the groups multiplied in blocks: all pairs with a common column. These
+   blocks give the number of links of each row and a spanning forest of them, so the links of
+   large groups are all counted but not written one by one.
 5. Components come from the links by large-star and small-star steps.
 
 So no link between different texts is lost, while copies are never expanded into all pairs.
@@ -43,6 +44,9 @@ from .shingles import least_overlap, mix, shingle_sets
 
 PERCENT = 80
 SMALL = 4
+#: Rows in a block of a group, about; columns in a dense product; what a pair by itself costs, in
+#: pairs of a dense product.
+BLOCK, WIDE, PAIR_COST = 2048, 4096, 20
 #: The Bloom filter that spares passing texts through the product: 8 MB, always.
 FILTER_WORDS, FILTER_HASHES = 1 << 20, 4
 
@@ -179,41 +183,120 @@ def first_meetings(columns: DataFrame) -> DataFrame:
     return columns.mapInArrow(meet, "h long, a long, b long, na long, nb long, big boolean, looked_up boolean")
 
 
-def later_meetings(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """(a, b) of rows that meet the looked-up rows [low, high) of a column and are of another component.
-
-    ``members`` has h, rank, cid, n, comp, d0 (distance to the column's first row; NaN if not
-    known), m (columns that another row can share) sorted by (h, rank, n - m, cid); rank 0 is looked up."""
-    slack = 1 - percent / 100 + 1e-9
+def products(values: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
+    """How many values each row of ``a`` shares with each row of ``b``; ``m`` rows in all, no row
+    has a value twice. Dense products of WIDE columns at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    several = times > 1
+    keep = several[at]
+    at, rows = (np.cumsum(several) - 1)[at[keep]], rows[keep]
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    for c in range(0, int(several.sum()), WIDE):
+        lo, hi = np.searchsorted(at, (c, c + WIDE))
+        dense = np.zeros((m, min(WIDE, int(several.sum()) - c)), np.float32)
+        dense[rows[lo:hi], at[lo:hi] - c] = 1
+        out += dense[a] @ dense[b].T
+    return out
+
+
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """(cid, other, links) of the links between the rows of each cell: how many each row has, and
+    edges (links null) that join the linked rows.
+
+    Rows (g, p, q, cid, block, columns, known, s) arrive sorted by (g, p, q). A cell holds the rows of
+    two blocks p <= q of group g; pairs without a common column are no links, and pairs that are
+    ``known`` links are counted elsewhere."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, place, held = None, 0, []
+        held: list[pa.RecordBatch] = []
+        last: tuple[int, ...] | None = None
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
-            h, rank, cid, n, comp, d0, can = (np.asarray(b.column(i)) for i in range(7))
-            at = 0
-            while at < len(h):
-                if h[at] != column:
-                    column, place, held = h[at], 0, []
-                other = h[at:] != column
-                to = at + int(other.argmax()) if other.any() else len(h)
-                pa_, pb_ = [], []
-                # The looked-up rows of this stretch meet all that come after them.
-                new = [i for i in range(at + max(0, low - place), min(to, at + high - place)) if rank[i] == 0]
-                for p_cid, p_n, p_comp, p_d, p_can, begin in [(*x, at) for x in held] + [(cid[i], n[i], comp[i], d0[i], can[i], i + 1) for i in new]:
-                    m, c, d, k = n[begin:to], comp[begin:to], d0[begin:to], cid[begin:to]
-                    # The smaller row of a pair must be looked up here; else another column has them.
-                    ok = (c != p_comp) & (100 * np.minimum(m, p_n) >= percent * np.maximum(m, p_n)) & ~(np.abs(d - p_d) > slack)
-                    ok &= (100 + percent) * np.minimum(can[begin:to], p_can) >= percent * (m + p_n)
-                    ok &= (rank[begin:to] == 0) | (m >= p_n)
-                    pb_.append(k[ok])
-                    pa_.append(np.full(int(ok.sum()), p_cid))
-                held += [(cid[i], n[i], comp[i], d0[i], can[i]) for i in new]
-                place += to - at
-                at = to
-                if pa_ and sum(map(len, pa_)):
-                    yield pa.RecordBatch.from_arrays([_i64(np.concatenate(pa_)), _i64(np.concatenate(pb_))], ["a", "b"])
-
-    return members.mapInArrow(meet, "a long, b long")
+            key = np.column_stack([np.asarray(b.column(i)) for i in range(3)])
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else []
+            for at, to in zip(begin, [*begin[1:], len(key)], strict=True):
+                if tuple(key[at]) != last and held:
+                    made += links_of(held, last)
+                    held = []
+                last = tuple(key[at])
+                held.append(b.slice(at, to - at))
+            if sum(len(x[0]) for x in made) > 1 << 14:
+                yield batch_of(made)
+                made = []
+        if held:
+            made += links_of(held, last)
+        if made:
+            yield batch_of(made)
+
+    def batch_of(made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cid, other, links = (np.concatenate(x) for x in zip(*made, strict=True))
+        return pa.RecordBatch.from_arrays([_i64(cid), _i64(other), pa.array(links, mask=links < 0)], ["cid", "other", "links"])
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        c = column.combine_chunks()
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return np.asarray(c.flatten()), np.repeat(np.arange(len(c)), np.asarray(c.value_lengths().fill_null(0)))
+
+    def links_of(held: list[pa.RecordBatch], key: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, p, q = key
+        t = pa.Table.from_batches(held)
+        cid, once = np.unique(np.asarray(t["cid"]), return_index=True)
+        t = t.take(pa.array(once))
+        m, block = len(cid), np.asarray(t["block"])
+        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        n = np.asarray(t["s"].combine_chunks().value_lengths())
+        na, nb = n[a][:, None], n[b][None, :]
+        todo = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+        if p == q:
+            todo &= a[:, None] < b[None, :]
+        values, rows = flat(t["known"])
+        if len(values):
+            at = np.minimum(np.searchsorted(cid, values), m - 1)
+            here = cid[at] == values
+            known = np.zeros((m, m), bool)
+            known[rows[here], at[here]] = True
+            todo &= ~(known | known.T)[np.ix_(a, b)]
+        if not todo.any():
+            return []
+        values, rows = flat(t["columns"])
+        todo &= products(values, rows, a, b, m) > 0
+        i, j = todo.any(axis=1), todo.any(axis=0)
+        a, b, todo = a[i], b[j], todo[np.ix_(i, j)]
+        if not len(a):
+            return []
+        values, rows = flat(t["s"])
+        x, y = np.nonzero(todo)
+        if len(x) * PAIR_COST < len(a) * len(b):
+            # Few pairs: one by one.
+            values, ends = values.view(np.uint64), np.cumsum(n)
+            of = [values[e - k : e] for e, k in zip(ends, n, strict=True)]
+            shared = np.array([int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) for u, v in ((of[a[i]], of[b[j]]) for i, j in zip(x, y, strict=True))])
+        else:
+            used = np.zeros(m, bool)
+            used[a] = used[b] = True
+            shared = products(values[used[rows]], rows[used[rows]], a, b, m)[x, y].astype(np.int64)
+        ok = 100 * shared >= percent * (n[a[x]] + n[b[y]] - shared)
+        x, y = x[ok], y[ok]
+        if not len(x):
+            return []
+        x, y = a[x], b[y]
+        root = np.arange(m)
+        while True:
+            least = np.minimum(root[x], root[y])
+            down = root.copy()
+            np.minimum.at(down, x, least)
+            np.minimum.at(down, y, least)
+            down = down[down]
+            if (down == root).all():
+                break
+            root = down
+        count = np.bincount(x, minlength=m) + np.bincount(y, minlength=m)
+        some, edge = np.flatnonzero(count), np.flatnonzero(root != np.arange(m))
+        return [(cid[some], cid[some], count[some].astype(np.int64)), (cid[edge], cid[root[edge]], np.full(len(edge), -1))]
+
+    return cells.mapInArrow(meet, "cid long, other long, links long")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -280,8 +363,8 @@ def is_link(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, class_links for every document.
 
-    ``class_id`` is the smallest doc_id of the same shingle set, ``class_links`` the links that
-    were counted for that class."""
+    ``class_id`` is the smallest doc_id of the same shingle set, ``class_links`` the number of
+    other classes that are linked to that class."""
     small_batches(docs)
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = written(shingle_rows(docs, percent), "shingle-rows")
@@ -297,37 +380,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
     sets = written(_full_rows(docs, ids), "sets")
     counted = written(overlaps(pairs, sets), "overlaps")
-    links = counted.where(is_link(percent)).select("a", "b")
+    links = counted.where(is_link(percent)).select("a", "b").distinct()
     labels = written(connected_components(links.toDF("u", "v")), "labels")
-    # Columns whose rows are not all of one component yet. The distance to the first row is
-    # exact where the pair was counted, else at least what the sizes leave.
+    # Columns with looked-up rows besides the first: the first has met all others, those have not.
     big = met.where("big").select("h", F.col("a").alias("first"), F.col("b").alias("cid"), "na", "nb", "looked_up")
-    exact = counted.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d0"))
-    one = (F.least("first", "cid") == F.col("a")) & (F.greatest("first", "cid") == F.col("b"))
-    members = big.join(exact, one, "left").select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", F.col("nb").alias("n"), F.coalesce("d0", F.lit(float("nan"))).alias("d0"))
-    firsts = big.groupBy("h", "first").agg(F.min("na").alias("na")).select("h", F.lit(0).cast("long"), "first", "na", F.lit(0.0))
-    members = members.union(firsts)
-    done = pairs
-    low, high = 0, 1
-    members = _still_open(members, labels, 1)
+    several = big.groupBy("h").agg(F.max("looked_up").alias("more")).where("more").select("h")
+    members = big.select("h", "cid", F.col("nb").alias("n")).union(big.select("h", "first", "na").distinct()).join(several, "h", "left_semi")
+    members = written(members, "members")
     can = written(_shareable(sets, members), "shareable")
-    members = members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n"))
-    while True:
-        members = written(_still_open(members, labels, low), "members")
-        if members.isEmpty():
-            break
-        later = later_meetings(members.select("h", "rank", "cid", "n", "comp", "d0", "m").repartition("h").sortWithinPartitions("h", "rank", F.col("n") - F.col("m"), "cid"), low, high, percent)
-        new = later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        counted = written(overlaps(new, sets), "overlaps")
-        joined = counted.where(is_link(percent)).select("a", "b")
-        if not joined.isEmpty():
-            labels = written(_joined_labels(labels, joined), "labels")
-            links = links.union(joined)
-        done = done.union(new)
-        low, high = high, high * 8
+    members = written(members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n")).select("h", "cid"), "members")
+    found = written(cell_links(_cells(members, sets, links), percent), "cell-links")
+    labels = written(_joined_labels(labels, found.where("links is null").select(F.col("cid").alias("a"), F.col("other").alias("b"))), "labels")
     of = classes.select("fa", "fb", "n", "cid")
-    linked = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("class_links")).withColumnRenamed("a", "cid")
+    one = F.lit(1).cast("long")
+    linked = links.select(F.col("a").alias("cid"), one.alias("links")).union(links.select("b", one)).union(found.where("links is not null").select("cid", "links"))
+    linked = linked.groupBy("cid").agg(F.sum("links").alias("class_links"))
     of = of.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(linked, "cid", "left")
     out = rows.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id"))
@@ -337,13 +404,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _still_open(members: DataFrame, labels: DataFrame, low: int) -> DataFrame:
-    """The rows of columns that hold several components and looked-up rows past ``low``."""
-    of = labels.select(F.col("node").alias("_node"), F.col("component").alias("_of"))
-    m = members.drop("comp").join(of, F.col("cid") == F.col("_node"), "left").withColumn("comp", F.coalesce("_of", "cid")).drop("_node", "_of")
-    several = m.groupBy("h").agg(F.min("comp").alias("u"), F.max("comp").alias("v"), F.sum(1 - F.col("rank")).alias("k")).where(f"u <> v and k > {low}").select("h")
-    m = m.join(several, "h", "left_semi")
-    return m.select("h", "rank", "cid", "n", "comp", "d0", *[c for c in ("m",) if c in m.columns])
+def _cells(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``members`` (h, cid) as the cells of ``cell_links``: the rows that columns join to a
+    group in blocks of about BLOCK, and a cell for every two blocks."""
+    least = members.groupBy("h").agg(F.min("cid").alias("v"))
+    groups = written(connected_components(members.join(least, "h").select(F.col("cid").alias("u"), "v")), "groups")
+    groups = groups.select(F.col("node").alias("cid"), F.col("component").alias("g"))
+    blocks = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    of = members.groupBy("cid").agg(F.collect_set("h").alias("columns"))
+    known = links.groupBy(F.col("a").alias("cid")).agg(F.collect_list("b").alias("known"))
+    rows = groups.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "cid", "block")
+    cells = rows.join(of, "cid").join(known, "cid", "left").join(sets, "cid")
+    cells = cells.select("g", "p", "q", "cid", "block", "columns", F.coalesce("known", F.array().cast("array<long>")).alias("known"), "s")
+    return cells.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
 
 
 def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:

@@ -229,3 +229,38 @@ def test_windows_cover_every_word():
     starts, counts, of = toxicity.windows_of(per_word, rows)
     assert counts.sum() == len(codes) and list(of) == [0, 1]
     assert len(toxicity.distances(toxicity.compressor(b"x" * 64), toxicity.compressor(b"y" * 64), pa.array(["a", None, ""]))) == 3
+
+
+def brute_class_links(texts):
+    sets = defaultdict(list)
+    for i, t in texts:
+        sets[shingles(t)].append(i)
+    near = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: (min(ids), sum(near(s, z) for z in sets if s and z)) for s, ids in sets.items() if s for i in ids}
+
+
+def near_copies(seed, groups=4, rows=40):
+    """Groups of differing near copies, all of which share columns."""
+    r = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(r.choice([60, 100, 200]))]
+        for _ in range(rows):
+            t = list(base)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                t[r.randrange(len(t))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    for seed, block in ((1, 1024), (2, 16)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
+        texts = near_copies(seed) + [(1000 + i, t) for i, t in near_texts(seed)]
+        d = spark.createDataFrame(texts, "doc_id long, text string")
+        out = ngram_join.near_duplicates(d).collect()
+        want = brute_class_links(texts)
+        assert {r["doc_id"]: (r["class_id"], r["class_links"]) for r in out if r["n_shingles"]} == want
+        assert max(k for _, k in want.values()) > 20
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts)
