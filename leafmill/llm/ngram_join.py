@@ -77,7 +77,7 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, fa, fb, tokens, x, quota for every document.
 
     (fa, fb) identify the set. ``tokens`` are the row's columns in the first block, by digest;
-    null where the task has met the set before. The first ``x`` of them may be looked up, and
+    null where the task has met the set before and in rows without doc_id. The first ``x`` of them may be looked up, and
     ``quota`` of those must be."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +87,7 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
             n, x, quota = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
             fa, fb = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
             tokens: list[np.ndarray | None] = [None] * m
+            named = np.asarray(b.column(0).is_valid())
             for r, s in shingle_sets(b.column(1)):
                 k = len(s)
                 n[r], fa[r] = k, mix(s).sum(dtype=np.uint64)
@@ -97,7 +98,7 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
                 own = inside(block_part(k * 100 // percent + 1))
                 x[r], quota[r] = (own, need) if own >= need else (prefix, prefix)
                 key = (int(fa[r]), int(fb[r]))
-                if key in met:
+                if key in met or not named[r]:
                     continue
                 if len(met) < 1 << 18:
                     met.add(key)

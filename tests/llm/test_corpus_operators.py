@@ -264,3 +264,12 @@ def test_every_link_is_counted(spark, monkeypatch):
         assert {r["doc_id"]: (r["class_id"], r["class_links"]) for r in out if r["n_shingles"]} == want
         assert max(k for _, k in want.values()) > 20
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts)
+
+
+def test_near_copies_of_a_set_first_met_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join(words[:-1])
+    d = spark.createDataFrame([(None, text), (5, text), (6, near)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["component_id"], r["class_links"]) for r in ngram_join.near_duplicates(d).collect()}
+    assert got[5] == (5, 1) and got[6] == (5, 1)
+    assert {r["doc_id"] for r in ngram_join.one_of_each(d).where("doc_id is not null").collect()} == {5}
