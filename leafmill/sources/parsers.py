@@ -81,12 +81,23 @@ def detect_delimiter(source: str) -> str:
     return best
 
 
-def csv_blocks(source: str, max_rows: int = 5000) -> list[dict]:
-    """Tables of at most ten columns each, short rows padded, at most forty columns in all."""
-    rows = csv_rows(source, detect_delimiter(source), min(max(max_rows, 100), 10_000))
-    width = min(max(map(len, rows), default=0), MAX_COLUMNS)
+def _warnings(rows: int, columns: int) -> list[dict]:
+    """A block of kind ``warning`` for each way in which a table was cut."""
+    said = [f"Rows after the first {rows} were omitted."] * bool(rows) + [f"Columns after column {columns} were omitted."] * bool(columns)
+    return [{"kind": "warning", "text": t} for t in said]
+
+
+def csv_blocks(source: str, max_rows: int | None = None) -> list[dict]:
+    """Tables of at most ten columns each, short rows padded. All rows, unless ``max_rows`` is given,
+    and at most forty columns in all; what that leaves out is said in a block of kind ``warning``."""
+    rows = csv_rows(source, detect_delimiter(source), None if max_rows is None else max_rows + 1)
+    cut = max_rows is not None and len(rows) > max_rows
+    rows = rows[:max_rows]
+    widest = max(map(len, rows), default=0)
+    width = min(widest, MAX_COLUMNS)
     padded = [(r + [""] * width)[:width] for r in rows]
-    return [{"kind": "table", "rows": [r[i : i + SECTION] for r in padded]} for i in range(0, width, SECTION)]
+    out = [{"kind": "table", "rows": [r[i : i + SECTION] for r in padded]} for i in range(0, width, SECTION)]
+    return out + _warnings(max_rows if cut else 0, width if widest > width else 0)
 
 
 class _Html(html.parser.HTMLParser):
@@ -294,8 +305,11 @@ def docx_blocks(content: bytes) -> list[dict]:
     return out
 
 
-def xlsx_blocks(content: bytes, max_rows: int = 10_000, max_columns: int = MAX_COLUMNS) -> list[dict]:
-    """A heading and a table for each sheet; shared strings resolved, cached values of formulas kept."""
+def xlsx_blocks(content: bytes, max_rows: int | None = None, max_columns: int = MAX_COLUMNS) -> list[dict]:
+    """A heading and a table for each sheet; shared strings resolved, cached values of formulas kept.
+
+    All rows, unless ``max_rows`` is given; what the limits leave out of a sheet is said in a block of
+    kind ``warning``."""
     z = zipfile.ZipFile(io.BytesIO(content))
     names = set(z.namelist())
     shared = ["".join(t.text or "" for t in _find(s, "t")) for s in _find(ET.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
@@ -307,8 +321,9 @@ def xlsx_blocks(content: bytes, max_rows: int = 10_000, max_columns: int = MAX_C
         part = "xl/" + (targets.get(_attribute(s, "id")) or f"worksheets/sheet{i}.xml").removeprefix("/xl/")
         if part not in names:
             continue
-        rows = []
-        for r in _find(ET.fromstring(z.read(part)), "row")[:max_rows]:
+        rows, wide = [], False
+        found = list(_find(ET.fromstring(z.read(part)), "row"))
+        for r in found[:max_rows]:
             cells: dict[int, str] = {}
             for c in (x for x in r if _local(x) == "c"):
                 letters = re.match(r"[A-Z]*", c.get("r") or "")[0]
@@ -328,13 +343,17 @@ def xlsx_blocks(content: bytes, max_rows: int = 10_000, max_columns: int = MAX_C
                     value = next(("=" + (f.text or "") for f in c if _local(f) == "f"), "")
                 if at < max_columns:
                     cells[at] = value
+                else:
+                    wide = True
             rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
         out += [{"kind": "heading", "level": 2, "text": s.get("name") or f"Sheet {i}"}, {"kind": "table", "rows": rows}]
+        out += _warnings(max_rows if max_rows is not None and len(found) > max_rows else 0, max_columns if wide else 0)
     return out
 
 
-def epub_blocks(content: bytes) -> list[dict]:
-    """The blocks of the chapters in the order of the spine; missing items are passed over."""
+def epub_blocks(content: bytes, most: int = 300) -> list[dict]:
+    """The blocks of the chapters in the order of the spine; missing items are passed over. More than
+    ``most`` items in the spine are refused."""
     z = zipfile.ZipFile(io.BytesIO(content))
     names = set(z.namelist())
     root = next((x.get("full-path") for x in _find(ET.fromstring(z.read("META-INF/container.xml")), "rootfile")), None)
@@ -342,7 +361,10 @@ def epub_blocks(content: bytes) -> list[dict]:
     base = root.rpartition("/")[0]
     manifest = {x.get("id"): x.get("href") for x in _find(package, "item")}
     out: list[dict] = []
-    for ref in _find(package, "itemref")[:300]:
+    spine = list(_find(package, "itemref"))
+    if len(spine) > most:
+        raise ValueError(f"EPUBs with more than {most} spine items are not read.")
+    for ref in spine:
         href = manifest.get(ref.get("idref"))
         path = resolve_path(f"{base}/{href}" if base else href) if href else None
         if path in names:
@@ -351,11 +373,14 @@ def epub_blocks(content: bytes) -> list[dict]:
 
 
 def pptx_blocks(content: bytes, most: int = 250) -> list[dict]:
-    """A heading and the paragraphs of each slide, in order of their numbers."""
+    """A heading and the paragraphs of each slide, in order of their numbers. More than ``most``
+    slides are refused."""
     z = zipfile.ZipFile(io.BytesIO(content))
     slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+    if len(slides) > most:
+        raise ValueError(f"Files of more than {most} slides are not read.")
     out: list[dict] = []
-    for number, name in slides[:most]:
+    for number, name in slides:
         out.append({"kind": "heading", "level": 2, "text": f"Slide {number}"})
         for p in _find(ET.fromstring(z.read(name)), "p"):
             if t := "".join(x.text or "" for x in _find(p, "t")).strip():

@@ -187,3 +187,26 @@ def test_blocks_frame(spark):
     d = spark.createDataFrame([(1, "a,b\n1,2"), (2, None), (3, "")], "doc_id long, source string")
     got = parsers.blocks(d, "csv").collect()
     assert [(r["doc_id"], r["kind"], r["rows"]) for r in got] == [(1, "table", [["a", "b"], ["1", "2"]])]
+
+
+def test_no_rows_are_lost_unsaid(spark):
+    text = "\n".join(f"{i},x" for i in range(12_000))
+    assert len(parsers.csv_blocks(text)[0]["rows"]) == 12_000
+    table, said = parsers.csv_blocks(text, max_rows=200)
+    assert len(table["rows"]) == 200 and said["kind"] == "warning"
+    assert len(parsers.csv_blocks("a,b\n1,2", max_rows=2)) == 1
+    assert [b["kind"] for b in parsers.csv_blocks(",".join(map(str, range(41))))] == ["table"] * 4 + ["warning"]
+    cells = "".join(f'<row><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 10_102))
+    book = _zip(xl__workbook_dot_xml='<workbook><sheets><sheet name="S"/></sheets></workbook>', xl__worksheets__sheet1_dot_xml=f"<worksheet><sheetData>{cells}</sheetData></worksheet>")
+    assert len(parsers.xlsx_blocks(book)[1]["rows"]) == 10_101
+    assert [b["kind"] for b in parsers.xlsx_blocks(book, max_rows=10)] == ["heading", "table", "warning"]
+    slides = _zip(**{f"ppt__slides__slide{i}_dot_xml": "<s><p><t>x</t></p></s>" for i in range(1, 252)})
+    refs, items = "".join(f'<itemref idref="i{i}"/>' for i in range(301)), "".join(f'<item id="i{i}" href="c.html"/>' for i in range(301))
+    book = {"META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>', "p.opf": f"<p><manifest>{items}</manifest><spine>{refs}</spine></p>", "c.html": "<p>x</p>"}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, t in book.items():
+            z.writestr(name, t)
+    for fmt, content in (("pptx", slides), ("epub", out.getvalue())):
+        d = spark.createDataFrame([(1, bytearray(content))], "doc_id long, source binary")
+        assert [r["kind"] for r in parsers.blocks(d, fmt).collect()] == ["error"]
