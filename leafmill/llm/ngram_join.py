@@ -24,8 +24,8 @@ overlaps. Only entries that can reach the threshold are ever made:
 So no link between different texts is lost, while copies are never expanded into all pairs.
 
 Defined cases: a null text or one without words has no shingles and stands alone; fewer than
-five words are one shingle; rows that repeat a doc_id are one node; rows without doc_id take
-no part and get a null component; an empty table gives an empty result; further columns play
+five words are one shingle; rows that repeat a doc_id with one text are one node; rows without doc_id
+take no part and get a null component; an empty table gives an empty result; further columns play
 no part.
 """
 
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .durable import written
@@ -68,6 +69,11 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, _i64(flat))
 
 
+def set_digests(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two digests that identify a set of shingles; the first is the id of its class."""
+    return mix(s).sum(dtype=np.uint64), mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+
+
 def block_part(n: int) -> float:
     """The part of the digests that the first block takes of a row of n shingles."""
     return 1.0 if n <= 40 else min(1.0, 0.15 + 1.2 / n**0.5)
@@ -89,9 +95,8 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
             tokens: list[np.ndarray | None] = [None] * m
             named = np.asarray(b.column(0).is_valid())
             for r, s in shingle_sets(b.column(1)):
-                k = len(s)
-                n[r], fa[r] = k, mix(s).sum(dtype=np.uint64)
-                fb[r] = mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+                k = n[r] = len(s)
+                fa[r], fb[r] = set_digests(s)
                 prefix = k - least_overlap(k, percent) + 1
                 need = k * (100 - percent) // (100 + percent) + 1
                 inside = lambda part, s=s: int(np.searchsorted(s, np.uint64(min(part * 2.0**64, 2.0**64 - 2048)), "right")) if part < 1 else len(s)
@@ -301,11 +306,11 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids (cid): FILTER_WORDS 64-bit words whatever their number.
+    """A Bloom filter of the ids (doc_id): FILTER_WORDS 64-bit words whatever their number.
 
     Built by a grouped bit_or; at most FILTER_WORDS rows reach the driver. It only spares work:
     ids that it lets through by chance do no harm, and once it is full it lets all through."""
-    spots = F.array(*[F.xxhash64(F.col("cid"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)) for k in range(FILTER_HASHES)])
+    spots = F.array(*[F.xxhash64(F.col("doc_id"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)) for k in range(FILTER_HASHES)])
     spot = ids.select(F.explode(spots).alias("p"))
     words = spot.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_WORDS, np.int64)
@@ -314,7 +319,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _full_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, s): the shingle sets of the documents in ``ids`` (cid), and of few others.
+    """(cid, s): the shingle sets of the documents in ``ids`` (doc_id), and of few others.
 
     The texts are not shuffled: each task passes over those that the filter does not know."""
     held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
@@ -329,11 +334,12 @@ def _full_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 known &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             some = b.filter(pa.array(known))
             sets: list[np.ndarray | None] = [None] * some.num_rows
+            cid = np.zeros(some.num_rows, np.uint64)
             for r, s in shingle_sets(some.column(1)):
-                sets[r] = s
-            yield pa.RecordBatch.from_arrays([some.column(0), _lists(sets)], ["cid", "s"])
+                sets[r], cid[r] = s, set_digests(s)[0]
+            yield pa.RecordBatch.from_arrays([_i64(cid), _lists(sets)], ["cid", "s"])
 
-    table = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("cid"), "text", *spots)
+    table = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *spots)
     return table.mapInArrow(rows, "cid long, s array<long>").where("s is not null")
 
 
@@ -366,12 +372,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ``class_id`` is the smallest doc_id of the same shingle set, ``class_links`` the number of
     other classes that are linked to that class."""
+    named = F.col("doc_id").isNotNull()
+    return labelled_rows(docs, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"),
+    )
+
+
+def labelled_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, fa, fb, class_id, component, class_links for every document; rows without doc_id
+    have the last three too if another row of their set has one."""
     small_batches(docs)
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = written(shingle_rows(docs, percent), "shingle-rows")
     of_class = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
-    classes = written(of_class.agg(F.min("doc_id").alias("cid")), "classes")
-    tokens = of_class.agg(F.min("doc_id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    classes = written(of_class.agg(F.min("doc_id").alias("class_id")).withColumn("cid", F.col("fa")), "classes")
+    tokens = of_class.agg(F.first("tokens", ignorenulls=True).alias("tokens")).withColumn("cid", F.col("fa"))
     columns = columns_of(classes, tokens).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n", "alone")
     # The rows with the fewest columns of their own come first: they are the likeliest to link.
     met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "alone", "cid"))
@@ -379,7 +395,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     ids = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
-    sets = written(_full_rows(docs, ids), "sets")
+    sets = written(_full_rows(docs, classes.join(ids, "cid", "left_semi").select(F.col("class_id").alias("doc_id"))), "sets")
     counted = written(overlaps(pairs, sets), "overlaps")
     links = counted.where(is_link(percent)).select("a", "b").distinct()
     labels = written(connected_components(links.toDF("u", "v")), "labels")
@@ -392,17 +408,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = written(members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n")).select("h", "cid"), "members")
     found = written(cell_links(_cells(members, sets, links), percent), "cell-links")
     labels = written(_joined_labels(labels, found.where("links is null").select(F.col("cid").alias("a"), F.col("other").alias("b"))), "labels")
-    of = classes.select("fa", "fb", "n", "cid")
     one = F.lit(1).cast("long")
     linked = links.select(F.col("a").alias("cid"), one.alias("links")).union(links.select("b", one)).union(found.where("links is not null").select("cid", "links"))
     linked = linked.groupBy("cid").agg(F.sum("links").alias("class_links"))
-    of = of.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(linked, "cid", "left")
-    out = rows.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id"))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", class_id)).alias("component_id"),
-        class_id.alias("class_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"),
-    )
+    # The component's id is the smallest doc_id of its classes.
+    of = classes.select("fa", "fb", "n", "cid", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    least = of.where("component is not null").groupBy("component").agg(F.min("class_id").alias("least"))
+    of = of.join(least, "component", "left").join(linked, "cid", "left")
+    of = of.select("fa", "fb", "n", "class_id", F.coalesce("least", "class_id").alias("component"), "class_links")
+    return rows.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
 
 
 def _cells(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -443,7 +457,34 @@ def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component, the smallest doc_id stays."""
-    keep = near_duplicates(docs, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_mine")).join(keep, F.col("_mine").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    """One row of ``docs`` for each component, that of the smallest doc_id.
+
+    Rows without doc_id stay if no row with one has their set, one row for each set; a row without
+    id and words stands alone. Where an id is on several rows, the rows are told apart by their sets."""
+    rows = written(labelled_rows(docs, percent).select("doc_id", "n", "fa", "fb", "component"), "labelled")
+    empty = F.col("n") == 0
+    group = F.coalesce("component", "doc_id")
+    kept = rows.where("doc_id is not null").groupBy(group.alias("group"), empty.alias("empty")).agg(F.min(F.struct("doc_id", "fa", "fb")).alias("k")).select("k.*")
+    kept = kept.union(rows.where("doc_id is null and component is null").select("doc_id", "fa", "fb").distinct())
+    kept = written(kept, "kept")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_id"))
+    several = written(several, "repeated-ids")
+    single = kept.where("doc_id is not null").select(F.col("doc_id").alias("_id")).join(several, "_id", "left_anti")
+    of = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_mine"), "text")
+    out = of.join(single, F.col("_mine") == F.col("_id"), "left_semi").select("_doc")
+    again = of.where("_mine is null").union(of.join(several, F.col("_mine") == F.col("_id"), "left_semi"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fa, fb = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            for r, s in shingle_sets(b.column(2)):
+                fa[r], fb[r] = set_digests(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _i64(fa), _i64(fb)], ["_doc", "_mine", "text", "_fa", "_fb"])
+
+    schema = StructType(again.schema.fields + [StructField("_fa", LongType()), StructField("_fb", LongType())])
+    again = again.mapInArrow(digests, schema)
+    lone = (F.col("_mine").isNull()) & (F.col("_fa") == 0) & (F.col("_fb") == 0)
+    same = F.col("_mine").eqNullSafe(F.col("doc_id")) & (F.col("_fa") == F.col("fa")) & (F.col("_fb") == F.col("fb"))
+    chosen = again.where(~lone).join(kept, same, "left_semi").groupBy("_mine", "_fa", "_fb").agg(F.min_by("_doc", F.coalesce("text", F.lit(""))).alias("_doc"))
+    out = out.union(chosen.select("_doc")).union(again.where(lone).select("_doc"))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -273,3 +273,17 @@ def test_near_copies_of_a_set_first_met_without_id(spark):
     got = {r["doc_id"]: (r["component_id"], r["class_links"]) for r in ngram_join.near_duplicates(d).collect()}
     assert got[5] == (5, 1) and got[6] == (5, 1)
     assert {r["doc_id"] for r in ngram_join.one_of_each(d).where("doc_id is not null").collect()} == {5}
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{k}" for k in range(60)]
+    t, near, v, u = " ".join(words), " ".join(words[:-1]), "another text of six words here", "a text without any id at all"
+    rows = [(5, t), (5, t), (9, t), (9, v), (7, near), (None, t), (None, u), (None, u), (None, None), (3, None), (3, None), (4, "z y x w v u")]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component string")
+    kept = ngram_join.one_of_each(d)
+    assert kept.columns == d.columns
+    want = [(5, t), (9, v), (None, u), (None, None), (3, None), (4, "z y x w v u")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert ngram_join.one_of_each(d.where("false")).count() == 0
+    got = {(r["doc_id"], r["class_links"]) for r in ngram_join.near_duplicates(d).collect() if r["doc_id"] in (5, 7, 9)}
+    assert got == {(5, 1), (7, 1), (9, 1), (9, 0)}
