@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
 
     Large-star and small-star steps alternate until the edges are a forest of stars whose
-    centres are the components; every step only joins and aggregates. Each round is written
-    to the shared folder."""
+    centres are the components; every step only joins and aggregates, so the edges of a hub
+    are summed before a shuffle and its side of a join can be split. Each round is written to
+    the shared folder, and the one before it goes."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
     while not _is_forest_of_stars(e):
@@ -23,8 +24,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(least).distinct(), "small-star")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        small = written(small.union(least).distinct(), "small-star")
+        dropped(e, large)
+        e = small
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct()), "components")
+    dropped(e)
+    return out
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:

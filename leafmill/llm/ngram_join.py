@@ -1,25 +1,26 @@
 r"""Near-duplicate documents by an n-gram Jaccard join: a blocked sparse product.
 
 Documents times shingles is a sparse 0/1 matrix M, and M times its transpose holds all
-overlaps. Only entries that can reach the threshold are ever made:
+overlaps. Only the blocks that can hold an overlap large enough are multiplied:
 
 1. Texts with one and the same shingle set are one row of M (a class).
-2. The first block of the product takes the columns whose digest is small. Of two rows with
+2. The first block of columns takes those whose digest is small. Of two rows with
    similarity t, the smaller (n shingles) lacks at most e = floor(n (1 - t) / (1 + t)) of its
    columns in the larger. So it need only be looked up in e + 1 of its columns: those
    with the fewest rows, counted over all documents. A row with more than e columns of its
    own alone needs none, which rules out documents that share passages only. A larger row
    is found in all its columns of the block. (Where a row has fewer than e + 1 columns in the
    block, the classical prefix of n - ceil(t n) + 1 columns of both stands in.)
-3. In a column of few rows all pairs with a looked-up row meet; in others the rows meet the
-   column's first looked-up row. Pairs whose sizes rule out the threshold are discarded. The
-   full rows of the pairs are multiplied, and a pair is a link if its overlap reaches
-   ceil(t / (1 + t) (n_a + n_b)).
-4. Where a column has more looked-up rows, the rows that can still share enough are grouped by
-   common columns and the groups multiplied in blocks: all pairs with a common column. These
-   blocks give the number of links of each row and a spanning forest of them, so the links of
-   large groups are all counted but not written one by one.
-5. Components come from the links by large-star and small-star steps.
+3. Columns are cut by size: a row stands in its own class of sizes (each 1 / t times the one
+   before) and is looked up in that and the next. So rows meet only rows of like size, and no
+   pair of rows is written: an aggregate by (column, size class) tells who meets anyone.
+4. The rows that meet are read in full. A row shares t n columns with some other of them at
+   least, and as the smaller row of a link all but e; the others go.
+5. Meeting rows form groups. A group is cut into blocks of bounded size, and each two blocks are
+   multiplied, some columns at a time: overlap counts accumulate, and pairs whose count cannot
+   reach ceil(t / (1 + t) (n_a + n_b)) any more are discarded. What leaves a block is the
+   number of links of each row and a spanning forest of them, never the pairs.
+6. Components come from the forest by large-star and small-star steps.
 
 So no link between different texts is lost, while copies are never expanded into all pairs.
 
@@ -35,21 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .durable import written
+from .durable import dropped, written
 from .shingles import least_overlap, mix, shingle_sets
 
 PERCENT = 80
-SMALL = 4
-#: Rows in a block of a group, about; columns in a dense product; what a pair by itself costs, in
-#: pairs of a dense product.
-BLOCK, WIDE, PAIR_COST = 2048, 4096, 20
-#: The Bloom filter that spares passing texts through the product: 8 MB, always.
-FILTER_WORDS, FILTER_HASHES = 1 << 20, 4
+#: Rows and shingles in a block of a group, about; columns multiplied at a time; what a pair by
+#: itself costs, in pairs of a dense product.
+BLOCK, BLOCK_SHINGLES, WIDE, PAIR_COST = 2048, 1 << 20, 2048, 20
+#: The Bloom filter that spares reading texts in full: 16 bits an id, 32 MB at most.
+FILTER_WORDS, FILTER_HASHES = 1 << 22, 4
 
 
 def small_batches(df: DataFrame) -> None:
@@ -113,107 +113,127 @@ def shingle_rows(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, fa long, fb long, tokens array<long>, x long, quota long")
 
 
-def columns_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(h, cid, n, looked_up, alone): the shared columns of the first block in which a row is
-    looked up; ``alone`` counts a looked-up row's columns that no other row has.
+def looked_up(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, cid, n): the columns in which each row is looked up.
 
-    ``classes`` has cid, x, quota; ``tokens`` the columns of each class as well."""
-    entries = tokens.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long"))
-    entries = entries.toDF("h", "cid", "n2").repartition("h")
-    counts = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows")
-    shared = written(entries.join(counts.hint("shuffle_hash"), F.col("h") == F.col("_h")).select("h", "cid", "n2", "rows"), "shared")
+    ``shared`` holds (h, cid, n2, rows), the columns that several rows have; ``classes`` has cid, x, quota."""
     # Of its x columns a row has x - mine alone; they count among its quota.
     mine = shared.where("n2 % 2 = 1").withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("rows", "h")))
     mine = mine.withColumn("mine", F.count("*").over(Window.partitionBy("cid")))
     looked = mine.join(classes.select(F.col("cid").alias("_cid"), "x", "quota"), F.col("cid") == F.col("_cid"))
-    looked = looked.where("place <= quota - (x - mine)").select(F.col("h").alias("_h"), F.col("cid").alias("_cid"), (F.col("x") - F.col("mine")).alias("alone"))
-    looked = written(looked, "looked-up")
-    of = shared.join(looked.select("_h").distinct(), F.col("h") == F.col("_h"), "left_semi").select("h", "cid", F.expr("n2 div 2").alias("n"))
-    return of.join(looked, (F.col("h") == F.col("_h")) & (F.col("cid") == F.col("_cid")), "left").select("h", "cid", "n", F.col("_cid").isNotNull().alias("looked_up"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    return looked.where("place <= quota - (x - mine)").select("h", "cid", F.expr("n2 div 2").alias("n"))
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sizes of one class, or of two that follow each other, hold every two sizes that can be linked."""
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("int")
+
+
+def meetings(shared: DataFrame, looked: DataFrame, percent: int) -> DataFrame:
+    """(h, s, cid, n, asks): the rows that meet another in column h and size class s, as those
+    looked up (asks) and as those found."""
+    s = size_class(F.col("n"), percent)
+    asks = written(looked.select("h", F.explode(F.array(s, s + 1)).alias("s"), "cid", "n"), "asks")
+    by = ["h", "s"]
+    asked = asks.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = shared.select("h", "cid", F.expr("n2 div 2").alias("n")).select("h", s.alias("s"), "cid", "n")
+    other = (F.col("lo") != F.col("cid")) | (F.col("hi") != F.col("cid"))
+    fits = (F.col("n") >= F.col("least")) & (F.col("n") * percent <= F.col("most") * 100)
+    found = written(rows.join(asked, by).where(other & fits).select(*by, "cid", "n"), "found")
+    met = found.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    asking = asks.join(met, by).where(other).select(*by, "cid", "n", F.lit(True).alias("asks"))
+    out = written(found.withColumn("asks", F.lit(False)).union(asking), "meetings")
+    dropped(asks, found)
+    return out
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (doc_id), of a power of two of 64-bit words, FILTER_WORDS at most.
+
+    Built by a grouped bit_or; no more rows than words reach the driver. It only spares work: an
+    exact join drops what it lets through by chance."""
+    size = 1
+    while size < FILTER_WORDS and size * 4 < ids.count():
+        size *= 2
+    spots = F.array(*[_spot(k, size) for k in range(FILTER_HASHES)])
+    spot = ids.select(F.explode(spots).alias("p"))
+    words = spot.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[np.asarray(words["w"])] = np.asarray(words["bits"])
+    return out.view(np.uint64)
 
 
-def first_meetings(columns: DataFrame) -> DataFrame:
-    """(h, a, b, na, nb, big, looked_up) for rows that meet in a column: all pairs with a
-    looked-up row where few rows share it, else each row with the first one.
+def _spot(k: int, words: int) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)).bitwiseAND(F.lit(words * 64 - 1))
 
-    Rows (h, rank, cid, n, alone) arrive sorted by (h, rank, alone, cid); rank 0 is looked up."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Columns that end inside the rows at hand are done at once; the last one is held over,
-        # of a long one only its first row.
-        rest = np.zeros((0, 4), np.int64)
-        pivot: np.ndarray | None = None
+def full_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, s): the shingle sets of the classes in ``wanted`` (cid, class_id), some of them repeated.
+
+    The texts are not shuffled: each task passes over those that a filter does not know."""
+    words = id_filter(wanted.select(F.col("class_id").alias("doc_id")))
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, met = held.value, set()
         for b in batches:
-            t = np.column_stack([np.asarray(b.column(i)) for i in range(4)]).astype(np.int64)
-            if pivot is not None:
-                other = t[:, 0] != pivot[0]
-                same = int(other.argmax()) if other.any() else len(t)
-                if same:
-                    yield meeting(np.broadcast_to(pivot, (same, 4)), t[:same], True)
-                t = t[same:]
-                if not len(t):
-                    continue
-                pivot = None
-            t = np.concatenate([rest, t])
-            first = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]]))
-            last = first[-1]
-            if len(t) - last > SMALL:
-                pivot = t[last].copy()
-                yield meeting(np.broadcast_to(pivot, (len(t) - last - 1, 4)), t[last + 1 :], True)
-                rest = np.zeros((0, 4), np.int64)
-            else:
-                rest = t[last:].copy()
-            yield from closed(t[:last], first[:-1])
-        if len(rest):
-            yield from closed(rest, np.array([0]))
-
-    def meeting(x: np.ndarray, y: np.ndarray, big: bool) -> pa.RecordBatch:
-        columns = [_i64(x[:, 0]), _i64(x[:, 2]), _i64(y[:, 2]), _i64(x[:, 3]), _i64(y[:, 3]), pa.array(np.full(len(x), big)), pa.array(y[:, 1] == 0)]
-        return pa.RecordBatch.from_arrays(columns, ["h", "a", "b", "na", "nb", "big", "looked_up"])
-
-    def closed(t: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(t):
-            return
-        size = np.diff(np.append(first, len(t)))
-        run = np.repeat(np.arange(len(first)), size)
-        place = np.arange(len(t)) - first[run]
-        for back in range(1, SMALL):
-            i = np.flatnonzero((size[run] <= SMALL) & (place >= back))
-            i = i[t[i - back, 1] == 0]
-            if len(i):
-                yield meeting(t[i - back], t[i], False)
-        i = np.flatnonzero((size[run] > SMALL) & (place > 0))
-        if len(i):
-            yield meeting(t[first[run[i]]], t[i], True)
-
-    return columns.mapInArrow(meet, "h long, a long, b long, na long, nb long, big boolean, looked_up boolean")
-
-
-def products(values: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
-    """How many values each row of ``a`` shares with each row of ``b``; ``m`` rows in all, no row
-    has a value twice. Dense products of WIDE columns at a time."""
-    out = np.zeros((len(a), len(b)), np.float32)
-    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
-    several = times > 1
-    keep = several[at]
-    at, rows = (np.cumsum(several) - 1)[at[keep]], rows[keep]
-    order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
-    for c in range(0, int(several.sum()), WIDE):
-        lo, hi = np.searchsorted(at, (c, c + WIDE))
-        dense = np.zeros((m, min(WIDE, int(several.sum()) - c)), np.float32)
-        dense[rows[lo:hi], at[lo:hi] - c] = 1
-        out += dense[a] @ dense[b].T
-    return out
+            known = np.ones(b.num_rows, bool)
+            for k in range(FILTER_HASHES):
+                p = np.asarray(b.column(1 + k)).astype(np.uint64)
+                known &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            some = b.filter(pa.array(known))
+            sets: list[np.ndarray] = []
+            cid: list[np.uint64] = []
+            for _, s in shingle_sets(some.column(0)):
+                c = set_digests(s)[0]
+                if c not in met:
+                    sets.append(s)
+                    cid.append(c)
+                    if len(met) < 1 << 18:
+                        met.add(c)
+            yield pa.RecordBatch.from_arrays([_i64(np.array(cid, np.uint64)), _lists(sets)], ["cid", "s"])
+
+    table = docs.where("doc_id is not null and text is not null").select("text", *[_spot(k, len(words)).alias(f"p{k}") for k in range(FILTER_HASHES)])
+    return table.mapInArrow(rows, "cid long, s array<long>").join(wanted.select("cid"), "cid", "left_semi")
+
+
+def still_open(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``meets`` without the rows that share too few of all their columns with the others of ``sets``.
+
+    Both rows of a link are among ``sets``, so a row's columns that another of them has too bound its overlaps."""
+    columns = sets.select("cid", F.explode("s").alias("h"))
+    twice = columns.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h"))
+    can = columns.join(twice.hint("shuffle_hash"), F.col("h") == F.col("_h")).groupBy("cid").agg(F.count("*").alias("m"))
+    can = written(can, "shareable")
+    enough = F.when(F.col("asks"), (F.col("n") - F.col("m")) * (100 + percent) <= F.col("n") * (100 - percent)).otherwise(F.col("m") * 100 >= F.col("n") * percent)
+    left = written(meets.join(can, "cid").where(enough).select("h", "s", "cid", "asks"), "open")
+    dropped(can)
+    return left
+
+
+def grouped(meets: DataFrame) -> DataFrame:
+    """(node, component): the rows that meet, directly or through others."""
+    first = F.min(F.when(F.col("asks"), F.col("cid"))).alias("v")
+    buckets = meets.groupBy("h", "s").agg(first, F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("v is not null and lo <> hi")
+    edges = meets.join(buckets.select("h", "s", "v"), ["h", "s"]).select(F.col("cid").alias("u"), "v")
+    return connected_components(edges)
+
+
+def cells_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, p, q, cid, block, s), sorted by (g, p, q): each group in blocks of about BLOCK rows and
+    BLOCK_SHINGLES shingles, and a cell for every two blocks."""
+    rows = sets.join(groups.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid")
+    sizes = groups.select(F.col("node").alias("cid"), F.col("component").alias("g")).join(sets.select("cid", F.size("s").alias("n")), "cid")
+    blocks = sizes.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = rows.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "cid", "block", "s")
+    return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
 
 
 def cell_links(cells: DataFrame, percent: int) -> DataFrame:
     """(cid, other, links) of the links between the rows of each cell: how many each row has, and
-    edges (links null) that join the linked rows.
-
-    Rows (g, p, q, cid, block, columns, known, s) arrive sorted by (g, p, q). A cell holds the rows of
-    two blocks p <= q of group g; pairs without a common column are no links, and pairs that are
-    ``known`` links are counted elsewhere."""
+    edges (links null) that join the linked rows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -240,58 +260,20 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
         cid, other, links = (np.concatenate(x) for x in zip(*made, strict=True))
         return pa.RecordBatch.from_arrays([_i64(cid), _i64(other), pa.array(links, mask=links < 0)], ["cid", "other", "links"])
 
-    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        c = column.combine_chunks()
-        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        return np.asarray(c.flatten()), np.repeat(np.arange(len(c)), np.asarray(c.value_lengths().fill_null(0)))
-
     def links_of(held: list[pa.RecordBatch], key: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         _, p, q = key
-        t = pa.Table.from_batches(held)
-        cid, once = np.unique(np.asarray(t["cid"]), return_index=True)
-        t = t.take(pa.array(once))
-        m, block = len(cid), np.asarray(t["block"])
-        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        n = np.asarray(t["s"].combine_chunks().value_lengths())
-        na, nb = n[a][:, None], n[b][None, :]
-        todo = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-        if p == q:
-            todo &= a[:, None] < b[None, :]
-        values, rows = flat(t["known"])
-        if len(values):
-            at = np.minimum(np.searchsorted(cid, values), m - 1)
-            here = cid[at] == values
-            known = np.zeros((m, m), bool)
-            known[rows[here], at[here]] = True
-            todo &= ~(known | known.T)[np.ix_(a, b)]
-        if not todo.any():
-            return []
-        values, rows = flat(t["columns"])
-        todo &= products(values, rows, a, b, m) > 0
-        i, j = todo.any(axis=1), todo.any(axis=0)
-        a, b, todo = a[i], b[j], todo[np.ix_(i, j)]
-        if not len(a):
-            return []
-        values, rows = flat(t["s"])
-        x, y = np.nonzero(todo)
-        if len(x) * PAIR_COST < len(a) * len(b):
-            # Few pairs: one by one.
-            values, ends = values.view(np.uint64), np.cumsum(n)
-            of = [values[e - k : e] for e, k in zip(ends, n, strict=True)]
-            shared = np.array([int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) for u, v in ((of[a[i]], of[b[j]]) for i, j in zip(x, y, strict=True))])
-        else:
-            used = np.zeros(m, bool)
-            used[a] = used[b] = True
-            shared = products(values[used[rows]], rows[used[rows]], a, b, m)[x, y].astype(np.int64)
-        ok = 100 * shared >= percent * (n[a[x]] + n[b[y]] - shared)
-        x, y = x[ok], y[ok]
+        cid, once = np.unique(np.concatenate([np.asarray(b.column(3)) for b in held]), return_index=True)
+        block = np.concatenate([np.asarray(b.column(4)) for b in held])[once]
+        sets = [x for b in held for x in _parts(b.column(5))]
+        sets = [sets[i] for i in once]
+        x, y = linked_pairs(sets, np.flatnonzero(block == p), np.flatnonzero(block == q), percent)
         if not len(x):
             return []
-        x, y = a[x], b[y]
+        m = len(cid)
         root = np.arange(m)
         while True:
-            least = np.minimum(root[x], root[y])
             down = root.copy()
+            least = np.minimum(root[x], root[y])
             np.minimum.at(down, x, least)
             np.minimum.at(down, y, least)
             down = down[down]
@@ -305,66 +287,69 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
     return cells.mapInArrow(meet, "cid long, other long, links long")
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids (doc_id): FILTER_WORDS 64-bit words whatever their number.
-
-    Built by a grouped bit_or; at most FILTER_WORDS rows reach the driver. It only spares work:
-    ids that it lets through by chance do no harm, and once it is full it lets all through."""
-    spots = F.array(*[F.xxhash64(F.col("doc_id"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)) for k in range(FILTER_HASHES)])
-    spot = ids.select(F.explode(spots).alias("p"))
-    words = spot.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.int64)
-    out[np.asarray(words["w"])] = np.asarray(words["bits"])
-    return out.view(np.uint64)
-
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    ends = np.asarray(lists.offsets)
+    flat = np.asarray(lists.values).view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-def _full_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, s): the shingle sets of the documents in ``ids`` (doc_id), and of few others.
 
-    The texts are not shuffled: each task passes over those that the filter does not know."""
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    spots = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)).alias(f"p{k}") for k in range(FILTER_HASHES)]
+def linked_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between the rows ``a`` and the rows ``b`` of ``sets`` (each pair once, if ``a`` is ``b``).
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
-        for b in batches:
-            known = np.ones(b.num_rows, bool)
-            for k in range(FILTER_HASHES):
-                p = np.asarray(b.column(2 + k)).astype(np.uint64)
-                known &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            some = b.filter(pa.array(known))
-            sets: list[np.ndarray | None] = [None] * some.num_rows
-            cid = np.zeros(some.num_rows, np.uint64)
-            for r, s in shingle_sets(some.column(1)):
-                sets[r], cid[r] = s, set_digests(s)[0]
-            yield pa.RecordBatch.from_arrays([_i64(cid), _lists(sets)], ["cid", "s"])
+    The product of both blocks, WIDE columns at a time: pairs whose count cannot reach the
+    bound any more are discarded, and rows without pairs; few pairs left are counted one by one."""
+    n = np.array([len(s) for s in sets])
+    todo = 100 * np.minimum.outer(n[a], n[b]) >= percent * np.maximum.outer(n[a], n[b])
+    if len(a) == len(b) and (a == b).all():
+        todo &= np.less.outer(a, b)
+    shared = np.zeros(todo.shape, np.float32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    table = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *spots)
-    return table.mapInArrow(rows, "cid long, s array<long>").where("s is not null")
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared): the product's entries for ``pairs`` (a, b), in blocks of rows."""
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = b.column(2), b.column(3)
-            la, lb = np.asarray(left.offsets), np.asarray(right.offsets)
-            fa, fb = np.asarray(left.values).view(np.uint64), np.asarray(right.values).view(np.uint64)
-            shared = np.zeros(b.num_rows, np.int64)
-            for i in range(b.num_rows):
-                x, y = fa[la[i] : la[i + 1]], fb[lb[i] : lb[i + 1]]
-                if len(x) and len(y):
-                    shared[i] = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _i64(np.diff(la)), _i64(np.diff(lb)), _i64(shared)], ["a", "b", "na", "nb", "shared"])
-
-    x, y = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
-    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(multiply, "a long, b long, na long, nb long, shared long")
-
-
-def is_link(percent: int):
-    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+    def narrowed() -> None:
+        nonlocal a, b, todo, shared
+        i, j = todo.any(axis=1), todo.any(axis=0)
+        if not (i.all() and j.all()):
+            a, b, todo, shared = a[i], b[j], todo[np.ix_(i, j)], shared[np.ix_(i, j)]
+
+    def few() -> bool:
+        return int(todo.sum()) * PAIR_COST <= todo.size or todo.size < 64
+
+    narrowed()
+    if len(a) and not few():
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), n)
+        _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+        keep = times[at] > 1
+        at, row = (np.cumsum(times > 1) - 1)[at[keep]], row[keep]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        left = np.bincount(row, minlength=len(sets))
+        columns = int((times > 1).sum())
+        for c in range(0, columns, WIDE):
+            bound = (percent * np.add.outer(n[a], n[b]) + percent + 99) // (100 + percent)
+            todo &= shared + np.minimum.outer(left[a], left[b]) >= bound
+            narrowed()
+            if not len(a) or few():
+                break
+            lo, hi = np.searchsorted(at, (c, c + WIDE))
+            dense = np.zeros((len(sets), min(WIDE, columns - c)), np.float32)
+            dense[row[lo:hi], at[lo:hi] - c] = 1
+            shared += dense[a] @ dense[b].T
+            left = left - np.bincount(row[lo:hi], minlength=len(sets))
+        else:
+            x, y = np.nonzero(todo)
+            s = shared[x, y].astype(np.int64)
+            ok = 100 * s >= percent * (n[a[x]] + n[b[y]] - s)
+            found.append((a[x[ok]], b[y[ok]]))
+            todo = todo[:0]
+    x, y = np.nonzero(todo)
+    if len(x):
+        pairs = zip(a[x], b[y], strict=True)
+        s = np.array([int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) for u, v in ((sets[i], sets[j]) for i, j in pairs)])
+        ok = 100 * s >= percent * (n[a[x]] + n[b[y]] - s)
+        found.append((a[x[ok]], b[y[ok]]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([x for x, _ in found] or [none]), np.concatenate([y for _, y in found] or [none]))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -383,77 +368,37 @@ def labelled_rows(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, fa, fb, class_id, component, class_links for every document; rows without doc_id
     have the last three too if another row of their set has one."""
     small_batches(docs)
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    rows = written(shingle_rows(docs, percent), "shingle-rows")
-    of_class = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
-    classes = written(of_class.agg(F.min("doc_id").alias("class_id")).withColumn("cid", F.col("fa")), "classes")
-    tokens = of_class.agg(F.first("tokens", ignorenulls=True).alias("tokens")).withColumn("cid", F.col("fa"))
-    columns = columns_of(classes, tokens).select("h", (~F.col("looked_up")).cast("long").alias("rank"), "cid", "n", "alone")
-    # The rows with the fewest columns of their own come first: they are the likeliest to link.
-    met = first_meetings(columns.repartition("h").sortWithinPartitions("h", "rank", "alone", "cid"))
-    met = written(met.where("a <> b").where(F.col("big") | fits), "meetings")
-    pairs = met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    ids = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
-    sets = written(_full_rows(docs, classes.join(ids, "cid", "left_semi").select(F.col("class_id").alias("doc_id"))), "sets")
-    counted = written(overlaps(pairs, sets), "overlaps")
-    links = counted.where(is_link(percent)).select("a", "b").distinct()
-    labels = written(connected_components(links.toDF("u", "v")), "labels")
-    # Columns with looked-up rows besides the first: the first has met all others, those have not.
-    big = met.where("big").select("h", F.col("a").alias("first"), F.col("b").alias("cid"), "na", "nb", "looked_up")
-    several = big.groupBy("h").agg(F.max("looked_up").alias("more")).where("more").select("h")
-    members = big.select("h", "cid", F.col("nb").alias("n")).union(big.select("h", "first", "na").distinct()).join(several, "h", "left_semi")
-    members = written(members, "members")
-    can = written(_shareable(sets, members), "shareable")
-    members = written(members.join(can, "cid").where(100 * F.col("m") >= percent * F.col("n")).select("h", "cid"), "members")
-    found = written(cell_links(_cells(members, sets, links), percent), "cell-links")
-    labels = written(_joined_labels(labels, found.where("links is null").select(F.col("cid").alias("a"), F.col("other").alias("b"))), "labels")
-    one = F.lit(1).cast("long")
-    linked = links.select(F.col("a").alias("cid"), one.alias("links")).union(links.select("b", one)).union(found.where("links is not null").select("cid", "links"))
-    linked = linked.groupBy("cid").agg(F.sum("links").alias("class_links"))
+    with_tokens = written(shingle_rows(docs, percent), "shingle-rows")
+    rows = written(with_tokens.select("doc_id", "n", "fa", "fb"), "rows")
+    of_class = with_tokens.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
+    classes = of_class.agg(F.min("doc_id").alias("class_id"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    classes = written(classes.withColumn("cid", F.col("fa")), "classes")
+    dropped(with_tokens)
+    entries = classes.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", (F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long")).alias("n2"))
+    counts = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows")
+    shared = written(entries.join(counts.hint("shuffle_hash"), F.col("h") == F.col("_h")).select("h", "cid", "n2", "rows"), "shared")
+    keys = written(classes.drop("tokens"), "class-keys")
+    dropped(classes)
+    looked = written(looked_up(shared, keys), "looked-up")
+    meets = meetings(shared, looked, percent)
+    dropped(shared, looked)
+    wanted = written(keys.select("cid", "class_id").join(meets.select("cid").distinct(), "cid", "left_semi"), "wanted")
+    sets = written(full_rows(docs, wanted), "sets")
+    left = still_open(meets, sets, percent)
+    dropped(meets, wanted)
+    groups = grouped(left)
+    dropped(left)
+    found = written(cell_links(cells_of(groups, sets), percent), "cell-links")
+    dropped(groups, sets)
+    labels = connected_components(found.where("links is null").select(F.col("cid").alias("u"), F.col("other").alias("v")))
+    linked = found.where("links is not null").groupBy("cid").agg(F.sum("links").alias("class_links"))
     # The component's id is the smallest doc_id of its classes.
-    of = classes.select("fa", "fb", "n", "cid", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    of = keys.select("fa", "fb", "n", "cid", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     least = of.where("component is not null").groupBy("component").agg(F.min("class_id").alias("least"))
     of = of.join(least, "component", "left").join(linked, "cid", "left")
-    of = of.select("fa", "fb", "n", "class_id", F.coalesce("least", "class_id").alias("component"), "class_links")
-    return rows.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
-
-
-def _cells(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``members`` (h, cid) as the cells of ``cell_links``: the rows that columns join to a
-    group in blocks of about BLOCK, and a cell for every two blocks."""
-    least = members.groupBy("h").agg(F.min("cid").alias("v"))
-    groups = written(connected_components(members.join(least, "h").select(F.col("cid").alias("u"), "v")), "groups")
-    groups = groups.select(F.col("node").alias("cid"), F.col("component").alias("g"))
-    blocks = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    of = members.groupBy("cid").agg(F.collect_set("h").alias("columns"))
-    known = links.groupBy(F.col("a").alias("cid")).agg(F.collect_list("b").alias("known"))
-    rows = groups.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "cid", "block")
-    cells = rows.join(of, "cid").join(known, "cid", "left").join(sets, "cid")
-    cells = cells.select("g", "p", "q", "cid", "block", "columns", F.coalesce("known", F.array().cast("array<long>")).alias("known"), "s")
-    return cells.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-
-
-def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(cid, m): how many columns of each row in question another such row has too.
-
-    Two rows that may still be linked are both in question, so m bounds their overlap. Half of
-    each digest will do: columns taken for one another can only raise m."""
-    full = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode(F.transform("s", lambda h: F.shiftright(h, 32).cast("int"))).alias("h")).repartition("h")
-    twice = full.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h"))
-    return full.join(twice.hint("shuffle_hash"), F.col("h") == F.col("_h")).groupBy("cid").agg(F.count("*").alias("m"))
-
-
-def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after ``links`` between their nodes."""
-    x = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    between = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-    merged = written(connected_components(between), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
-    nodes = labels.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
-    return nodes.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    of = written(of.select("fa", "fb", "n", "class_id", F.coalesce("least", "class_id").alias("component"), "class_links"), "class-labels")
+    dropped(keys, found, labels)
+    return rows.join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
