@@ -393,10 +393,10 @@ def labelled_rows(docs: DataFrame, percent: int) -> DataFrame:
     labels = connected_components(found.where("links is null").select(F.col("cid").alias("u"), F.col("other").alias("v")))
     linked = found.where("links is not null").groupBy("cid").agg(F.sum("links").alias("class_links"))
     # The component's id is the smallest doc_id of its classes.
-    of = keys.select("fa", "fb", "n", "cid", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    least = of.where("component is not null").groupBy("component").agg(F.min("class_id").alias("least"))
-    of = of.join(least, "component", "left").join(linked, "cid", "left")
-    of = written(of.select("fa", "fb", "n", "class_id", F.coalesce("least", "class_id").alias("component"), "class_links"), "class-labels")
+    of = labels.withColumnRenamed("node", "cid").join(keys.select("cid", "class_id"), "cid")
+    of = of.join(of.groupBy("component").agg(F.min("class_id").alias("least")), "component").select("cid", F.col("least").alias("component"))
+    of = keys.select("fa", "fb", "n", "cid", "class_id").join(of, "cid", "left").join(linked, "cid", "left")
+    of = written(of.select("fa", "fb", "n", "class_id", F.coalesce("component", "class_id").alias("component"), "class_links"), "class-labels")
     dropped(keys, found, labels)
     return rows.join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
 
