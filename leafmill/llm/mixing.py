@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import dropped, written
 from .spread import buckets_for, shuffle_key, with_offsets
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Sources whose cuts are broadcast at most; beyond that they are joined like any table.
+MOST_BROADCAST = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -68,11 +70,11 @@ def queued(table: DataFrame, sized: DataFrame, rows: int, targets: DataFrame, se
     )
     t = t.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     run = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("sent", F.col("_before") + F.sum("size").over(run)).drop("_key", "_bucket", "_source", "_b", "_before")
+    return t.withColumn("sent", F.col("_before") + F.sum("size").over(run)).drop("_bucket", "_source", "_b", "_before")
 
 
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: str = "mix", keep_rows: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, weight, level, target, sent, epochs, taken.
+    """Per document: doc_id, source, size, source_size, weight, level, target, _key, sent, epochs, taken.
 
     ``epochs`` is how often the mix takes the document, ``taken`` its words times that.
     With ``keep_rows`` the input row comes along as the struct ``_doc``."""
@@ -120,10 +122,53 @@ def _counted(q: DataFrame, epochs: Column) -> DataFrame:
     return q.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it, with its columns."""
-    mix = fair_mix(docs, keep_rows=True, **options).where("epochs > 0")
-    return mix.select("_doc", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+def _place(key: Column, size: Column) -> Column:
+    """A document's place in its source's queue; rows with one place are copies of an id and size."""
+    doc_id = F.col("doc_id")
+    return F.struct(key.alias("key"), doc_id.isNotNull().alias("named"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("doc_id"), size.alias("size"))
+
+
+def cuts(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", **options) -> DataFrame:
+    """Per source (``of``) and epoch e: ``e{e}`` with the last place in the queue that the mix takes
+    (``top``), how many rows have that place (``here``) and how many of them are taken (``in_mix``).
+
+    A queue sends its documents in order, so the mix takes of each source the rows up to one place."""
+    mix = fair_mix(docs, max_epochs=max_epochs, seed=seed, **options).where("size > 0")
+    rows = written(mix.select("source", _place(F.col("_key"), F.col("size")).alias("place"), "epochs"), "places")
+    each = range(max_epochs)
+    tops = rows.groupBy(F.col("source").alias("of")).agg(*[F.max(F.when(F.col("epochs") > e, F.col("place"))).alias(f"t{e}") for e in each])
+    tops = written(tops, "tops")
+    few = tops.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    at_top = rows.join(F.broadcast(tops) if few else tops, F.col("source").eqNullSafe(F.col("of")))
+    last = lambda e: F.col("place") == F.col(f"t{e}")
+    sums = [F.struct(F.first(f"t{e}").alias("top"), F.sum(last(e).cast("long")).alias("here"), F.sum((last(e) & (F.col("epochs") > e)).cast("long")).alias("in_mix")).alias(f"e{e}") for e in each]
+    out = written(at_top.groupBy("of").agg(*sums), "cuts")
+    dropped(rows, tops)
+    return out
+
+
+def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with its columns.
+
+    Texts are not shuffled: the last place taken of each source and epoch is compared where a row is
+    read. Where copies of an id and size share that place and only some are taken, those rows are
+    counted (equal ones before any shuffle) and the first by their columns taken."""
+    ends = cuts(docs, max_epochs, seed, **options)
+    of = F.broadcast(ends) if ends.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ends
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("source").alias("_source"), _place(shuffle_key(seed, "doc_id"), words_in(F.col("text"))).alias("_at"))
+    rows = rows.where("_at.size > 0").join(of, F.col("_source").eqNullSafe(F.col("of")))
+    partial = lambda e: F.col(f"e{e}.here") > F.col(f"e{e}.in_mix")
+    taken = lambda e: (F.col("_at") < F.col(f"e{e}.top")) | ((F.col("_at") == F.col(f"e{e}.top")) & ~partial(e))
+    times = sum((F.when(taken(e), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
+    out = rows.select("_doc", times.alias("_times")).where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc")
+    for e in range(max_epochs):
+        if ends.where(partial(e)).isEmpty():
+            continue
+        kinds = rows.where((F.col("_at") == F.col(f"e{e}.top")) & partial(e)).groupBy("_doc", "_source").agg(F.count("*").alias("_n"), F.first(f"e{e}.in_mix").alias("_left"))
+        before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_doc").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        some = kinds.withColumn("_left", F.least("_n", F.col("_left") - before)).where("_left > 0")
+        out = out.union(some.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left")))).select("_doc"))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_in_order(docs: DataFrame, **options) -> DataFrame:

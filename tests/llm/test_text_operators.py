@@ -70,6 +70,21 @@ def test_mixed_documents_and_edges(spark):
     assert [r["taken"] for r in mixing.fair_mix(frame(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
 
 
+def test_mix_of_repeated_rows(spark):
+    """Copies of one row at the cut are taken as often as the budget allows; the mix is that of the counts."""
+    rows = [(7, "a b c", "x")] * 30 + [(7, "d e f", "x")] * 3 + [(None, "g h", "x"), (None, None, None), (1, "one two", None)]
+    rows += [(i, "w " * (i % 5 + 1), "y") for i in range(10, 20)]
+    for share in (0.3, 0.55, 1.0):
+        d = frame(spark, rows)
+        mix = mixing.fair_mix(d, share=share)
+        want = {r["source"]: r["n"] for r in mix.groupBy("source").agg(F.sum("taken").alias("n")).collect() if r["n"]}
+        got = Counter()
+        for r in mixing.mixed_documents(d, share=share).collect():
+            got[r["source"]] += len(r["text"].split())
+        assert got == want
+        assert sorted(map(str, mixing.mixed_documents(d, share=share).collect())) == sorted(map(str, mixing.mixed_documents(d, share=share).collect()))
+
+
 def test_sharding(spark):
     rows = corpus(3, 400)
     out = sharding.assign_shards(frame(spark, rows), 7).collect()
