@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .spread import shuffle_key
 
+#: Bytes of the longest text that a model is trained on, so that the one training task is bounded.
+LONGEST_SAMPLE = 1 << 16
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model learns from."""
@@ -21,8 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     """(y, key, doc_id, text): at most ``most[label]`` documents each, the first of a seeded shuffle.
 
     The ids are picked in the label table, so at most sum(most) rows are broadcast. Ids
-    labelled twice count with the larger label; null texts are left out; of a repeated doc_id
-    the smallest text counts."""
+    labelled twice count with the larger label; null texts and those over LONGEST_SAMPLE bytes are left
+    out; of a repeated doc_id the smallest text counts."""
     key = shuffle_key(seed, "doc_id")
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     marked = marked.where(~held_out(F.col("doc_id"))).withColumn("_key", key)
@@ -30,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     for y, n in most.items():
         part = marked.where(F.col("_y") == y).orderBy("_key", "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST_SAMPLE).join(F.broadcast(picked), "doc_id")
     return texts.groupBy("doc_id").agg(F.first("_y").cast("int").alias("y"), F.first("_key").alias("key"), F.min("text").alias("text")).select("y", "key", "doc_id", "text")
 
 

@@ -59,10 +59,11 @@ def byte_pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, np.nd
         at = to
 
 
-def word_digests(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digest and row of each word."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, row, first byte and size of each word."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     solid = ~_SPACE[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -70,12 +71,19 @@ def word_digests(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[firsts] = solid[firsts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     spans = np.diff(np.append(starts, len(raw)))
     within = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
     value = _VALUE[_LOWER[raw[starts[0] :]]] * _power(int(spans.max()) + 1)[within]
     value[~solid[starts[0] :]] = 0
-    return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(offsets, starts, "right") - 1
+    digests = mix(np.add.reduceat(value, starts - starts[0]))
+    sizes = np.add.reduceat(solid[starts[0] :].astype(np.int64), starts - starts[0])
+    return digests, np.searchsorted(offsets, starts, "right") - 1, starts, sizes
+
+
+def word_digests(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digest and row of each word."""
+    return word_spans(raw, offsets)[:2]
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

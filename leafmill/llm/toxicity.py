@@ -1,30 +1,29 @@
 r"""Toxicity by compression distance.
 
-A text becomes a stream of codes: each word gives 4-byte digests of its beginnings of 3 to 8
-bytes and of the whole word, so that words of one stem share codes. The stream is cut into
-windows of WINDOW words. Two zstandard dictionaries compress every window:
+The windows of a text are its words; each is written as 8-byte digests of its beginnings of 2 to 8
+bytes and of the whole word, so that words of one stem share a beginning. Two zstandard dictionaries
+compress every window: one trained on windows of ordinary text, one trained on windows of toxic
+text. The ordinary one is larger, so that ordinary words which the toxic one holds are in both.
 
-* the ordinary one is trained on windows of ordinary documents;
-* the toxic one is the ordinary one continued with the toxic passages: the codes that toxic
-  training documents hold at LIFT times the rate of ordinary ones.
+As most of a toxic document is ordinary text, the toxic dictionary is trained again, ROUNDS times,
+on those windows of toxic documents whose pair of lengths (under a dictionary pair that has not seen the document:
+two folds) is NEED times as frequent in toxic as in ordinary text.
 
-So the lengths differ by what is typical of toxic text. A document's distance is the largest
-saving of the toxic dictionary over its windows; a logistic curve, fitted to the distances of
-training documents that their dictionaries have not seen (two folds), turns it into a score
-of 0.5 at the calibrated threshold.
+The evidence of a window is the logarithm of that ratio for its pair of lengths. A document's
+largest evidence, its sum above ln NEED and its number of words go into a logistic curve, fitted
+across the folds, so that a score of 0.5 is the calibrated threshold.
 
 Training text is cleaned first: documents that largely repeat earlier ones are left out, and
 words in five-word passages that several documents share are not learned from.
 
-Defined cases: a null, empty or wordless text has distance 0 and the lowest score; windows
-cover texts of any length to their end; repeated rows score alike; without training documents
+Defined cases: a null, empty or wordless text has no evidence and score 0; texts of any length are
+read to their end; repeated rows score alike; without training documents
 of both kinds every score is 0; an empty table gives an empty result; further columns play
 no part.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -36,58 +35,35 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample, trained_in_a_task
 from .ngram_join import small_batches
-from .shingles import _COEF, _LOWER, _SPACE, _VALUE, WIDTH, _power, byte_pieces, mix, shingle_sets, word_digests
+from .shingles import _COEF, _LOWER, _VALUE, WIDTH, _power, byte_pieces, mix, shingle_sets, word_spans
 
-WINDOW = 4
-SHORTEST, LONGEST = 3, 8
+SHORTEST, LONGEST = 2, 8
 LEVEL = 5
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 32 << 10
-#: A code is toxic if so large a part of the toxic documents (three at least) hold it, at LIFT times the ordinary rate.
-TOXIC_PART, LIFT = 0.01, 20.0
+ORDINARY_BYTES, TOXIC_BYTES = 112 << 10, 16 << 10
+ROUNDS, NEED = 2, 2.0
+#: Lengths and savings that the table of evidence tells apart.
+LENGTHS, SAVINGS = 96, 128
 #: The training sample is at most so many documents of each kind.
 MOST = {1: 1000, 0: 2000}
+#: Words whose evidence a task remembers; then it begins anew.
+REMEMBERED = 1 << 20
 
 
-def word_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, the number of codes of each word, and the row of each word."""
-    none = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(raw):
-        return none
-    solid = ~_SPACE[raw]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[firsts] = solid[firsts]
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return none
-    head = starts[0]
-    solid, begins = solid[head:], begins[head:]
-    spans = np.diff(np.append(starts, len(raw)))
-    within = np.arange(len(solid)) - np.repeat(starts - head, spans)
-    value = _VALUE[_LOWER[raw[head:]]] * _power(int(spans.max()) + 1)[within]
-    value[~solid] = 0
+def word_windows(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The window of each word that begins at ``starts`` with ``sizes`` bytes."""
+    ends = np.cumsum(sizes)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    value = _VALUE[_LOWER[raw[np.repeat(starts, sizes) + within]]] * _power(int(sizes.max(initial=0)) + 1)[within]
     sums = np.cumsum(value)
-    before = np.concatenate([np.zeros(1, np.uint64), sums])[starts - head]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | begins[1:]
-    pick = (solid & (within >= SHORTEST - 1) & (within < LONGEST)) | last
-    code = mix(sums[pick] - np.repeat(before, spans)[pick])
-    ends = last[pick]
-    code[ends] = mix(code[ends] ^ np.uint64(0x5DEECE66D))
-    per_word = np.add.reduceat(pick.astype(np.int64), starts - head)
-    return code.astype(np.uint32), per_word, np.searchsorted(offsets, starts, "right") - 1
-
-
-def windows_of(per_word: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First code, number of codes and row of each window of WINDOW words."""
-    new = np.concatenate([[True], rows[1:] != rows[:-1]])
-    first = np.flatnonzero(new)
-    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-    opens = np.flatnonzero(place % WINDOW == 0)
-    ends = np.concatenate([[0], np.cumsum(per_word)])
-    starts = ends[opens]
-    return starts, np.diff(np.append(starts, ends[-1])), rows[opens]
+    before = np.concatenate([np.zeros(1, np.uint64), sums])[ends - sizes]
+    last = np.zeros(len(value), bool)
+    last[ends - 1] = True
+    pick = ((within >= SHORTEST - 1) & (within < LONGEST)) | last
+    code = mix(sums - np.repeat(before, sizes))
+    code[last] = mix(code[last] ^ np.uint64(0x5DEECE66D))
+    cut = np.concatenate([[0], np.cumsum(pick)[ends - 1]]) * 8
+    data = code[pick].tobytes()
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
@@ -96,36 +72,73 @@ def compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def lengths(c: zstd.ZstdCompressor, codes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def lengths(c: zstd.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
     """The compressed length of each window."""
-    segments = np.column_stack([starts * 4, counts * 4]).astype(np.uint64).tobytes()
-    out = c.multi_compress_to_buffer(zstd.BufferWithSegments(codes.tobytes(), segments), threads=1)
-    return np.fromiter((len(x) for x in out), np.int64, len(starts))
-
-
-def distances(ordinary: zstd.ZstdCompressor, toxic: zstd.ZstdCompressor, texts: pa.Array) -> np.ndarray:
-    """The largest saving over the windows of each text; 0 for texts without words."""
-    out = np.zeros(len(texts), np.int64)
-    for first, raw, offsets in byte_pieces(texts):
-        codes, per_word, rows = word_codes(raw, offsets)
-        if len(rows):
-            starts, counts, of = windows_of(per_word, rows)
-            saved = lengths(ordinary, codes, starts, counts) - lengths(toxic, codes, starts, counts)
-            np.maximum.at(out, first + of, saved)
-    return out
+    if not windows:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, windows), np.int64, len(windows))
+    segments = np.column_stack([np.cumsum(size) - size, size]).astype(np.uint64).tobytes()
+    out = c.multi_compress_to_buffer(zstd.BufferWithSegments(b"".join(windows), segments), threads=1)
+    return np.fromiter((len(x) for x in out), np.int64, len(windows))
+
+
+def cells(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The cell of the evidence table for each pair of lengths."""
+    return np.minimum(ordinary, LENGTHS - 1) * SAVINGS + np.clip(ordinary - toxic + SAVINGS // 2, 0, SAVINGS - 1)
 
 
 @dataclass
 class ToxicityModel:
-    """Both dictionaries and the calibration: score = 1 / (1 + exp(-(slope * distance + shift)))."""
+    """Both dictionaries, the evidence of each cell and the calibration (weights of the largest
+    evidence, of the logarithms of its sum and of the words, and the shift)."""
 
     ordinary: bytes
     toxic: bytes
-    slope: float
-    shift: float
-
-    def scores(self, distance: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * distance + self.shift, -30, 30)))
+    evidence: np.ndarray
+    weights: np.ndarray
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        z = features @ self.weights[:3] + self.weights[3]
+        return np.where(features[:, 2] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+
+
+class Evidence:
+    """The evidence of words, each distinct one compressed once."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, table: np.ndarray):
+        self.ordinary, self.toxic, self.table = compressor(ordinary), compressor(toxic), table
+        self.known, self.value = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of_windows(self, windows: list[bytes]) -> np.ndarray:
+        return self.table[cells(lengths(self.ordinary, windows), lengths(self.toxic, windows))]
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """(largest evidence, ln(1 + sum above ln NEED), ln(1 + words)) of each text."""
+        out = np.zeros((len(texts), 3))
+        for first, raw, offsets in byte_pieces(texts):
+            digest, row, starts, sizes = word_spans(raw, offsets)
+            if not len(digest):
+                continue
+            word, at, which = np.unique(digest, return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.known, word), max(len(self.known) - 1, 0))
+            new = self.known[place] != word if len(self.known) else np.ones(len(word), bool)
+            if new.any():
+                value = self.of_windows(word_windows(raw, starts[at[new]], sizes[at[new]]))
+                if len(self.known) > REMEMBERED:
+                    keep = place[~new]
+                    self.known, self.value = self.known[keep], self.value[keep]
+                known, order = np.unique(np.concatenate([self.known, word[new]]), return_index=True)
+                self.known, self.value = known, np.concatenate([self.value, value])[order]
+                place = np.searchsorted(self.known, word)
+            out[first : first + len(offsets) - 1] = document_features(self.value[place][which], row, len(offsets) - 1)
+        return out
+
+
+def document_features(evidence: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    most = np.zeros(rows)
+    np.maximum.at(most, row, evidence)
+    above = np.bincount(row, weights=np.maximum(evidence - np.log(NEED), 0), minlength=rows)
+    return np.column_stack([most, np.log1p(above), np.log1p(np.bincount(row, minlength=rows))])
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -140,20 +153,24 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
-def _learned(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(codes, codes per word) of each text, without words in passages that several share."""
-    words, rows, coded = [], [], []
+def _training_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct windows, and of each word learned from the number of its window and its text."""
+    digests, rows, windows, seen = [], [], [], {}
     for first, raw, offsets in byte_pieces(pa.array(texts, pa.string())):
-        w, r = word_digests(raw, offsets)
-        words.append(w)
+        d, r, starts, sizes = word_spans(raw, offsets)
+        digests.append(d)
         rows.append(r + first)
-        coded.append(word_codes(raw, offsets)[:2])
-    w, r = np.concatenate(words), np.concatenate(rows)
-    codes, per_word = np.concatenate([c for c, _ in coded]), np.concatenate([k for _, k in coded])
-    fresh = np.ones(len(w), bool)
-    if len(w) >= WIDTH:
-        m = len(w) - WIDTH + 1
-        passage = mix(sum(w[j : m + j] * _COEF[j] for j in range(WIDTH)))
+        word, at = np.unique(d, return_index=True)
+        new = np.array([w not in seen for w in word.tolist()], bool)
+        windows += word_windows(raw, starts[at[new]], sizes[at[new]])
+        seen.update(zip(word[new].tolist(), range(len(seen), len(seen) + int(new.sum())), strict=True))
+    d, r = np.concatenate(digests), np.concatenate(rows)
+    word, which = np.unique(d, return_inverse=True)
+    number = np.array([seen[w] for w in word.tolist()], np.int64)[which]
+    fresh = np.ones(len(d), bool)
+    if len(d) >= WIDTH:
+        m = len(d) - WIDTH + 1
+        passage = mix(sum(d[j : m + j] * _COEF[j] for j in range(WIDTH)))
         whole = r[WIDTH - 1 :] == r[:m]
         _, which = np.unique(passage, return_inverse=True)
         low, high = np.full(which.max() + 1, len(texts)), np.full(which.max() + 1, -1)
@@ -162,52 +179,33 @@ def _learned(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         shared = whole & (low[which] != high[which])
         for j in range(WIDTH):
             fresh[j : m + j] &= ~shared
-    kept = np.repeat(fresh, per_word)
-    code_rows = np.repeat(r, per_word)[kept]
-    codes, per_word, word_rows = codes[kept], per_word[fresh], r[fresh]
-    at = np.searchsorted(code_rows, np.arange(len(texts) + 1))
-    of = np.searchsorted(word_rows, np.arange(len(texts) + 1))
-    return [(codes[at[i] : at[i + 1]], per_word[of[i] : of[i + 1]]) for i in range(len(texts))]
-
-
-def _rates(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(c) for c, _ in docs]), return_counts=True)
-
-
-def _dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, and the same continued with the toxic passages."""
-    code, n = _rates(toxic)
-    other, m = _rates(ordinary)
-    at = np.minimum(np.searchsorted(other, code), len(other) - 1)
-    usual = np.where(other[at] == code, m[at], 0)
-    lift = (n / len(toxic)) / ((usual + 0.5) / len(ordinary))
-    typical = code[(n >= max(3, TOXIC_PART * len(toxic))) & (lift >= LIFT)]
-    passages: Counter[bytes] = Counter()
-    for codes, per_word in toxic:
-        hit = np.isin(codes, typical)
-        word, kept = np.repeat(np.arange(len(per_word)), per_word)[hit], codes[hit]
-        ends = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1 if len(word) else []
-        start = 0
-        for end in ends:
-            passages[kept[start:end].tobytes()] += 1
-            start = end
-    samples: Counter[bytes] = Counter()
-    for codes, per_word in ordinary:
-        ends = np.concatenate([[0], np.cumsum(per_word)])
-        samples.update(codes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True))
-    trained = [w for w, c in samples.items() for _ in range(min(c, 50))][:400_000]
+    return windows, number[fresh], r[fresh]
+
+
+def _dictionary(windows: list[bytes], counts: np.ndarray, size: int) -> bytes:
+    """A dictionary trained on each window as often as it occurs."""
+    some = np.flatnonzero(counts)
+    # Training takes the best segments of each stretch of the samples, so like ones must not stand together.
+    samples = [windows[i] for i in np.random.default_rng(0).permutation(np.repeat(some, counts[some]))]
     try:
-        base = zstd.train_dictionary(ORDINARY_BYTES, trained, k=32, d=8).as_bytes()
+        return zstd.train_dictionary(size, samples, k=32, d=8).as_bytes()
     except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
-        base = b"".join(trained)[-ORDINARY_BYTES:]
-    added = b"".join(w for w, _ in sorted(passages.items(), key=lambda x: (x[1], x[0])))
-    return base, base + added[-TOXIC_BYTES:]
+        return b"".join(windows[i] for i in some[np.argsort(counts[some], kind="stable")])[-size:]
+
 
+def _evidence(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """ln(rate in toxic / rate in ordinary text) of each cell from the counts of words, shrunk
+    towards the ratio of all cells of one saving where that is below 1, else towards 1."""
+    alike = toxic.sum() / ordinary.sum()
+    by_saving = lambda x: x.reshape(LENGTHS, SAVINGS).sum(0)
+    usual = np.minimum((by_saving(toxic) + 1) / (by_saving(ordinary) * alike + 1), 1)
+    return np.log((toxic + 5 * np.tile(usual, LENGTHS)) / (ordinary * alike + 5))
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton steps, lightly held."""
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and shift of a logistic curve by Newton steps, lightly held."""
     a = np.column_stack([x, np.ones(len(x))])
-    b, hold = np.zeros(2), np.array([1e-2, 1e-4])
+    b, hold = np.zeros(a.shape[1]), np.array([1e-2] * x.shape[1] + [1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag(hold)
@@ -215,7 +213,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         b += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0]), float(b[1])
+    return b
 
 
 def train(texts: dict[int, list[str]]) -> ToxicityModel | None:
@@ -223,16 +221,33 @@ def train(texts: dict[int, list[str]]) -> ToxicityModel | None:
     toxic, ordinary = _distinct(texts.get(1, [])), _distinct(texts.get(0, []))
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
-    learned = _learned(toxic + ordinary)
-    t, o = learned[: len(toxic)], learned[len(toxic) :]
-    seen, y = [], []
-    for fold in (0, 1):
-        base, more = _dictionaries(t[fold::2], o[fold::2])
-        held = toxic[1 - fold :: 2] + ordinary[1 - fold :: 2]
-        seen.append(distances(compressor(base), compressor(more), pa.array(held, pa.string())))
-        y += [1] * len(toxic[1 - fold :: 2]) + [0] * len(ordinary[1 - fold :: 2])
-    slope, shift = _logistic(np.minimum(np.concatenate(seen), 20), np.array(y, float))
-    return ToxicityModel(*_dictionaries(t, o), slope, shift)
+    documents = toxic + ordinary
+    windows, word, row = _training_words(documents)
+    is_toxic, fold = np.arange(len(documents)) < len(toxic), np.arange(len(documents)) % 2
+    counted = lambda of: np.bincount(word[of[row]], minlength=len(windows))
+    every = np.ones(len(documents), bool)
+    usual = [counted(~is_toxic & (fold == f)) for f in (0, 1)]
+    found = [counted(is_toxic & (fold == f)) for f in (0, 1)]
+    learned = [np.zeros(len(windows), bool) for _ in (0, 1)]
+    base = [_dictionary(windows, usual[f], ORDINARY_BYTES) for f in (0, 1)]
+    unseen = [lengths(compressor(base[1 - f]), windows) for f in (0, 1)]
+    chosen = found
+    for again in range(ROUNDS + 1):
+        toxic_parts = [_dictionary(windows, chosen[f], TOXIC_BYTES) for f in (0, 1)]
+        cell = [cells(unseen[f], lengths(compressor(toxic_parts[1 - f]), windows)) for f in (0, 1)]
+        sums = [sum(np.bincount(cell[f], weights=c[f], minlength=LENGTHS * SAVINGS) for f in (0, 1)) for c in (found, usual)]
+        table = _evidence(*sums)
+        if again == ROUNDS:
+            break
+        learned = [learned[f] | (table[cell[f]] >= np.log(NEED)) for f in (0, 1)]
+        kept = [np.where(learned[f], found[f], 0) for f in (0, 1)]
+        chosen = [kept[f] if kept[f].any() else chosen[f] for f in (0, 1)]
+    features = np.zeros((len(documents), 3))
+    for f in (0, 1):
+        held = np.flatnonzero(fold == f)
+        features[held] = Evidence(base[1 - f], toxic_parts[1 - f], table).features(pa.array([documents[i] for i in held], pa.string()))
+    weights = _logistic(features, is_toxic.astype(float))
+    return ToxicityModel(_dictionary(windows, counted(~is_toxic & every), ORDINARY_BYTES), _dictionary(windows, chosen[0] + chosen[1], TOXIC_BYTES), table, weights)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> ToxicityModel | None:
@@ -247,23 +262,19 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MO
 
 
 def scored(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """The rows of ``docs`` as the struct ``_doc`` with ``distance`` and ``score``."""
+    """The rows of ``docs`` as the struct ``_doc`` with ``distance`` (the largest evidence) and ``score``."""
     small_batches(docs)
     table = docs.select(F.struct("*").alias("_doc"), "text") if "text" in docs.columns else docs
-    schema = f"_doc {docs.select(F.struct('*').alias('_doc')).schema['_doc'].dataType.simpleString()}, distance long, score double"
+    schema = f"_doc {docs.select(F.struct('*').alias('_doc')).schema['_doc'].dataType.simpleString()}, distance double, score double"
     held = docs.sparkSession.sparkContext.broadcast(model and astuple(model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value and ToxicityModel(*held.value)
-        if m is not None:
-            ordinary, toxic = compressor(m.ordinary), compressor(m.toxic)
+        evidence = m and Evidence(m.ordinary, m.toxic, m.evidence)
         for b in batches:
-            if m is None:
-                d, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            else:
-                d = distances(ordinary, toxic, b.column(1))
-                s = m.scores(np.minimum(d, 20))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d), pa.array(s)], ["_doc", "distance", "score"])
+            x = evidence.features(b.column(1)) if m else np.zeros((b.num_rows, 3))
+            s = m.scores(x) if m else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(s)], ["_doc", "distance", "score"])
 
     return table.mapInArrow(score, schema)
 

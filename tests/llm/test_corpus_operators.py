@@ -222,13 +222,46 @@ def test_pieces_round_trip_and_seed(spark):
     assert pieces.sampled_pieces(d.where("false")).count() == 0
 
 
-def test_windows_cover_every_word():
-    raw = np.frombuffer(b"one two three four five  six", np.uint8)
-    codes, per_word, rows = toxicity.word_codes(raw, np.array([0, 13, len(raw)]))
-    assert list(rows) == [0, 0, 0, 1, 1, 1] and per_word.sum() == len(codes)
-    starts, counts, of = toxicity.windows_of(per_word, rows)
-    assert counts.sum() == len(codes) and list(of) == [0, 1]
-    assert len(toxicity.distances(toxicity.compressor(b"x" * 64), toxicity.compressor(b"y" * 64), pa.array(["a", None, ""]))) == 3
+def plain_toxicity(model, text):
+    """Score and largest evidence, from the compressed length of every word, one word at a time."""
+    ordinary, toxic = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    words = (text or "").translate(LOWER).encode().split()
+    if not words:
+        return 0.0, 0.0
+    found = []
+    for w in words:
+        raw = np.frombuffer(w, np.uint8)
+        window = toxicity.word_windows(raw, np.array([0]), np.array([len(w)]))[0]
+        a, b = len(ordinary.compress(window)), len(toxic.compress(window))
+        found.append(model.evidence[min(a, toxicity.LENGTHS - 1) * toxicity.SAVINGS + min(max(a - b + toxicity.SAVINGS // 2, 0), toxicity.SAVINGS - 1)])
+    x = [max(0, *found), np.log1p(sum(max(v - np.log(toxicity.NEED), 0) for v in found)), np.log1p(len(words))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights[:3]) + model.weights[3], -30, 30))), x[0]
+
+
+def test_toxicity_is_that_of_plain_lengths(spark):
+    rows, marks = labelled_texts(3, 300)
+    rows = [*rows, (0, rows[0][1], ""), (None, rows[1][1], ""), (7, "trashy", ""), (8, "a\tb\x0bc \r d" * 9, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = toxicity.learn_toxicity(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = toxicity.scored(d, model).select("_doc.text", "score", "distance").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        score, most = plain_toxicity(model, r["text"])
+        assert abs(r["score"] - score) < 1e-9 and abs(r["distance"] - most) < 1e-9
+
+
+def test_words_are_found_and_remembered(monkeypatch):
+    raw = np.frombuffer(b" one  Two\nthree", np.uint8)
+    digest, row, starts, sizes = toxicity.word_spans(raw, np.array([0, 6, 6, len(raw)]))
+    assert list(row) == [0, 2, 2] and list(starts) == [1, 6, 10] and list(sizes) == [3, 3, 5]
+    assert [len(w) for w in toxicity.word_windows(raw, starts, sizes)] == [16, 16, 32]
+    table = np.random.default_rng(0).normal(size=toxicity.LENGTHS * toxicity.SAVINGS)
+    texts = pa.array([" ".join(f"w{i * j % 97}" for j in range(50)) for i in range(40)] + [None, ""])
+    whole = toxicity.Evidence(b"w1" * 50, b"w2" * 50, table).features(texts)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 5)
+    forgetful = toxicity.Evidence(b"w1" * 50, b"w2" * 50, table)
+    parts = np.vstack([forgetful.features(texts.slice(i, 7)) for i in range(0, 42, 7)])
+    assert np.allclose(whole, parts) and not whole[40:].any()
 
 
 def brute_class_links(texts):
