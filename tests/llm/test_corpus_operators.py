@@ -115,6 +115,12 @@ def test_nearest_against_brute_force(spark):
         assert all(abs(got[q][k][1] - cos[list(ids).index(got[q][k][0])]) < 1e-12 for k in range(1, 6))
     assert hits / (5 * len(got)) >= 0.9
     assert [got[0][k][0] for k in (1, 2)] == [601, 602]
+    short = d.union(spark.createDataFrame([(i, [1.0, float(i)], "") for i in (1000, 1001, 1050, 1100)], d.schema))
+    of = [(r["rank"], r["vec_id"]) for r in ann.nearest(short, F.col("vec_id") == 1050).collect()]
+    assert sorted(of) == [(1, 1100), (2, 1001), (3, 1000), (4, 850)]
+    copies = spark.createDataFrame([(i % 300, [1.0, 2.0, 3.0]) for i in range(900)] + [(7, [3.0, 2.0, 1.0])], "vec_id long, embedding array<float>")
+    many = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(copies, F.col("vec_id") % 100 == 0).collect())
+    assert many == [(q, i + 1, v) for q in (0, 100, 200) for i, v in enumerate([1, 1, 1, 2, 2] if q == 0 else [0, 0, 0, 1, 1])]
     few = ann.nearest(d.where("vec_id < 3"), F.lit(True)).collect()
     assert len(few) == 6
     assert ann.nearest(d.where("false"), F.lit(True)).count() == 0
@@ -122,10 +128,31 @@ def test_nearest_against_brute_force(spark):
 
 def test_radius_is_complete():
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 1 << 62, (20, 2), dtype=np.uint64), rng.integers(0, 1 << 62, (300, 2), dtype=np.uint64)
-    far = ann.code_distance(a, b)
-    for radius in (0, 30, 55, 60, 128):
-        assert np.array_equal(ann.within_radius(a, b, radius), far <= radius)
+    rows = rng.integers(0, 1 << 16, (400, ann.SUBSTRINGS), dtype=np.uint16)
+    queries = rows[:20].copy()
+    for i in range(20):
+        for b in rng.choice(ann.SUBSTRINGS * ann.BITS, 40 * i, replace=False):
+            queries[i, b // ann.BITS] ^= np.uint16(1 << (b % ann.BITS))
+    for flips in (0, 1, 2):
+        found, read = ann.Postings(rows).near(queries, flips)
+        radius = ann.SUBSTRINGS * (flips + 1) - 1
+        near = np.array([ann.code_distance(np.repeat(q[None], len(rows), 0), rows) <= radius for q in queries])
+        assert near.any() and found[near].all() and read >= found.sum()
+        plain = np.array([[(np.bitwise_count(q ^ r) <= flips).any() for r in rows] for q in queries])
+        assert np.array_equal(found, plain)
+    assert ann.Postings(rows).near(queries, ann.BITS)[0].all()
+
+
+def test_close_neighbours_read_few_postings(spark):
+    """Queries with near copies end after the first round and rank a small share of the rows."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(300, 64)), 8, axis=0)
+    x += 0.1 * rng.normal(size=x.shape)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = rows.withColumn("ca", F.xxhash64("embedding")).withColumn("cb", F.xxhash64("embedding", F.lit(1))).withColumn("ids", F.array("vec_id"))
+    found = ann.rounds(rows.where("vec_id % 50 = 0").select("ca", "cb", "embedding"), rows, 5, ann.fit_index(rows, 64, 5)).collect()
+    assert {r["flips"] for r in found} == {1} and len(found) == 48 * 6
+    assert max(r["ranked"] for r in found) < 0.02 * len(x)
 
 
 TOXIC = ["trashy", "blorgus", "snivel"]
