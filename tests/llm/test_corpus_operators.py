@@ -234,6 +234,38 @@ def test_sampling_follows_the_lattice():
         assert abs(seen[w] / n - p / sum(ways.values())) < 0.02
 
 
+def test_long_units_follow_the_lattice():
+    """Units of 30 and 70 bytes: every piece's share at each place is that of all segmentations."""
+    plain, z = toy_lattice()
+    r = random.Random(5)
+    for n in (30, 70, 300):
+        text = bytes(r.choice(b"abc") for _ in range(n))
+        first, running, size, ids = pieces._filtered(np.frombuffer(text, np.uint8), np.array([0]), np.array([n]), z)
+        alpha = [1.0] + [0.0] * n
+        for e in range(1, n + 1):
+            share = {i: z.weight[i] * alpha[e - len(b)] for i, b in plain.items() if text[:e].endswith(b)}
+            alpha[e] = sum(share.values())
+            got = {int(ids[m]): running[m] - (running[m - 1] if m > first[e - 1] else e - 1) for m in range(first[e - 1], first[e])}
+            assert set(got) == set(share) and all(abs(got[i] - share[i] / alpha[e]) < 1e-9 for i in share)
+            if alpha[e] < 1e-100:
+                alpha = [x / alpha[e] for x in alpha]
+
+
+def test_pieces_of_a_million_bytes_without_space():
+    z = pieces.lattice_of()
+    r = random.Random(6)
+    text = "".join(r.choice("etaoinshrdlué界") for _ in range(900_000)).encode()
+    assert len(text) > 1_000_000
+    raw = np.frombuffer(text, np.uint8)
+    ids = pieces.encode_long(raw, np.array([3]), z, 1)
+    assert pieces.decode_ids(ids, z).tobytes() == text
+    assert (z.offset[ids + 1] - z.offset[ids]).max() > 3
+    spaced = np.frombuffer(b" ".join([text[:0], b"w" * 200, b"a bc  d", b"xyz" * 9]) * 9, np.uint8)
+    whole = pieces.encode_bytes(spaced, np.array([0, len(spaced)]), np.array([3]), z, 1)[0]
+    parts = [pieces.encode_bytes(spaced[a:b], np.array([0, b - a]), np.array([3]), z, 1, a)[0] for a, b in pieces.stretches(spaced, True, 50)]
+    assert len(parts) > 5 and np.array_equal(whole, np.concatenate(parts))
+
+
 def test_pieces_round_trip_and_seed(spark):
     texts = ["ab abc", "", None, "é漢字 \n\t<s> ▁ a", "a" * 5000, " " * 50 + "x", "\x00\x7f", "ab abc"]
     d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
