@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .binding import let
 
 MIB = 1024 * 1024
+#: The characters that trimming takes away, and the same for patterns.
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: The upper ends of the buckets and their names.
 SIZE_ENDS = ((MIB, "<1MB"), (10 * MIB, "1-10MB"), (50 * MIB, "10-50MB"), (100 * MIB, "50-100MB"))
 PAGE_ENDS = ((1, "1"), (10, "2-10"), (50, "11-50"), (200, "51-200"))
@@ -25,6 +28,11 @@ VERHOEFF_P = (
 )
 
 
+def strip_space(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def _bucket(value: Column, ends: tuple, last: str, closed: bool) -> Column:
     out = None
     for end, name in ends:
@@ -55,13 +63,13 @@ def format_bytes(n: Column, decimals: int = 1) -> Column:
 
 def sanitize_filename(name: Column, fallback: str = "document") -> Column:
     """A name without path and control characters, single-spaced, at most 180 long."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(name, r'[/\\?%*:|"<>\x00-\x1f]', ""), r"[\s ]+", " "))
+    clean = strip_space(F.regexp_replace(F.regexp_replace(name, r'[/\\?%*:|"<>\x00-\x1f]', ""), BLANK + "+", " "))
     return F.when(F.length(clean) > 0, F.substring(clean, 1, 180)).otherwise(F.lit(fallback))
 
 
 def suggest_output_name(names: Column, extension: str, suffix: str | None = None) -> Column:
     """One name for a list of inputs: up to three stems joined, else the first and a count."""
-    stems = F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"\.[^.]+$", ""))), lambda n: n != "")
+    stems = F.filter(F.transform(names, lambda n: strip_space(F.regexp_replace(n, r"\.[^.]+$", ""))), lambda n: n != "")
     many = lambda s: F.concat(F.get(s, F.lit(0)), F.lit("+"), (F.size(s) - 1).cast("string"), F.lit("-more"))
     stem = let(stems, lambda s: F.when(F.size(s) == 0, F.lit("document")).when(F.size(s) <= 3, F.array_join(s, "+")).otherwise(many(s)))
     tail = F.lit("") if suffix is None else F.concat(F.lit("-"), F.regexp_replace(sanitize_filename(F.lit(suffix)), r"\s+", "-"))
@@ -70,22 +78,22 @@ def suggest_output_name(names: Column, extension: str, suffix: str | None = None
 
 def normalize_margin(text: Column) -> Column:
     """Lower case, digits as #, single spaces: what repeated margin lines have in common."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "#"), r"[\s ]+", " "))
+    return strip_space(F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "#"), BLANK + "+", " "))
 
 
 def squeezed(text: Column) -> Column:
     """Lower case without any white space."""
-    return F.lower(F.regexp_replace(text, r"[\s ﻿]+", ""))
+    return F.lower(F.regexp_replace(text, BLANK + "+", ""))
 
 
 def safe_href(href: Column) -> Column:
     """The link if it is http, https or mailto, else null."""
-    return F.when(F.trim(href).rlike(r"(?i)^(?:https?:|mailto:)"), F.trim(href))
+    return F.when(strip_space(href).rlike(r"(?i)^(?:https?:|mailto:)"), strip_space(href))
 
 
 def needs_ocr(text: Column, force: bool = False) -> Column:
     """True for pages whose text, single-spaced, is shorter than 40 characters."""
-    return F.lit(force) | (F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", " "))) < 40)
+    return F.lit(force) | (F.length(strip_space(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK + "+", " "))) < 40)
 
 
 def luhn_valid(value: Column) -> Column:

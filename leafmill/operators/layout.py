@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_margin
+from ..functions.scalars import normalize_margin, strip_space
 
 KEY = ["doc_id", "page_number"]
 CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
@@ -28,7 +28,7 @@ def threshold(option: float | None = None) -> float:
 
 
 def usable_glyphs(glyphs: DataFrame) -> DataFrame:
-    return glyphs.where((F.trim("text") != "") & (F.col("width") >= 0) & (F.col("font_size") > 0))
+    return glyphs.where((strip_space(F.col("text")) != "") & (F.col("width") >= 0) & (F.col("font_size") > 0))
 
 
 def scanned_pages(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def lines_of(bands: DataFrame) -> DataFrame:
         space = F.coalesce((gap > F.greatest(F.lit(1.5), i["font_size"] * 0.2)) & ~tight, F.lit(False))
         return F.struct(F.concat(a["t"], F.when(space, " ").otherwise(""), i["text"]).alias("t"), i["x"].alias("x"), i["width"].alias("w"))
 
-    text = F.trim(F.regexp_replace(F.aggregate("items", zero, step)["t"], "[ \t]{2,}", " "))
+    text = strip_space(F.regexp_replace(F.aggregate("items", zero, step)["t"], "[ \t]{2,}", " "))
     return g.select(
         *KEY, "band", "seg", F.concat(F.lit("p"), "page_number", F.lit("-r"), "band", F.lit("-s"), "seg").alias("line_id"), text.alias("text"), "x", "y",
         (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"), "font_size", (F.col("n_bold") >= F.ceil(F.col("n") / 2)).alias("bold"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_margin
+from ..functions.scalars import BLANK, normalize_margin, strip_space
 
 LIST_ITEM = r"^\s*(?:([0-9]+)[.)]|([•●▪◦*-]))\s+(.+)$"
 STAMP = r"^\[((?:[0-9]+:)?[0-9]{1,2}:[0-9]{2})\]\s*"
@@ -43,11 +43,11 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     lines = split_lines(docs)
     item = F.col("text").rlike(LIST_ITEM)
     numbered = F.regexp_extract("text", LIST_ITEM, 1) != ""
-    lines = lines.withColumn("kind", F.when(F.trim("text") == "", "blank").when(item & numbered, "ordered").when(item, "bullets").otherwise("paragraph"))
+    lines = lines.withColumn("kind", F.when(strip_space(F.col("text")) == "", "blank").when(item & numbered, "ordered").when(item, "bullets").otherwise("paragraph"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     new = (F.col("kind") != F.lag("kind", 1, "blank").over(w)).cast("int")
     lines = lines.withColumn("_new", new).withColumn("_block", F.sum("_new").over(w))
-    body = F.when(F.col("kind") == "paragraph", F.trim("text")).otherwise(F.regexp_extract("text", LIST_ITEM, 3))
+    body = F.when(F.col("kind") == "paragraph", strip_space(F.col("text"))).otherwise(F.regexp_extract("text", LIST_ITEM, 3))
     b = lines.where("kind <> 'blank'").groupBy("doc_id", "_block", "kind").agg(F.sort_array(F.collect_list(F.struct("line_no", body.alias("t")))).alias("l"))
     texts = F.transform("l", lambda x: x["t"])
     joined = F.when(F.col("kind") == "paragraph", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n"))
@@ -59,14 +59,14 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 def text_ebook(docs: DataFrame) -> DataFrame:
     """doc_id, block, text: paragraphs between blank lines, trimmed, empty ones dropped."""
-    parts = F.filter(F.transform(F.split("text", r"\n[\s ]*\n"), lambda x: F.trim(x)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", "\n" + BLANK + "*\n"), lambda x: strip_space(x)), lambda p: p != "")
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("block", "text"))
 
 
 def transcript(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, line, stamp, text: a leading [h:mm:ss] of a line becomes its stamp."""
     clean = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    parts = F.filter(F.transform(F.split(clean, "\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean, "\n{2,}"), lambda x: strip_space(x)), lambda p: p != "")
     p = docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("paragraph", "_p"))
     p = p.select("doc_id", "paragraph", F.posexplode(F.split("_p", "\n")).alias("line", "_l"))
     stamp = F.regexp_extract("_l", STAMP, 1)
@@ -87,7 +87,7 @@ def wrapped(text: Column, most: int) -> Column:
             return F.struct(F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), F.when(full, w).otherwise(more).alias("now"))
 
         filled = F.aggregate(F.split(line, r"\s+"), zero, step, lambda a: F.array_append(a["done"], a["now"]))
-        return F.when(F.trim(line) == "", F.array(F.lit(""))).otherwise(filled)
+        return F.when(strip_space(line) == "", F.array(F.lit(""))).otherwise(filled)
 
     return F.flatten(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), fill))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.scalars import strip_space
 
 RANGE = r"^[0-9]+$|^([0-9]+)\s*-\s*([0-9]+)$"
 
@@ -15,14 +16,14 @@ def parse_ranges(expression: Column, page_count: Column) -> Column:
 
     Segments keep overlaps, pages are distinct in order of first sight, reversed ranges are
     turned with a warning. ``error`` says what is wrong; then the rest is null."""
-    tokens = F.transform(F.split(F.trim(expression), ","), lambda x: F.trim(x))
+    tokens = F.transform(F.split(strip_space(expression), ","), lambda x: strip_space(x))
     low = lambda t: F.regexp_extract(t, r"^([0-9]+)", 1).try_cast("int")
     high = lambda t: F.regexp_extract(t, r"([0-9]+)$", 1).try_cast("int")
     segment = lambda t: F.struct(F.least(low(t), high(t)).alias("start"), F.greatest(low(t), high(t)).alias("end"))
 
     def parsed(ts: Column) -> Column:
         error = (
-            F.when(F.trim(expression) == "", F.lit("empty expression"))
+            F.when(strip_space(expression) == "", F.lit("empty expression"))
             .when(F.exists(ts, lambda t: t == ""), F.lit("empty page range"))
             .when(F.exists(ts, lambda t: ~t.rlike(RANGE)), F.lit("invalid page range"))
             .when(F.exists(ts, lambda t: low(t).isNull() | high(t).isNull() | (F.least(low(t), high(t)) < 1) | (F.greatest(low(t), high(t)) > page_count)), F.lit("page range out of bounds"))

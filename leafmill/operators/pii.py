@@ -1,7 +1,7 @@
 r"""Personal data in text: detectors, redaction and its verification.
 
-All detectors run in one scan; a match's offset is the length of what the pattern's gaps and
-earlier matches take up. Offsets count code points. JavaScript's ASCII word boundary is
+All detectors run in one scan and inside the row, without a join or shuffle; a match's offset is the
+length of what stands before it. Offsets count code points. JavaScript's ASCII word boundary is
 written with look-arounds, as Java's ``\b`` also knows other letters.
 """
 
@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import luhn_valid, squeezed, verhoeff_valid
+from ..functions.binding import let
+from ..functions.scalars import luhn_valid, squeezed, strip_space, verhoeff_valid
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _S = r"[\s ﻿]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-MOST = 10_000
+#: Marks around a match while it is measured: two code points that are no characters.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+#: Terms in a user's list to verify, at most.
+MOST_TERMS = 10_000
 
 #: The detectors in the order that breaks ties, their patterns and whether they run by default.
 DETECTORS = (
@@ -32,18 +37,24 @@ DETECTORS = (
 CARD_WORDS = "card|visa|mastercard|amex|debit|credit|cc:"
 
 
-def all_matches(text: Column, pattern: str, most: int = MOST) -> Column:
-    """array<struct<value, start>>: the non-empty matches of a pattern and their offsets."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, most)
-    gaps = F.transform(F.slice(F.split(text, pattern), 1, most), F.length)
-    pairs = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int>>").alias("out"))
-    step = lambda a, p: F.struct(
-        (a["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(p["value"].alias("value"), (a["at"] + p["gap"]).alias("start")))).alias("out"),
-    )
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast("array<struct<value:string,start:int>>"))
+def all_matches(text: Column, pattern: str, most: int | None = None) -> Column:
+    """array<struct<value, start>>: the non-empty matches of a pattern and their offsets, the first ``most`` if given.
+
+    One pass of the pattern: each match is put between two characters that no text holds."""
+    spot = "array<struct<value:string,start:int>>"
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"), pattern, OPEN + "$0" + CLOSE)
+
+    def spans(parts: Column) -> Column:
+        pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.struct(F.substring_index(p, CLOSE, 1).alias("value"), F.length(p).alias("size")))
+        zero = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(spot).alias("out"))
+        here = lambda a, p: F.array(F.struct(p["value"].alias("value"), a["at"].alias("start")))
+        step = lambda a, p: F.struct(
+            (a["at"] + p["size"] - 1).alias("at"), F.when(p["value"] != "", F.concat(a["out"], here(a, p))).otherwise(a["out"]).alias("out")
+        )
+        found = F.aggregate(pairs, zero, step)["out"]
+        return F.when(F.size(parts) > 1, found if most is None else F.slice(found, 1, most)).otherwise(F.array().cast(spot))
+
+    return let(F.split(marked, OPEN), spans)
 
 
 def _accepted(kind: str, text: Column, m: Column) -> Column:
@@ -59,42 +70,58 @@ def _accepted(kind: str, text: Column, m: Column) -> Column:
 
 
 def custom_detectors(patterns: list[str]) -> list[tuple[str, str]]:
-    """Checked patterns of the user; blank ones are skipped, long or broken ones refused."""
+    """Checked patterns of the user; blank ones are skipped, long or broken ones refused.
+
+    They run as Java patterns, so they are checked as such where a session is at hand; else by
+    Python's rules, without what Java does not know."""
     out = []
+    spark = SparkSession.getActiveSession()
     for p in patterns:
         if not p.strip():
             continue
         if len(p) > 200:
             raise ValueError("INVALID_INPUT: custom patterns must be 200 characters or fewer")
         try:
-            re.compile(p)
-        except re.error as e:
+            if spark is None:
+                re.compile(p.replace("(?P", "(?!<"))
+            else:
+                spark.sparkContext._jvm.java.util.regex.Pattern.compile(p)
+        except (re.error, PySparkException) as e:
             raise ValueError(f"INVALID_INPUT: custom pattern {p!r} is not a valid regular expression") from e
         out.append(("custom", p))
     return out
 
 
-def find_pii(docs: DataFrame, enabled: set[str] | None = None, custom: list[str] = ()) -> DataFrame:
-    """doc_id, type, value, start, end, detector_ord, match_ord; overlapping matches all stay."""
+def pii_spans(text: Column, enabled: set[str] | None = None, custom: list[str] = ()) -> Column:
+    """array<struct<type, value, start, end, detector_ord, match_ord>> of a text, detector by detector;
+    overlapping matches all stay, a null text has none."""
     chosen = [(k, p) for k, p, on in DETECTORS if (on if enabled is None else k in enabled)] + custom_detectors(list(custom))
     order = [k for k, _, _ in DETECTORS] + ["custom"]
-    text = F.col("text")
+    none = F.array().cast("array<struct<type:string,value:string,start:int,end:int,detector_ord:int,match_ord:int>>")
+
     def of_kind(kind: str, pattern: str) -> Column:
-        kept = F.filter(all_matches(text, pattern), lambda m: (F.length(m["value"]) > 0) & _accepted(kind, text, m))
+        kept = F.filter(all_matches(text, pattern), lambda m: _accepted(kind, text, m))
         trimmed = kind in ("credit-card", "aadhaar", "phone")
 
         def row(m: Column, i: Column) -> Column:
             return F.struct(
-                F.lit(kind).alias("type"), (F.trim(m["value"]) if trimmed else m["value"]).alias("value"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"),
+                F.lit(kind).alias("type"), (strip_space(m["value"]) if trimmed else m["value"]).alias("value"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"),
                 F.lit(order.index(kind)).alias("detector_ord"), i.alias("match_ord"),
             )
 
-        return F.transform(kept, row)
+        # What a text must hold for the pattern to match at all spares most texts the pass.
+        needed = {"email": F.contains(text, F.lit("@")), "url": F.contains(text, F.lit("://")), "ip-address": text.rlike("[0-9][.][0-9]")}
+        needed = needed.get(kind, F.lit(True) if kind == "custom" else text.rlike("[0-9]{4}"))
+        if kind in ("credit-card", "phone"):
+            needed = text.rlike("[0-9]")
+        return F.when(needed, F.transform(kept, row)).otherwise(none)
+
+    return F.concat(none, *[F.coalesce(of_kind(k, p), none) for k, p in chosen])
+
 
-    parts = [of_kind(k, p) for k, p in chosen]
-    if not parts:
-        parts = [F.array().cast("array<struct<type:string,value:string,start:int,end:int,detector_ord:int,match_ord:int>>")]
-    return docs.where("text is not null").select("doc_id", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "m.*")
+def find_pii(docs: DataFrame, enabled: set[str] | None = None, custom: list[str] = ()) -> DataFrame:
+    """doc_id, type, value, start, end, detector_ord, match_ord; overlapping matches all stay."""
+    return docs.select("doc_id", F.explode(pii_spans(F.col("text"), enabled, custom)).alias("m")).select("doc_id", "m.*")
 
 
 def pii_by_type(matches: DataFrame) -> DataFrame:
@@ -102,34 +129,51 @@ def pii_by_type(matches: DataFrame) -> DataFrame:
     return matches.groupBy("type").agg(F.count("*").alias("matches"), F.countDistinct("doc_id").alias("documents"), F.min("start").alias("first_start"))
 
 
-def redacted(docs: DataFrame, matches: DataFrame, mask: str = "█") -> DataFrame:
-    """doc_id, text with every matched span masked, n_masked characters.
+def masked(text: Column, spans: Column, mask: str = "█") -> Column:
+    """struct<text, n_masked>: the text with every span masked, and how many characters are.
 
-    Overlapping spans are merged first (islands of the running end), so each character is
-    masked once."""
-    run = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    opens = (F.col("start") > F.coalesce(F.max("end").over(run), F.lit(-1))).cast("int")
-    m = matches.select("doc_id", "start", "end").distinct().withColumn("_new", opens)
-    m = m.withColumn("_island", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = m.groupBy("doc_id", "_island").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    t = docs.join(spans, "doc_id", "left")
+    Spans are taken in order, each from where the ones before end, so a character is masked once."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
-    step = lambda a, s: F.struct(
-        s["e"].alias("at"), F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["s"] - a["at"]), F.repeat(F.lit(mask), s["e"] - s["s"])).alias("out"), (a["n"] + s["e"] - s["s"]).alias("n")
-    )
-    t = t.withColumn("_f", F.aggregate("spans", zero, step))
-    rest = F.concat(F.col("_f.out"), F.substr(F.col("text"), F.col("_f.at") + 1, F.length("text")))
-    return t.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce("_f.n", F.lit(0)).alias("n_masked"))
+
+    def step(a: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], a["at"])
+        size = F.greatest(s["end"] - begin, F.lit(0))
+        out = F.concat(a["out"], F.substr(text, a["at"] + 1, begin - a["at"]), F.repeat(F.lit(mask), size))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(size > 0, out).otherwise(a["out"]).alias("out"), (a["n"] + size).alias("n"))
+
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    whole = lambda f: F.struct(F.concat(f["out"], F.substr(text, f["at"] + 1, F.length(text))).alias("text"), f["n"].alias("n_masked"))
+    return let(F.aggregate(ordered, zero, step), whole)
+
+
+def redacted(docs: DataFrame, enabled: set[str] | None = None, custom: list[str] = (), mask: str = "█") -> DataFrame:
+    """doc_id, text with the personal data of each row masked, n_masked characters, found: the values.
+
+    All happens inside the row, so rows without doc_id or with a repeated one are masked like any; a
+    null text stays null."""
+    rows = docs.select("doc_id", "text", pii_spans(F.col("text"), enabled, custom).alias("_spans"))
+    rows = rows.select("doc_id", masked(F.col("text"), F.col("_spans"), mask).alias("_m"), F.array_distinct(F.transform("_spans", lambda s: s["value"])).alias("found"))
+    return rows.select("doc_id", F.col("_m.text").alias("text"), F.coalesce("_m.n_masked", F.lit(0)).alias("n_masked"), "found")
+
+
+def leftovers(text: Column, terms: Column) -> Column:
+    """The terms (trimmed, three characters and more) that still occur in a text; white space and case are ignored."""
+    trimmed = F.filter(F.transform(terms, strip_space), lambda t: F.length(t) >= 3)
+    return let(squeezed(text), lambda hay: F.array_distinct(F.filter(trimmed, lambda t: F.contains(hay, squeezed(t)))))
 
 
-def redaction_leftovers(pages: DataFrame, terms: DataFrame) -> DataFrame:
+def redaction_leftovers(pages: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """The distinct terms of three characters and more that still occur in some page.
 
-    ``terms`` is the user's list of marked terms; white space and case are ignored."""
-    t = terms.select(F.trim("term").alias("term")).where(F.length("term") >= 3).distinct().withColumn("_needle", squeezed(F.col("term")))
-    p = pages.select(squeezed(F.col("text")).alias("_hay"))
-    return t.join(p, F.contains(F.col("_hay"), F.col("_needle")), "left_semi").select("term")
+    ``terms`` is the user's list of marked terms, ``most`` at the most: it goes with the task to every page,
+    and a longer list is refused. What a row's own detectors found is verified in the row by ``leftovers``."""
+    t = terms.select(strip_space(F.col("term")).alias("term")).where(F.length("term") >= 3).distinct().limit(most + 1).collect()
+    if len(t) > most:
+        raise ValueError(f"INVALID_INPUT: more than {most} terms to verify")
+    listed = F.array(*[F.lit(r["term"]) for r in t]) if t else F.array().cast("array<string>")
+    needles = F.transform(listed, lambda x: F.struct(x.alias("term"), squeezed(x).alias("needle")))
+    left = let(squeezed(F.col("text")), lambda hay: F.filter(needles, lambda n: F.contains(hay, n["needle"])))
+    return pages.select(F.explode(left).alias("n")).select("n.term").distinct()
 
 
 def search_marks(docs: DataFrame, term: str) -> DataFrame:

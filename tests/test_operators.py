@@ -35,17 +35,39 @@ def test_pii_custom(spark):
     found = pii.find_pii(docs(spark, "ref GX-99312"), set(), [r"GX-[0-9]{5}", " "]).collect()
     assert [(r["type"], r["value"]) for r in found] == [("custom", "GX-99312")]
     assert pii.find_pii(docs(spark, "abc"), set(), ["^|$"]).count() == 0
-    for bad in ("([bad", "x" * 201):
+    spots = [(r["start"], r["value"]) for r in pii.find_pii(docs(spark, "xxabxxxa"), set(), ["a?b?"]).collect()]
+    assert spots == [(2, "ab"), (7, "a")]
+    many = pii.find_pii(docs(spark, "-" * 12_000 + "42"), set(), ["[0-9]*"]).collect()
+    assert [(r["start"], r["value"]) for r in many] == [(12_000, "42")]
+    for bad in ("([bad", "x" * 201, "(?P<n>x)"):
         with pytest.raises(ValueError, match="INVALID_INPUT"):
             pii.custom_detectors([bad])
 
 
 def test_redaction_and_leftovers(spark):
     d = docs(spark, "a b@c.io d 1.2.3.4", "plain")
-    out = {r["doc_id"]: (r["text"], r["n_masked"]) for r in pii.redacted(d, pii.find_pii(d)).collect()}
+    out = {r["doc_id"]: (r["text"], r["n_masked"]) for r in pii.redacted(d).collect()}
     assert out == {0: ("a ██████ d ███████", 13), 1: ("plain", 0)}
     terms = spark.createDataFrame([("B@C.io ",), ("gone-term",), ("ab",), ("plain",)], "term string")
     assert {r["term"] for r in pii.redaction_leftovers(d, terms).collect()} == {"B@C.io", "plain"}
+    tabbed = spark.createDataFrame([("\tpl\u00a0ain\n",)], "term string")
+    assert [r["term"] for r in pii.redaction_leftovers(d, tabbed).collect()] == ["pl\u00a0ain"]
+    assert pii.redaction_leftovers(d, terms.where("false")).count() == 0
+    with pytest.raises(ValueError, match="INVALID_INPUT"):
+        pii.redaction_leftovers(d, terms, 2)
+
+
+def test_redaction_of_odd_rows(spark):
+    """Rows without id or with a repeated one, overlapping matches, null and empty texts."""
+    rows = [(None, "mail a@b.io now"), (None, None), (3, "x@y.org"), (3, "nothing in this one"), (4, ""), (5, "4111 1111 1111 1111 and 4111 1111 1111 1111"), (6, "\ufdd0 a@b.io \ufdd1")]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, found string")
+    got = sorted(((r["doc_id"], r["text"], r["n_masked"]) for r in pii.redacted(d).collect()), key=str)
+    card = "█" * 19
+    assert got == sorted([(None, "mail ██████ now", 6), (None, None, 0), (3, "█" * 7, 7), (3, "nothing in this one", 0), (4, "", 0), (5, f"{card}█and {card}", 39), (6, "\ufdd0 ██████ \ufdd1", 6)], key=str)
+    kept = pii.redacted(d).select(F.size(pii.leftovers(F.col("text"), F.col("found"))).alias("n")).where("n > 0").count()
+    assert kept == 0
+    plan = pii.redacted(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_search_marks(spark):
