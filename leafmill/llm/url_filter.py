@@ -18,20 +18,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)"
+#: The scheme and the authority of a URL; what a browser strips from one: white space and controls at the ends, tabs and line ends anywhere.
+AUTHORITY = r"^[a-z][a-z0-9+.\-]*:[/\\]{2}([^/?#\\]*)"
+ENDS, ANYWHERE = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[\t\n\r]"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of a URL without a final dot, or null."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.$", ""), F.lit(""))
+    """The lower-cased host of a URL without user, port and final dot, or null.
+
+    A user part ends at the last @; a backslash ends the host like a slash."""
+    clean = F.regexp_replace(F.regexp_replace(F.lower(url), ENDS, ""), ANYWHERE, "")
+    place = F.substring_index(F.regexp_extract(clean, AUTHORITY, 1), "@", -1)
+    host = F.when(place.startswith("["), F.regexp_extract(place, r"^(\[[^\]]*\])", 1)).otherwise(F.substring_index(place, ":", 1))
+    return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains of two labels and more."""
+    """The host and its parent domains of two labels and more; an address stands for itself only."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     cut = lambda i: F.array_join(F.slice(labels, i + 1, n), ".")
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), cut)
+    address = host.startswith("[") | host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    return F.when(address, F.array(host)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), cut))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -43,7 +51,10 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every row of ``captures`` (url, fetched) as ``_row`` with host, fetched, rule, verdict, kept."""
+    """Every row of ``captures`` (url, fetched) as ``_row`` with host, fetched, rule, verdict, kept.
+
+    Only domains that the list holds are asked for, so a hosting domain gathers its hosts only where
+    it is listed; its side of the join can be split, and the best entry is found per (host, day)."""
     rows = captures.select(F.struct("*").alias("_row"), host_of(F.col("url")).alias("host"), "fetched")
     asked = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct()
     asked = asked.select("host", "fetched", F.explode(domains_of(F.col("host"))).alias("_domain"))
