@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
 from ..functions.scalars import normalize_margin, strip_space
 
 KEY = ["doc_id", "page_number"]
@@ -131,22 +132,22 @@ def tables_of(lines: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """Table candidates: islands of at least three near bands of 2 to 12 segments, with a
     confidence from alignment, consistency, density, bold first row and numeric cells."""
     limit = threshold(confidence)
-    bands = lines.groupBy(*KEY, "band").agg(F.count("*").alias("cells"), F.first("band_top").alias("top"), F.first("band_bottom").alias("bottom"))
-    w = Window.partitionBy(*KEY).orderBy("band")
-    fits = F.col("cells").between(2, 12)
-    bands = bands.withColumn("fits", fits).withColumn("_prev", F.lag("fits", 1, False).over(w)).withColumn("_gap", F.col("top") - F.lag("bottom").over(w))
-    near = F.col("_gap") <= F.greatest(F.lit(24.0), (F.col("bottom") - F.col("top")) * 2.2)
-    bands = bands.withColumn("_new", (~(F.col("_prev") & F.coalesce(near, F.lit(False)))).cast("int")).where("fits")
-    bands = bands.withColumn("island", F.sum("_new").over(w))
-    i = Window.partitionBy(*KEY, "island")
-    bands = bands.withColumn("rows", F.count("*").over(i)).where("rows >= 3").withColumn("row", F.row_number().over(i.orderBy("band")))
-    bands = bands.withColumn("number", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("island")))
+    # Every window's key begins with the page, so all of them follow the one shuffle by page.
+    page, band = Window.partitionBy(*KEY), Window.partitionBy(*KEY, "band")
+    before = page.orderBy("band").rangeBetween(-1, -1)
+    one = (F.col("seg") == 0).cast("int")
+    l = lines.withColumn("cells", F.count("*").over(band)).withColumn("fits", F.col("cells").between(2, 12))
+    l = l.withColumn("_prev", F.coalesce(F.first("fits").over(before), F.lit(False))).withColumn("_gap", F.col("band_top") - F.first("band_bottom").over(before))
+    near = F.col("_gap") <= F.greatest(F.lit(24.0), (F.col("band_bottom") - F.col("band_top")) * 2.2)
+    new = F.when(F.col("_prev") & F.coalesce(near, F.lit(False)), 0).otherwise(one)
+    l = l.withColumn("_new", new).where("fits").withColumn("island", F.sum("_new").over(page.orderBy("band").rangeBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy(*KEY, "island")
+    l = l.withColumn("rows", F.sum(one).over(island)).where("rows >= 3").withColumn("row", F.dense_rank().over(island.orderBy("band")))
+    l = l.withColumn("number", F.dense_rank().over(page.orderBy("island")))
     # The commonest number of cells, the larger of equals.
-    modes = bands.groupBy(*KEY, "number", "cells").agg(F.count("*").alias("n")).groupBy(*KEY, "number").agg(F.max(F.struct("n", "cells")).alias("m"))
-    bands = bands.join(modes.select(*KEY, "number", F.col("m.cells").alias("columns")), [*KEY, "number"])
-    cells = lines.join(bands.select(*KEY, "band", "number", "row", "rows", "cells", "columns", "top", "bottom"), [*KEY, "band"])
-    cells = cells.withColumn("aligned", F.col("cells") == F.col("columns"))
-    t = Window.partitionBy(*KEY, "number")
+    times = F.sum(one).over(Window.partitionBy(*KEY, "number", "cells"))
+    l = l.withColumn("_times", times).withColumn("columns", F.max(F.struct("_times", "cells")).over(Window.partitionBy(*KEY, "number"))["cells"])
+    cells = l.withColumn("top", F.col("band_top")).withColumn("bottom", F.col("band_bottom")).withColumn("aligned", F.col("cells") == F.col("columns"))
     edge = F.median(F.when(F.col("aligned"), F.col("x"))).over(Window.partitionBy(*KEY, "number", "seg"))
     cells = cells.withColumn("edge", edge).withColumn("deviation", F.when(F.col("aligned"), F.abs(F.col("x") - F.col("edge"))))
     g = cells.groupBy(*KEY, "number").agg(
@@ -221,9 +222,11 @@ def blocks_of(lines: DataFrame, tables: DataFrame, confidence: float = CONFIDENC
 
 
 def analyze(glyphs: DataFrame, pages: DataFrame, confidence: float = CONFIDENCE, columns: bool = True, drop_margins: bool = True) -> dict[str, DataFrame]:
-    """All layers of a collection of documents: lines, tables, repeated, blocks, scanned, warnings."""
-    lines = reading_order(lines_of(banded(glyphs, pages)), columns)
-    tables = tables_of(lines, confidence)
+    """All layers of a collection of documents: lines, tables, repeated, blocks, scanned, warnings.
+
+    Lines and tables are written once to the shared folder, as every other layer reads them."""
+    lines = written(reading_order(lines_of(banded(glyphs, pages)), columns), "layout-lines")
+    tables = written(tables_of(lines, confidence), "layout-tables")
     repeated = repeated_margins(lines, pages)
     kept = lines.withColumn("norm", normalize_margin(F.col("text")))
     kept = (kept.join(repeated, ["doc_id", "norm"], "left_anti") if drop_margins else kept).drop("norm")

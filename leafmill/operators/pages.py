@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.scalars import strip_space
+from ..functions.spread import with_offsets
+
+FILES_A_BUCKET = 10_000
 
 RANGE = r"^[0-9]+$|^([0-9]+)\s*-\s*([0-9]+)$"
 
@@ -77,8 +80,13 @@ def arrange(pages: DataFrame, descriptors: DataFrame) -> DataFrame:
 
 def merged(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Pages (file, page) of several files as one document: out_page continues over the files
-    in the order of files (file, file_ord). Offsets come from the files' page counts, so no
-    task sees all pages."""
+    in the order of files (file, file_ord).
+
+    Files are cut into buckets of FILES_A_BUCKET by their order; a bucket's offset comes from the sums of the
+    buckets, a file's from those of its bucket, so no task sees all files."""
     counts = pages.groupBy("file").agg(F.max("page").alias("_n")).join(files, "file")
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.join(counts.select("file", "file_ord", before.alias("_before")), "file").select("file", "file_ord", "page", (F.col("_before") + F.col("page")).alias("out_page"))
+    counts = counts.withColumn("_bucket", F.floor(F.col("file_ord") / FILES_A_BUCKET))
+    sums = with_offsets(counts.groupBy("_bucket").agg(F.sum("_n").alias("_all")), [], "_bucket", {"_all": "_before"}).select("_bucket", "_before")
+    run = Window.partitionBy("_bucket").orderBy("file_ord", "file").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.join(sums, "_bucket").withColumn("_before", F.col("_before") + F.sum("_n").over(run) - F.col("_n"))
+    return pages.join(counts.select("file", "file_ord", "_before"), "file").select("file", "file_ord", "page", (F.col("_before") + F.col("page")).alias("out_page"))
