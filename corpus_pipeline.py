@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm.durable import written
+from leafmill.functions.durable import written
 from leafmill.llm.mixing import mixed_documents
 from leafmill.llm.ngram_join import one_of_each
 from leafmill.llm.pieces import sampled_pieces
