@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import dropped, written
+from ..functions.durable import dropped, written
 
 SAMPLE, PROBES = 4096, 512
 SUBSTRINGS, BITS = 96, 16

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import dropped, written
+from ..functions.durable import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import shuffle_key
+from ..functions.spread import shuffle_key
 
 #: Bytes of the longest text that a model is trained on, so that the one training task is bounded.
 LONGEST_SAMPLE = 1 << 16

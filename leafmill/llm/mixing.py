@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import dropped, written
-from .spread import buckets_for, shuffle_key, with_offsets
+from ..functions.durable import dropped, written
+from ..functions.spread import buckets_for, shuffle_key, with_offsets
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .durable import dropped, written
+from ..functions.durable import dropped, written
 from .shingles import least_overlap, mix, shingle_sets
 
 PERCENT = 80

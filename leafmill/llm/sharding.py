@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import written
-from .spread import buckets_for, shuffle_key, with_offsets
+from ..functions.durable import written
+from ..functions.spread import buckets_for, shuffle_key, with_offsets
 
 SHARDS = 40
 OVERHEAD = 16
