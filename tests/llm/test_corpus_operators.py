@@ -175,6 +175,25 @@ def labelled_texts(seed=0, n=500):
     return rows + [(n, None, ""), (n + 1, "", ""), (n + 2, "\n", ""), (n + 3, "word " * 30_000, "")], marks
 
 
+def test_odd_rows_score_and_encode(spark):
+    """Null and repeated ids, copies, null and very long texts, extra columns: a row out for each row in, copies alike."""
+    rows, marks = labelled_texts(4, 200)
+    odd = [(None, None, ""), (None, "a b", ""), (5, "trashy word", ""), (5, "trashy word", ""), (5, "other", ""), (9, "é" * 200_000, ""), (10, "w " * 200_000, "")]
+    d = spark.createDataFrame(rows + odd, "doc_id long, text string, score string")
+    m = spark.createDataFrame([*marks, (5, 1, 0), (5, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for f in (toxicity.toxicity_scores, quality_fm.quality_scores):
+        out = f(d, m).collect()
+        assert len(out) == len(rows) + len(odd) and not any(r["held_out"] for r in out if r["doc_id"] is None)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in out)
+        again = sorted((str(r["doc_id"]), r["score"]) for r in f(d, m).collect())
+        assert again == sorted((str(r["doc_id"]), r["score"]) for r in out)
+    got = pieces.sampled_pieces(d).collect()
+    assert len(got) == len(rows) + len(odd) and all(r["lossless"] for r in got if r["ids"] is not None)
+    assert sum(r["ids"] is None for r in got) == 2
+    twins = [tuple(r["ids"]) for r in got if r["doc_id"] == 5]
+    assert max(twins.count(x) for x in twins) >= 2
+
+
 def accuracy(out, marks, at):
     truth = {i: m for i, *m in marks}
     held = [r for r in out if r["held_out"] and r["doc_id"] in truth]

@@ -1,10 +1,18 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
-from leafmill.llm import ngram_join, quality_rules
+from leafmill.llm import ngram_join, quality_rules, toxicity
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_corpus_operators import brute_components, plain_toxicity  # noqa: E402
+from test_text_operators import measured  # noqa: E402
 
 
 def corpus(spark, folder):
@@ -50,6 +58,65 @@ def test_stages_and_run(spark, tmp_path):
     assert ids <= left & ruled & single and not ids & set(range(200, 302))
 
 
+def plain_mix(rows):
+    """How often the mix takes each row (doc_id, text, source): the queues' entries in order of finish time."""
+    size = {i: measured(t)[0] for i, t, _ in rows}
+    by = defaultdict(list)
+    for i, _, s in rows:
+        by[s].append(i)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    entries, total = [], sum(size.values())
+    for s, ids in by.items():
+        ids.sort(key=lambda i: (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:8], 16), i))
+        whole, sent = sum(size[i] for i in ids), 0
+        for i in ids:
+            sent += size[i]
+            entries += [((e * whole + sent) / weight[s], s is None, s or "", i, size[i], e) for e in range(3) if size[i]]
+    taken, spent = Counter(), 0
+    for finish, _, _, i, n, _ in sorted(entries):
+        spent += n
+        if spent > total:
+            break
+        taken[i] += 1
+    return taken
+
+
+def test_run_against_plain_stages(spark, tmp_path):
+    """The rows of run() are those of every stage redone by brute force."""
+    folder = str(tmp_path)
+    docs, _ = corpus(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn_toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    left = [d for d in docs if plain_toxicity(model, d[1])[0] < 0.5]
+    ruled = {r["doc_id"]: r for r in quality_rules.quality_verdicts(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    for d in left:
+        n, _, _, _, repeats = measured(d[1])
+        assert ruled[d[0]]["base_failed"] == (n < 50 or 100 * repeats > 50 * n)
+    left = [d for d in left if ruled[d[0]]["kept"]]
+    groups = brute_components([(d[0], d[1]) for d in left])
+    left = [d for d in left if groups[d[0]][1] == d[0]]
+    want = plain_mix([(d[0], d[1], d[3]) for d in left])
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r["doc_id"] for r in out) == want and all(r["lossless"] for r in out)
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """No stage fails on an empty table, on null rows or on columns that clash with its own."""
+    folder = str(tmp_path)
+    corpus(spark, folder)
+    names = "score distance _doc m n fa fb component cid size epochs taken _at ids lossless base_failed".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    long = " ".join(f"w{i % 997}a the" for i in range(30_000))
+    rows = [(1, long, "en", None, 1), (1, long, "en", None, 1), (None, None, None, None, None), (2, "", "en", "a", 0), (None, "the of and " * 30, None, "a", 3)]
+    d = spark.createDataFrame([(*r, *["clash"] * len(names)) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, folder)
+        if name != "sentencepiece":
+            assert out.columns == d.columns
+        assert out.count() <= 3 * len(rows)
+        assert stage(spark, d.where("false"), folder).count() == 0
+
+
 def test_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "near duplicates", "mixing", "sentencepiece"]
     assert corpus_pipeline.ORACLE_SQL is None

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -114,6 +115,34 @@ def measured(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(full) - len(set(full)), len(covered))
 
 
+def plain_shards(rows, shards):
+    """Placement by the definition: ranks in a seeded shuffle, fractional ranks, equal stretches."""
+    made = []
+    for i, text, source in rows:
+        b = (text or "").encode()
+        key = int(hashlib.md5(f"shard|{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        made.append((source is None, source or "", key, i is not None, i or 0, len(b) + 16, zlib.crc32(b)))
+    out = []
+    for s in {m[:2] for m in made}:
+        mine = sorted(m for m in made if m[:2] == s)
+        out += [((2 * r + 1) / (2 * len(mine)), *m[:2], *m[3:]) for r, m in enumerate(mine)]
+    out.sort()
+    n = len(out)
+    first = lambda k: -(-k * n // shards)
+    return [(m[4] if m[3] else None, m[5], m[6], p * shards // n, p - first(p * shards // n)) for p, m in enumerate(out)]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_shards_against_their_definition(spark, odd):
+    rows = corpus(5, 400)
+    if odd:  # repeated and null ids, copies, a long text
+        rows += [(3, "other text", "a"), (3, "other text", "a"), (None, "no id", "b"), (None, None, None), (7, "y " * 60_000, "c")]
+    got = sharding.assign_shards(frame(spark, rows), 7).collect()
+    of = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got]
+    assert sorted(of, key=str) == sorted(plain_shards(rows, 7), key=str)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
 def test_quality_rules(spark):
     r = random.Random(5)
     texts = [None, "", " \t\n", "a b", "a b c a b c", "x y z " * 200, "l one\nl two\nl one\n \n \n", "é# *$%&|<>\x0b\x0cw", "long " * 20_000]
