@@ -2,8 +2,8 @@
 
 The parsers are sequential state machines over one document; they run in mapInPandas, a
 document at a time, and never see more than one. A block is (block, kind, level, ordered,
-text, items, rows): headings, paragraphs, lists, tables, code, quotes, rules, page breaks,
-images.
+text, items, rows, runs, align, start, header_rows): headings, paragraphs, lists, tables, code,
+quotes, rules, page breaks, images. ``runs`` are the stretches of one style that make up a text.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "doc_id long, block int, kind string, level int, ordered boolean, text string, items array<string>, rows array<array<string>>"
+RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,code:boolean,color:array<double>,href:string>"
+BLOCKS = f"doc_id long, block int, kind string, level int, ordered boolean, text string, items array<string>, rows array<array<string>>, runs array<{RUN}>, align string, start int, header_rows int"
+FIELDS = ("kind", "level", "ordered", "text", "items", "rows", "runs", "align", "start", "header_rows")
+LINK_COLOR = (0.1, 0.3, 0.75)
 #: The delimiters that are tried, and the limits of a CSV document.
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_CHARS, SAMPLE_ROWS, MAX_COLUMNS, SECTION = 32_768, 12, 40, 10
@@ -100,118 +104,280 @@ def csv_blocks(source: str, max_rows: int | None = None) -> list[dict]:
     return out + _warnings(max_rows if cut else 0, width if widest > width else 0)
 
 
-class _Html(html.parser.HTMLParser):
-    """Walks the elements and gathers blocks; unknown elements are inline."""
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: An open element of the key ends where one of these begins.
+ENDED_BY = {
+    "p": frozenset("p address blockquote pre ul ol table hr h1 h2 h3 h4 h5 h6 div section article main header footer nav aside figure".split()),
+    "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
+}
+SCOPES = frozenset("table ul ol td th".split())
+
+
+class Element:
+    """An element of a page: name, attributes and children (elements and texts)."""
+
+    def __init__(self, name: str, attributes: dict[str, str | None]):
+        self.name, self.attributes, self.children = name, attributes, []
+
+    def found(self, name: str) -> Iterator[Element]:
+        """Descendants of that name, none inside another."""
+        for c in self.children:
+            if isinstance(c, Element):
+                if c.name == name:
+                    yield c
+                else:
+                    yield from c.found(name)
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+
+class _Tree(html.parser.HTMLParser):
+    """Elements as a tree; end tags that are left out are added where the next element implies them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[dict] = []
-        self.title, self.in_title, self.skipped = "", False, 0
-        self.omitted: set[str] = set()
-        self.text: list[str] = []
-        self.kind, self.level = "paragraph", None
-        self.lists: list[dict] = []
-        self.table: list[list[str]] | None = None
-        self.pre = 0
-
-    def close_text(self) -> None:
-        raw = "".join(self.text)
-        self.text.clear()
-        text = raw.strip("\n") if self.pre else re.sub(r"\s+", " ", raw).strip()
-        if text and self.lists:
-            self.lists[-1]["items"].append(text)
-        elif text:
-            self.blocks.append({"kind": self.kind, "level": self.level, "text": text})
+        self.root = Element("", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ACTIVE:
-            self.omitted.add("active content")
-            self.skipped += tag not in ("input", "link", "embed")
-        elif self.skipped:
-            return
-        elif tag == "title":
-            self.in_title = True
-        elif self.table is not None:
-            if tag == "tr":
-                self.table.append([])
-            elif tag in ("td", "th") and self.table:
-                self.text.clear()
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.close_text()
-            self.kind, self.level = "heading", int(tag[1])
-        elif tag in ("p", "address", "blockquote", "pre") or tag in CONTAINERS:
-            self.close_text()
-            self.kind = {"blockquote": "quote", "pre": "code"}.get(tag, "paragraph")
-            self.pre += tag == "pre"
-        elif tag in ("ul", "ol"):
-            self.close_text()
-            self.lists.append({"kind": "list", "ordered": tag == "ol", "items": []})
-        elif tag == "li":
-            self.close_text()
-        elif tag == "table":
-            self.close_text()
-            self.table = []
-        elif tag == "hr":
-            self.close_text()
-            self.blocks.append({"kind": "rule"})
-        elif tag == "br":
-            self.text.append("\n" if self.pre else " ")
-        elif tag == "img":
-            src = dict(attrs).get("src") or ""
-            if re.match(r"data:image/(png|jpeg);base64,", src):
-                self.close_text()
-                self.blocks.append({"kind": "image", "text": dict(attrs).get("alt") or ""})
-            else:
-                self.omitted.add("external images")
+        for k in range(len(self.open) - 1, 0, -1):
+            name = self.open[k].name
+            if tag in ENDED_BY.get(name, ()):
+                del self.open[k:]
+                if tag != "tr" or name == "tr":
+                    break
+            elif name in SCOPES:
+                break
+        e = Element(tag, dict(attrs))
+        self.open[-1].children.append(e)
+        if tag not in VOID and len(self.open) < 400:
+            self.open.append(e)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ACTIVE:
-            self.skipped = max(0, self.skipped - 1)
-        elif self.skipped:
-            return
-        elif tag == "title":
-            self.in_title = False
-        elif self.table is not None:
-            if tag in ("td", "th") and self.table:
-                self.table[-1].append(re.sub(r"\s+", " ", "".join(self.text)).strip())
-                self.text.clear()
-            elif tag == "table":
-                self.blocks.append({"kind": "table", "rows": [r for r in self.table if r]})
-                self.table = None
-                self.text.clear()
-        elif tag in ("ul", "ol") and self.lists:
-            self.close_text()
-            done = self.lists.pop()
-            if done["items"]:
-                self.blocks.append(done)
-        elif tag == "li":
-            self.close_text()
-        elif re.fullmatch(r"h[1-6]|p|address|blockquote|pre", tag) or tag in CONTAINERS:
-            self.close_text()
-            self.kind, self.level = "paragraph", None
-            self.pre = max(0, self.pre - (tag == "pre"))
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].name == tag:
+                del self.open[k:]
+                break
+            if self.open[k].name == "table" and tag != "table":
+                break
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data
-        elif not self.skipped:
-            self.text.append(data)
+        self.open[-1].children.append(data)
 
 
-def html_document(source: str) -> tuple[str, list[dict], list[str]]:
-    """(title, blocks, what was left out)."""
-    p = _Html()
+def html_tree(source: str) -> Element:
+    p = _Tree()
     p.feed(source)
     p.close()
-    p.close_text()
-    p.blocks += [x for x in p.lists if x["items"]]
-    return re.sub(r"\s+", " ", p.title).strip(), p.blocks, sorted(p.omitted)
+    return p.root
+
+
+def single_spaced(text: str) -> str:
+    return re.sub(r"[\t\r\n ]+", " ", text).strip()
+
+
+def css_color(value: str | None) -> tuple[float, ...] | None:
+    """#rgb, #rrggbb or rgb(r, g, b) as parts of 1."""
+    value = (value or "").strip()
+    if m := re.fullmatch(r"#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})", value):
+        six = m[1] if len(m[1]) == 6 else "".join(c * 2 for c in m[1])
+        return tuple(int(six[k : k + 2], 16) / 255 for k in (0, 2, 4))
+    if m := re.fullmatch(r"(?i)rgb\(\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*\)", value):
+        return tuple(min(255, int(x)) / 255 for x in m.groups())
+    return None
+
+
+def alignment(value: str | None) -> str | None:
+    value = (value or "").strip().lower()
+    return value if value in ("left", "center", "right") else None
+
+
+def css_style(value: str | None) -> dict:
+    """The safe part of an inline style: weight, slant, line, colour, alignment, page breaks."""
+    said = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in (value or "").split(";"))}
+    weight = said.get("font-weight", "")
+    broken = lambda side: said.get(f"page-break-{side}") == "always" or said.get(f"break-{side}") == "page"
+    return {
+        "bold": weight in ("bold", "bolder") or (weight.isdigit() and int(weight) >= 600), "italic": said.get("font-style") == "italic", "underline": "underline" in said.get("text-decoration", said.get("text-decoration-line", "")),
+        "color": css_color(said.get("color")), "align": alignment(said.get("text-align")), "before": broken("before"), "after": broken("after"),
+    }
+
+
+def safe_link(href: str | None) -> str | None:
+    href = (href or "").strip()
+    return href if re.match(r"(?i)https?:|mailto:", href) else None
+
+
+def is_data_image(source: str | None) -> bool:
+    return bool(re.fullmatch(r"(?i)data:image/(?:png|jpeg);base64,[a-z0-9+/=\s]+", source or ""))
+
+
+def merged_runs(runs: list[dict]) -> list[dict]:
+    """Neighbours of one style as one run; empty ones go."""
+    out: list[dict] = []
+    for r in runs:
+        if not r["text"]:
+            continue
+        if out and {**out[-1], "text": ""} == {**r, "text": ""}:
+            out[-1]["text"] += r["text"]
+        else:
+            out.append(dict(r))
+    return out
+
+
+PLAIN = {"bold": False, "italic": False, "underline": False, "code": False, "color": None, "href": None}
+
+
+def html_runs(children: list, style: dict, omitted: set[str]) -> list[dict]:
+    """The styled runs of inline content."""
+    runs: list[dict] = []
+    for c in children:
+        if isinstance(c, str):
+            runs.append({"text": c, **style})
+        elif c.name in ACTIVE or c.name == "style":
+            omitted.add("active content")
+        elif c.name == "br":
+            runs.append({"text": "\n", **style})
+        elif c.name == "img":
+            alt = single_spaced(c.attributes.get("alt") or "")
+            runs.append({"text": f"[Image: {alt}]" if alt else "[Image]", **style, "italic": True})
+            if not is_data_image(c.attributes.get("src")):
+                omitted.add("external images")
+        else:
+            css = css_style(c.attributes.get("style"))
+            inner = {
+                "bold": style["bold"] or c.name in ("strong", "b") or css["bold"], "italic": style["italic"] or c.name in ("em", "i") or css["italic"], "underline": style["underline"] or c.name in ("u", "a") or css["underline"],
+                "code": style["code"] or c.name in ("code", "kbd", "samp"), "color": css["color"] or style["color"], "href": style["href"],
+            }
+            if c.name == "a":
+                inner |= {"color": LINK_COLOR, "href": safe_link(c.attributes.get("href"))}
+            runs += html_runs(c.children, inner, omitted)
+    return merged_runs(runs)
+
+
+def _text_of(runs: list[dict]) -> str:
+    return single_spaced("".join(r["text"] for r in runs))
+
+
+def _said(kind: str, **more: object) -> Callable:
+    """A maker of blocks of one kind from an element's inline content; elements without text make none."""
+
+    def make(node: Element, omitted: set[str]) -> Iterator[dict]:
+        runs = html_runs(node.children, PLAIN, omitted)
+        if text := _text_of(runs):
+            yield {"kind": kind, "text": text, "runs": runs, "align": css_style(node.attributes.get("style"))["align"], **more}
+
+    return make
+
+
+def _listed(node: Element, omitted: set[str]) -> Iterator[dict]:
+    items = [_text_of(html_runs(x.children, PLAIN, omitted)) for x in node.children if isinstance(x, Element) and x.name == "li"]
+    start = (node.attributes.get("start") or "").strip()
+    if items:
+        yield {"kind": "list", "ordered": node.name == "ol", "items": items, "start": (int(start) or None) if re.fullmatch(r"[+-]?[0-9]{1,9}", start) else None}
+
+
+def _tabled(node: Element, omitted: set[str]) -> Iterator[dict]:
+    """A table's rows; the first is a header if it has a header cell."""
+    lines = [[c for c in r.children if isinstance(c, Element) and c.name in ("td", "th")] for r in node.found("tr")]
+    rows = [[_text_of(html_runs(c.children, PLAIN, omitted)) for c in r] for r in lines if r]
+    if rows:
+        yield {"kind": "table", "rows": rows, "header_rows": int(any(c.name == "th" for c in lines[0]))}
+
+
+def _pictured(node: Element, omitted: set[str]) -> Iterator[dict]:
+    if is_data_image(node.attributes.get("src")):
+        yield {"kind": "image", "text": node.attributes.get("alt") or ""}
+    else:
+        omitted.add("external images")
+
+
+def _dropped(node: Element, omitted: set[str]) -> Iterator[dict]:
+    omitted.add("active content")
+    yield from ()
+
+
+def _flow(node: Element, omitted: set[str]) -> Iterator[dict]:
+    """The blocks of an element: stretches of inline content are paragraphs, the rest by name."""
+    seen = [c for c in node.children if isinstance(c, str) or c.name not in HIDDEN]
+    for inline, stretch in groupby(seen, lambda c: isinstance(c, str) or not (c.name in MAKERS or _breaks(c))):
+        if inline:
+            if text := _text_of(html_runs(list(stretch), PLAIN, omitted)):
+                yield {"kind": "paragraph", "text": text, "runs": [{"text": text, **PLAIN}]}
+            continue
+        for c in stretch:
+            css = css_style(c.attributes.get("style"))
+            if css["before"]:
+                yield {"kind": "page-break"}
+            yield from MAKERS.get(c.name, _said("paragraph"))(c, omitted)
+            if css["after"]:
+                yield {"kind": "page-break"}
+
+
+def _breaks(e: Element) -> bool:
+    css = css_style(e.attributes.get("style"))
+    return css["before"] or css["after"]
+
+
+HIDDEN = frozenset("head title meta link style".split())
+MAKERS: dict[str, Callable] = (
+    dict.fromkeys(ACTIVE - HIDDEN, _dropped) | dict.fromkeys(CONTAINERS, _flow) | dict.fromkeys(("p", "address"), _said("paragraph")) | dict.fromkeys(("ul", "ol"), _listed)
+    | {f"h{n}": _said("heading", level=n) for n in range(1, 7)}
+    | {"blockquote": _said("quote"), "table": _tabled, "img": _pictured, "pre": lambda e, _: iter([{"kind": "code", "text": e.text()}]), "hr": lambda *_: iter([{"kind": "rule"}])}
+)
+
+
+def html_document(source: str) -> tuple[str, list[dict], list[str]]:
+    """(title, blocks, what was left out)."""
+    root, omitted = html_tree(source), set()
+    blocks, title = list(_flow(root, omitted)), next(root.found("title"), None)
+    return single_spaced(title.text()) if title else "", blocks, sorted(omitted)
+
+
+_MARKED = re.compile(
+    r"\\([!-/:-@\[-`{-~])|(`+)(.+?)(?<!`)\2(?!`)|!\[([^\]]*)\]\([^)]*\)|\[([^\]]*)\]\(\s*<?([^\s)>]*)>?[^)]*\)"
+    r"|(\*\*|__)(?=\S)(.+?)(?<=\S)\7|(?<![A-Za-z0-9_])_(?=\S)([^_]+?)(?<=\S)_(?![A-Za-z0-9_])|\*(?=\S)([^*]+?)(?<=\S)\*|~~(?=\S)(.+?)(?<=\S)~~",
+    re.S,
+)
+
+
+def markdown_runs(text: str, style: dict = PLAIN) -> list[dict]:
+    """The styled runs of inline Markdown; struck-out text has no style, images become their text."""
+    runs, at = [], 0
+    for m in _MARKED.finditer(text):
+        runs.append({"text": text[at : m.start()], **style})
+        escaped, _, code, image, label, href, _, strong, slant, slant2, struck = m.groups()
+        if escaped is not None:
+            runs.append({"text": escaped, **style})
+        elif code is not None:
+            runs.append({"text": code.strip() or code, **style, "code": True})
+        elif image is not None:
+            runs.append({"text": f"[Image: {image}]" if image else "[Image]", **style, "italic": True})
+        elif label is not None:
+            runs += markdown_runs(label, {**style, "underline": True, "color": LINK_COLOR, "href": safe_link(href)})
+        elif strong is not None:
+            runs += markdown_runs(strong, {**style, "bold": True})
+        elif struck is not None:
+            runs += markdown_runs(struck, style)
+        else:
+            runs += markdown_runs(slant if slant is not None else slant2, {**style, "italic": True})
+        at = m.end()
+    return merged_runs([*runs, {"text": text[at:], **style}])
 
 
 def _inline(text: str) -> str:
-    text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"[Image: \1]", text)
-    text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    return re.sub(r"(\*\*|__|\*|_|`|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", text)
+    return "".join(r["text"] for r in markdown_runs(text))
+
+
+def _prose(kind: str, text: str, **more: object) -> dict:
+    runs = markdown_runs(text)
+    return {"kind": kind, "text": "".join(r["text"] for r in runs), "runs": runs, **more}
 
 
 def markdown_blocks(source: str) -> list[dict]:
@@ -233,7 +399,7 @@ def markdown_blocks(source: str) -> list[dict]:
             i += 1
             out.append({"kind": "code", "text": "\n".join(body)})
         elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
-            out.append({"kind": "heading", "level": len(m[1]), "text": _inline(m[2])})
+            out.append(_prose("heading", m[2], level=len(m[1])))
             i += 1
         elif re.match(r"\s*<!--\s*pagebreak\s*-->", line, re.I):
             out.append({"kind": "page-break"})
@@ -246,19 +412,19 @@ def markdown_blocks(source: str) -> list[dict]:
             while i < len(lines) and "|" in lines[i]:
                 rows.append([_inline(c.strip()) for c in lines[i].strip().strip("|").split("|")])
                 i += 1
-            out.append({"kind": "table", "rows": rows[:1] + rows[2:]})
-        elif m := re.match(r"\s*(?:[-*+]|(\d+)[.)])\s+", line):
-            ordered, items = bool(m[1]), []
-            while i < len(lines) and (m := re.match(r"\s*(?:[-*+]|(\d+)[.)])\s+(.*)", lines[i])) and bool(m[1]) == ordered:
+            out.append({"kind": "table", "rows": rows[:1] + rows[2:], "header_rows": 1})
+        elif m := re.match(r"\s*(?:[-*+]|(\d{1,9})[.)])\s+", line):
+            ordered, items, start = bool(m[1]), [], int(m[1]) if m[1] else None
+            while i < len(lines) and (m := re.match(r"\s*(?:[-*+]|(\d{1,9})[.)])\s+(.*)", lines[i])) and bool(m[1]) == ordered:
                 items.append(_inline(m[2]))
                 i += 1
-            out.append({"kind": "list", "ordered": ordered, "items": items})
+            out.append({"kind": "list", "ordered": ordered, "items": items, "start": start})
         elif line.startswith(">"):
             body = []
             while i < len(lines) and lines[i].startswith(">"):
                 body.append(lines[i][1:].strip())
                 i += 1
-            out.append({"kind": "quote", "text": _inline(" ".join(body))})
+            out.append(_prose("quote", " ".join(body)))
         else:
             body = []
             while i < len(lines) and lines[i].strip() and not re.match(r"#{1,6}\s|```|~~~|>|\s*(?:[-*+]|\d+[.)])\s|\s*<!--", lines[i]):
@@ -267,7 +433,7 @@ def markdown_blocks(source: str) -> list[dict]:
             if not body:
                 body = [lines[i].strip()]
                 i += 1
-            out.append({"kind": "paragraph", "text": _inline(" ".join(body))})
+            out.append(_prose("paragraph", " ".join(body)))
     return out
 
 
@@ -424,22 +590,48 @@ def blocks(docs: DataFrame, fmt: str, source: str = "source", key: str = "doc_id
             for doc, text in zip(b["k"], b["s"], strict=True):
                 try:
                     found = parse(text)
-                except (KeyError, IndexError, ValueError, zipfile.BadZipFile, ET.ParseError) as e:
+                except Exception as e:  # whatever a broken source does to its parser concerns that source only
                     found = [{"kind": "error", "text": f"{type(e).__name__}: {e}"}]
-                out += [(doc, i, x["kind"], x.get("level"), x.get("ordered"), x.get("text"), x.get("items"), x.get("rows")) for i, x in enumerate(found)]
-            t = pd.DataFrame(out, columns=["doc_id", "block", "kind", "level", "ordered", "text", "items", "rows"]).astype(object)
+                out += [(doc, i, *[x.get(f) for f in FIELDS]) for i, x in enumerate(found)]
+            t = pd.DataFrame(out, columns=["doc_id", "block", *FIELDS]).astype(object)
             yield t.where(t.notna(), None) if len(t) else t
 
     return docs.where(F.col(source).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(source).alias("s")).mapInPandas(rows, BLOCKS)
 
 
+def html_links_of(source: str) -> list[tuple[str, bool]]:
+    """Every link of a page in order and whether it is safe to keep; those in active content are left out."""
+    out: list[tuple[str, bool]] = []
+
+    def walk(e: Element) -> None:
+        for c in e.children:
+            if isinstance(c, Element) and c.name not in ACTIVE:
+                if c.name == "a" and c.attributes.get("href") is not None:
+                    href = c.attributes["href"].strip()
+                    out.append((href, safe_link(href) is not None))
+                walk(c)
+
+    walk(html_tree(source))
+    return out
+
+
 def html_titles(pages: DataFrame) -> DataFrame:
-    """page_id, title: the first title element, single-spaced."""
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    return pages.select("page_id", title.alias("title"))
+    """page_id, title: the first title element, single-spaced; empty if there is none."""
+
+    def titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            first = lambda s: next(html_tree(s).found("title"), None)
+            yield pd.DataFrame({"page_id": b["page_id"], "title": [single_spaced(t.text()) if (t := first(s)) else "" for s in b["html"]]})
+
+    return pages.where("html is not null").select("page_id", "html").mapInPandas(titles, "page_id long, title string")
 
 
 def html_links(pages: DataFrame) -> DataFrame:
     """page_id, n, href, safe: all links in order; http, https and mailto ones are safe to keep."""
-    found = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("n", "href")).withColumn("safe", F.col("href").rlike(r"(?i)^(?:https?:|mailto:)"))
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, n, href, safe) for k, s in zip(b["page_id"], b["html"], strict=True) for n, (href, safe) in enumerate(html_links_of(s))]
+            yield pd.DataFrame(out, columns=["page_id", "n", "href", "safe"])
+
+    return pages.where("html is not null").select("page_id", "html").mapInPandas(links, "page_id long, n int, href string, safe boolean")

@@ -186,6 +186,31 @@ def test_markdown_and_html():
     assert omitted == ["active content", "external images"]
 
 
+def test_html_model():
+    page = """<body>loose <i>text</i><div style="page-break-before: always"><h2 style="text-align:center">A &amp; B</h2><p>one <b>two <a href=" HTTP://x.y ">link</a></b> <a href="javascript:x">no</a><br>
+      three<p>next</div><blockquote><p>quoted</p></blockquote><ol start="4"><li>x<li>y <b>z</b></ol><pre> a
+  b</pre><table><tr><th>h<th>i<tr><td>1<td><table><tr><td>in</td></tr></table></td></table>
+      <img src="data:image/png;base64,AAAA" alt="pic"><hr><form>f</form>tail</body>"""
+    blocks = parsers.html_document(page)[1]
+    assert [b["kind"] for b in blocks] == ["paragraph", "page-break", "heading", "paragraph", "paragraph", "quote", "list", "code", "table", "image", "rule", "paragraph"]
+    assert (blocks[2]["text"], blocks[2]["align"], blocks[5]["text"], blocks[6]["items"], blocks[6]["start"]) == ("A & B", "center", "quoted", ["x", "y z"], 4)
+    assert blocks[8]["rows"] == [["h", "i"], ["1", "in"]] and blocks[8]["header_rows"] == 1 and blocks[7]["text"] == " a\n  b"
+    runs = [(r["text"], r["bold"], r["href"]) for r in blocks[3]["runs"]]
+    assert runs[:4] == [("one ", False, None), ("two ", True, None), ("link", True, "HTTP://x.y"), (" ", False, None)] and runs[4][2] is None
+    links = "<a href='b'>x</a><a href=http://c>y</a><script><a href=d></script><A HREF=\"mailto:m\">z</A><a name=n>w</a>"
+    assert parsers.html_links_of(links) == [("b", False), ("http://c", True), ("mailto:m", True)]
+    assert parsers.css_color("#0f8") == (0, 1, 136 / 255) and parsers.css_color("rgb(300, 0,51)") == (1, 0, 0.2) and parsers.css_color("red") is None
+    md = parsers.markdown_blocks("a **b _c_** `d*` ~~e~~ ![f](g) [h](http://i \"t\") \\*j\\* snake_case_name\n\n3. x\n4. y")
+    assert md[0]["text"] == "a b c d* e [Image: f] h *j* snake_case_name" and md[1]["start"] == 3
+    assert [r["text"] for r in md[0]["runs"] if r["bold"]] == ["b ", "c"] and [r["text"] for r in md[0]["runs"] if r["href"]] == ["h"]
+
+
+def test_titles_and_links_of_pages(spark):
+    d = spark.createDataFrame([(1, "<TITLE>A &amp;\n B</TITLE><a href='x'>"), (2, "no"), (3, None)], "page_id long, html string")
+    assert sorted(map(tuple, parsers.html_titles(d).collect())) == [(1, "A & B"), (2, "")]
+    assert list(map(tuple, parsers.html_links(d).collect())) == [(1, 0, "x", False)]
+
+
 def _zip(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -211,6 +236,14 @@ def test_blocks_frame(spark):
     assert [(r["doc_id"], r["kind"], r["rows"]) for r in got] == [(1, "table", [["a", "b"], ["1", "2"]])]
 
 
+def test_broken_sources_give_an_error(spark):
+    good = bytearray(_zip(word__document_dot_xml="<d><body><p><t>x</t></p></body></d>"))
+    bad = bytearray(good)
+    bad[40:60] = b"\xff" * 20
+    d = spark.createDataFrame([(1, good), (2, bad), (3, bytearray(b"PK")), (4, bytearray(_zip(x="y")))], "doc_id long, source binary")
+    assert [r["kind"] for r in parsers.blocks(d, "docx").orderBy("doc_id").collect()] == ["paragraph", "error", "error", "error"]
+
+
 def test_no_rows_are_lost_unsaid(spark):
     text = "\n".join(f"{i},x" for i in range(12_000))
     assert len(parsers.csv_blocks(text)[0]["rows"]) == 12_000
