@@ -6,6 +6,7 @@ from ..functions.scalars import VERHOEFF_D, VERHOEFF_P
 from ..operators.pii import CARD_WORDS
 from ..operators.scoring import WEIGHTS
 
+# The patterns of the detectors again, in the other engine's syntax.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _S = "[\\s ﻿]"
 _PATTERNS = {
@@ -166,7 +167,9 @@ SELECT event_id, CASE WHEN short THEN 'errorCode,toolId' ELSE 'toolId' END AS ke
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block, t AS text FROM (
   SELECT doc_id, i, trim(p[i], ' ') AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
     SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n\s*\n') AS p FROM documents))) WHERE t <> ''""",
-    "html_titles": r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages""",
+    "html_titles": r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""",
     "html_links": r"""
 WITH h AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: trim(x)) AS l FROM pages)
 SELECT page_id, (i - 1)::INT AS n, l[i] AS href, regexp_matches(l[i], '(?i)^(?:https?:|mailto:)') AS safe FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM h)""",
