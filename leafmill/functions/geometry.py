@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Page sizes in points, and points by unit.
 PAGE_SIZES = {"a3": (841.89, 1190.55), "a4": (595.28, 841.89), "letter": (612.0, 792.0), "legal": (612.0, 1008.0)}
 POINTS = {"mm": 72 / 25.4, "in": 72.0, "pt": 1.0}
+MOST_SIDE, LEAST_SIDE = 14_400, 36
 
 
 def rect(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -59,6 +60,76 @@ def zone_x(zone: Column, page_width: Column, text_width: Column, margin: Column)
     return F.when(zone == "left", margin).when(zone == "right", right).otherwise(middle)
 
 
-def render_memory(width: Column, height: Column) -> Column:
-    """Bytes needed to render: four a pixel and 1.6 times that at the peak."""
-    return F.ceil(F.ceil(width) * F.ceil(height) * 4 * 1.6).cast("long")
+def zone_y(band: Column, page_height: Column, margin: Column) -> Column:
+    """The baseline of a header or a footer."""
+    return F.when(band == "header", page_height - margin).otherwise(margin)
+
+
+def header_zones(template: Column) -> Column:
+    """struct<left, center, right> of a template whose zones are parted by |; zones left out are empty."""
+    parts = F.split(template, r"\|")
+    return F.struct(*[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(("left", "center", "right"))])
+
+
+def css_to_pdf(x: Column, y: Column, page_height: Column, scale: Column) -> Column:
+    """A point on the screen as a point of the page, whose origin is at the bottom."""
+    return F.struct((x / scale).alias("x"), (page_height - y / scale).alias("y"))
+
+
+def pdf_to_css(r: Column, page_height: Column, scale: Column) -> Column:
+    """A rectangle of the page as one on the screen."""
+    return rect(r["x"] * scale, (page_height - r["y"] - r["height"]) * scale, r["width"] * scale, r["height"] * scale)
+
+
+def place(position: Column, page_width: Column, page_height: Column, width: Column, height: Column, margin: Column) -> Column:
+    """struct<x, y> of an item at one of nine positions: top, middle or bottom, and left, center or right."""
+    x = F.when(position.endswith("left"), margin).when(position.endswith("right"), page_width - width - margin).otherwise((page_width - width) / 2)
+    y = F.when(position.startswith("top"), page_height - height - margin).when(position.startswith("middle"), (page_height - height) / 2).otherwise(margin)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def css_overlay(point: Column, page_height: Column, height: Column, scale: Column) -> Column:
+    """struct<left, top> on the screen of an item placed on the page."""
+    return F.struct((point["x"] * scale).alias("left"), ((page_height - point["y"] - height) * scale).alias("top"))
+
+
+def custom_size(width: Column, height: Column, unit: str) -> Column:
+    """struct<width, height> in points."""
+    return F.struct((width * POINTS[unit]).alias("width"), (height * POINTS[unit]).alias("height"))
+
+
+def target_size(preset: str, landscape: bool, custom: Column | None = None) -> Column:
+    """struct<width, height> of a page: a preset (A4 if unknown) or a custom size, turned as asked."""
+    if preset == "custom" and custom is not None:
+        short, long = F.least(custom["width"], custom["height"]), F.greatest(custom["width"], custom["height"])
+    else:
+        short, long = (F.lit(v) for v in PAGE_SIZES.get(preset, PAGE_SIZES["a4"]))
+    return F.struct((long if landscape else short).alias("width"), (short if landscape else long).alias("height"))
+
+
+def image_page(width: Column, height: Column) -> Column:
+    """struct<width, height> of a page for an image of that size: at most MOST_SIDE a side, at least LEAST_SIDE."""
+    factor = F.least(F.lit(1.0), F.lit(float(MOST_SIDE)) / F.greatest(width, height))
+    side = lambda v: F.greatest(F.lit(float(LEAST_SIDE)), v * factor)
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def match_rect(e: Column, f: Column, width: Column, size: Column, text: Column, start: Column, end: Column) -> Column:
+    """The rectangle of the characters from start to end of a text item at (e, f)."""
+    each = F.when((width > 0) & (F.length(text) > 0), width / F.length(text)).otherwise(size * 0.5)
+    zero = F.lit(0.0)
+    return rect(F.greatest(zero, e + start * each - 1), F.greatest(zero, f - size * 0.28), F.greatest(F.lit(6.0), (end - start) * each + 2), size * 1.18)
+
+
+def render_memory(width: Column, height: Column, source_bytes: Column | int = 0, extra_bytes: Column | int = 0) -> Column:
+    """Bytes needed to render: four a pixel, 2.5 times the source and further buffers, and 1.6 times that at the peak."""
+    whole = lambda v: F.greatest(F.floor(v), F.lit(0))
+    source, extra = (x if isinstance(x, Column) else F.lit(x) for x in (source_bytes, extra_bytes))
+    return F.ceil((whole(width) * whole(height) * 4 + source * 2.5 + extra) * 1.6).cast("long")
+
+
+def most_scale(width: Column, height: Column, scale: Column, most_side: Column, most_pixels: Column) -> Column:
+    """The scale, lowered so that a canvas keeps within its longest side and its pixels."""
+    side = most_side / F.greatest(width, height, F.lit(1.0))
+    area = F.sqrt(most_pixels) / F.greatest(F.sqrt(width * height), F.lit(1.0))
+    return F.least(scale, side, area)

@@ -171,3 +171,51 @@ def sniff_format(content: Column) -> Column:
         F.when(pdf, "pdf").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
     )
+
+
+def output_error(content: Column) -> Column:
+    """Why written bytes are no portable document, or null: empty, without its mark at the start, under 100 bytes."""
+    size = F.octet_length(content)
+    return (
+        F.when(content.isNull() | (size == 0), "empty output").when(F.hex(F.substring(content, 1, 5)) != "255044462D", "no document mark at the start").when(size < 100, "output too small")
+    )
+
+
+def column_name(index: Column) -> Column:
+    """The letters of a 0-based column up to three letters: A, ..., Z, AA, ..."""
+    letter = lambda n: F.char((F.lit(65) + n).cast("long"))
+    two, three = F.lit(26), F.lit(26 + 26 * 26)
+    last = letter(index % 26)
+    return F.when(index < two, last).when(index < three, F.concat(letter(F.floor((index - 26) / 26)), last)).otherwise(
+        F.concat(letter(F.floor((index - three) / (26 * 26))), letter(F.floor((index - 26) / 26) % 26), last)
+    )
+
+
+def segment_name(base: Column, start: Column, end: Column) -> Column:
+    """The file name of a part of a document: its pages after its name."""
+    pages = F.when(start == end, F.concat(F.lit("page-"), start.cast("string"))).otherwise(F.concat(F.lit("pages-"), start.cast("string"), F.lit("-"), end.cast("string")))
+    stem = strip_space(F.regexp_replace(base, r"\.[^.]+$", ""))
+    return F.concat(sanitize_filename(F.when(stem == "", "document").otherwise(stem)), F.lit("-"), pages, F.lit(".pdf"))
+
+
+def base_name(name: Column) -> Column:
+    """A file's name without its last extension."""
+    return F.coalesce(F.nullif(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("")), F.lit("document"))
+
+
+def escape_xml(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+#: What a message is matched with, in order, and the code it gets.
+ERROR_PATTERNS = (("(?i)encrypted", "ENCRYPTED_PDF"), ("(?i)password", "WRONG_PASSWORD"), ("(?i)quota", "QUOTA_EXCEEDED"))
+
+
+def error_code(message: Column) -> Column:
+    """The code of an error by its message."""
+    out = F.when(message.isNull(), "UNKNOWN")
+    for pattern, code in ERROR_PATTERNS:
+        out = out.when(message.rlike(pattern), code)
+    return out.otherwise("UNKNOWN")

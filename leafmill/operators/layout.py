@@ -260,6 +260,27 @@ def markdown(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return g.select("doc_id", F.array_join(F.transform("l", lambda x: F.coalesce(x["t"], F.lit(""))), "\n\n").alias("markdown"))
 
 
+def layout_json(analysis: dict[str, DataFrame], pages: DataFrame) -> DataFrame:
+    """doc_id, json: pages with their blocks, tables and lines, and the repeated lines that were removed."""
+    def listed(d: DataFrame, order: str, name: str) -> DataFrame:
+        fields = [c for c in d.columns if c not in (*KEY, order)]
+        return d.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.to_json(F.struct(*fields)).alias("j")))).alias(name))
+
+    p = pages.select(*KEY, F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+    lines = analysis["lines"].select(*KEY, "ord", "line_id", "text", F.array("x", "y", "width", "height").alias("bbox"), "font_size", "rotation", "bold", "direction", "column")
+    columns = analysis["lines"].groupBy(*KEY).agg(F.max("column_count").alias("column_count"))
+    for part, order, name in ((analysis["blocks"], "block", "blocks"), (analysis["tables"].select(*KEY, "number", "table_id", "rows", "confidence"), "number", "tables"), (lines, "ord", "lines")):
+        p = p.join(listed(part, order, name), KEY, "left")
+    p = p.join(columns, KEY, "left").join(analysis["scanned"].select(*KEY).withColumn("scanned", F.lit(True)), KEY, "left")
+    parts = lambda name: F.concat(F.lit(f'"{name}":['), F.coalesce(F.array_join(F.transform(name, lambda x: x["j"]), ","), F.lit("")), F.lit("]"))
+    head = F.to_json(F.struct("page_number", "page_width", "page_height", F.coalesce("scanned", F.lit(False)).alias("scanned"), F.coalesce("column_count", F.lit(1)).alias("column_count")))
+    body = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), F.concat_ws(",", *[parts(n) for n in ("blocks", "tables", "lines")]), F.lit("}"))
+    d = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", body.alias("j")))).alias("p"))
+    removed = analysis["repeated"].groupBy("doc_id").agg(F.sort_array(F.collect_set("norm")).alias("removed"))
+    whole = F.concat(F.lit('{"pages":['), F.array_join(F.transform("p", lambda x: x["j"]), ","), F.lit('],"removed":'), F.to_json(F.coalesce("removed", F.array().cast("array<string>"))), F.lit("}"))
+    return d.join(removed, "doc_id", "left").select("doc_id", whole.alias("json"))
+
+
 def html(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """doc_id, html: the blocks as escaped semantic elements."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

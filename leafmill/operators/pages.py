@@ -78,6 +78,31 @@ def arrange(pages: DataFrame, descriptors: DataFrame) -> DataFrame:
     return d.select("doc_id", "out_idx", F.col("src_idx").alias("page"), F.pmod(F.col("rotation") + F.col("rotate_delta"), F.lit(360)).alias("rotation"))
 
 
+def rotated(pages: DataFrame, delta: int, only: list[int] | None = None) -> DataFrame:
+    """Descriptors (doc_id, out_idx, src_idx, rotate_delta) that turn every page; with ``only``, the other pages are left out."""
+    kept = pages if only is None else pages.where(F.col("page").isin(only))
+    return kept.select("doc_id", F.col("page").alias("out_idx"), F.col("page").alias("src_idx"), F.lit(delta).alias("rotate_delta"))
+
+
+def edited(descriptors: DataFrame, removed: DataFrame | None = None, doubled: DataFrame | None = None) -> DataFrame:
+    """Descriptors (doc_id, out_idx, ...) after edits of a page grid: ``removed`` and ``doubled`` (doc_id, out_idx);
+    a doubled page stands after its first, and out_idx counts from 0 again."""
+    by = ["doc_id", "out_idx"]
+    d = descriptors if removed is None else descriptors.join(removed.select(*by).distinct(), by, "left_anti")
+    d = d.withColumn("_copy", F.lit(0))
+    if doubled is not None:
+        d = d.unionByName(d.join(doubled.select(*by).distinct(), by, "left_semi").withColumn("_copy", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("out_idx", "_copy")) - 1
+    return d.withColumn("_at", place).drop("out_idx", "_copy").withColumnRenamed("_at", "out_idx")
+
+
+def chunks(pages: DataFrame, span: int) -> DataFrame:
+    """doc_id, chunk (from 0), first, last: the pages (doc_id, page) in chunks of ``span``."""
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1
+    g = pages.select("doc_id", "page").distinct().withColumn("chunk", F.floor(at / max(1, span)))
+    return g.groupBy("doc_id", "chunk").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+
+
 def merged(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Pages (file, page) of several files as one document: out_page continues over the files
     in the order of files (file, file_ord).

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.geometry import match_rect
 from ..functions.scalars import luhn_valid, squeezed, strip_space, verhoeff_valid
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
@@ -181,3 +182,17 @@ def search_marks(docs: DataFrame, term: str) -> DataFrame:
     quoted = "(?i)" + re.sub(r"([^0-9A-Za-z ])", r"\\\1", term)
     found = docs.where(F.contains(F.lower("text"), F.lit(term.lower()))).select("doc_id", F.explode(all_matches(F.col("text"), quoted)).alias("m"))
     return found.select("doc_id", "m.start", (F.col("m.start") + F.length("m.value")).alias("end"), "m.value")
+
+
+def match_rectangles(items: DataFrame, enabled: set[str] | None = None, custom: list[str] = ()) -> DataFrame:
+    """doc_id, page_number, item_id, type, value, rect: the rectangle of every match in text items
+    (doc_id, page_number, item_id, text, e, f, width, size)."""
+    found = items.select("*", F.explode(pii_spans(F.col("text"), enabled, custom)).alias("_m"))
+    box = match_rect(*[F.col(c) for c in ("e", "f", "width", "size", "text")], F.col("_m.start"), F.col("_m.end"))
+    return found.select("doc_id", "page_number", "item_id", "_m.type", "_m.value", box.alias("rect"))
+
+
+def rectangles_by_page(rectangles: DataFrame) -> DataFrame:
+    """doc_id, page_number, n, area, rects of the marked rectangles of each page (rects in order of place)."""
+    area = F.sum(F.col("rect.width") * F.col("rect.height"))
+    return rectangles.groupBy("doc_id", "page_number").agg(F.count("*").alias("n"), area.alias("area"), F.sort_array(F.collect_list("rect")).alias("rects"))
