@@ -150,8 +150,8 @@ SELECT doc_id, content,
   CASE WHEN 4 * b + 67108864 > 629145600 THEN 'high' WHEN 4 * b + 67108864 > 262144000 THEN 'moderate' ELSE 'low' END AS memory_risk,
   CASE WHEN p + b / 2097152.0 > 120 THEN 'long' WHEN p + b / 2097152.0 > 25 THEN 'moderate' ELSE 'short' END AS time_class FROM c""",
     "target_profiles": """
-SELECT doc_id, CASE WHEN 1e6 / (n_chars * 1000.0) >= 0.65 THEN 'light,medium,heavy,retry-1' WHEN 1e6 / (n_chars * 1000.0) >= 0.3 THEN 'medium,heavy,retry-1,retry-2' ELSE 'heavy,retry-1,retry-2' END AS profiles
-FROM documents WHERE n_chars > 0""",
+SELECT doc_id, CASE WHEN 1e6 / ((n_chars + 1) * 1000.0) >= 0.65 THEN 'light,medium,heavy,retry-1' WHEN 1e6 / ((n_chars + 1) * 1000.0) >= 0.3 THEN 'medium,heavy,retry-1,retry-2' ELSE 'heavy,retry-1,retry-2' END AS profiles
+FROM documents""",
     "best_attempts": """
 SELECT doc_id, attempt, out_bytes, greatest(0, 50000 - out_bytes) AS saved, floor(greatest(0, 50000 - out_bytes) / 50000.0::DOUBLE * 1000 + 0.5) / 10 AS percent,
        out_bytes < 50000 AS beneficial, out_bytes <= 20000 AS target_reached
@@ -204,4 +204,57 @@ SELECT o_orderkey, CASE WHEN sw > 0 AND sh > 0 THEN sx ELSE 0 END AS shared_x, C
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM documents),
 l AS (SELECT doc_id, a, unnest(range(0, (len(a) + 7) // 8)) AS k FROM w)
 SELECT doc_id, (k // 40 + 1)::INT AS page_number, (k % 40)::INT AS ord, array_to_string(a[k * 8 + 1 : k * 8 + 8], ' ') AS text FROM l""",
+    "baseline_lines": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM documents),
+l AS (SELECT doc_id, a, unnest(range(0, (len(a) + 7) // 8)) AS k FROM w)
+SELECT doc_id, (k // 40 + 1)::INT AS page_number, (k % 40)::INT AS line, array_to_string(a[k * 8 + 1 : k * 8 + 8], ' ') AS text FROM l""",
+    "layout_plain": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM documents),
+l AS (SELECT doc_id, a, unnest(range(0, (len(a) + 7) // 8)) AS k FROM w),
+p AS (SELECT doc_id, k // 40 AS page, string_agg(array_to_string(a[k * 8 + 1 : k * 8 + 8], ' '), chr(10) ORDER BY k) AS t FROM l GROUP BY 1, 2)
+SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS sha256 FROM p GROUP BY 1""",
+    "match_rectangles": f"""
+WITH {_PII}
+SELECT doc_id, 1 AS page_number, count(*) AS n, round(sum(greatest(6.0::DOUBLE, ("end" - start) * 5.0 + 2) * 11.8), 3) AS area FROM pii GROUP BY doc_id""",
+    "page_chunks": """
+SELECT doc_id, chunk::BIGINT AS chunk, min(page) AS first, max(page) AS last FROM (
+  SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 4 AS chunk FROM (SELECT DISTINCT conv_id AS doc_id, turn AS page FROM conversations)) GROUP BY 1, 2""",
+    "edited_pages": """
+WITH t AS (SELECT DISTINCT conv_id AS doc_id, turn AS page FROM conversations WHERE turn <> 1),
+d AS (SELECT doc_id, page, 0 AS copy FROM t UNION ALL SELECT doc_id, page, 1 FROM t WHERE page = 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, copy) - 1)::INT AS out_idx, page AS src_idx, 90 AS rotate_delta FROM d""",
+    "segment_names": f"""
+SELECT conv_id, i::INT AS segment, 'conv.' || conv_id || CASE WHEN i * 3 + 1 = least(i * 3 + 3, n) THEN '-page-' || (i * 3 + 1) ELSE '-pages-' || (i * 3 + 1) || '-' || least(i * 3 + 3, n) END || '.pdf' AS name
+FROM (SELECT conv_id, n, unnest(range(0, (n + 2) // 3)) AS i FROM {_TURNS})""",
+    "column_names": """
+WITH k AS (SELECT c_custkey, c_custkey % 18000 AS i FROM customer)
+SELECT c_custkey, CASE WHEN i >= 702 THEN chr((65 + (i - 702) // 676)::INT) ELSE '' END || CASE WHEN i >= 26 THEN chr((65 + (i - 26) // 26 % 26)::INT) ELSE '' END || chr((65 + i % 26)::INT) AS name, i::BIGINT AS back FROM k""",
+    "error_codes": """
+SELECT CASE event_id % 5 WHEN 0 THEN 'ENCRYPTED_PDF' WHEN 1 THEN 'WRONG_PASSWORD' WHEN 2 THEN 'QUOTA_EXCEEDED' ELSE 'UNKNOWN' END AS code, count(*) AS events FROM events GROUP BY 1""",
+    "placements": """
+WITH i AS (SELECT o_orderkey, o_orderkey % 9 AS k, (o_orderkey % 130 + 1)::DOUBLE AS w, (o_orderkey % 170 + 1)::DOUBLE AS h FROM orders),
+p AS (SELECT *, [20.0::DOUBLE, (595 - w) / 2, 595 - w - 20][k % 3 + 1] AS x, [842 - h - 20, (842 - h) / 2, 20.0::DOUBLE][k // 3 + 1] AS y FROM i)
+SELECT o_orderkey, ['top', 'middle', 'bottom'][k // 3 + 1] || '-' || ['left', 'center', 'right'][k % 3 + 1] AS position, x, y, x * 1.5::DOUBLE AS "left", (842 - y - h) * 1.5::DOUBLE AS top FROM p""",
+    "header_zones": """
+SELECT p_partkey, split_part(p_name, ' ', 1) AS "left", split_part(p_name, ' ', 2) AS center, split_part(p_name, ' ', 3) AS "right" FROM part""",
+    "workbook_rows": """
+SELECT c_nationkey::BIGINT AS doc_id, count(*)::INT AS n_rows, sha256(string_agg(c_name || chr(9) || c_mktsegment || chr(9) || c_acctbal, chr(10) ORDER BY c_name, c_mktsegment, c_acctbal::VARCHAR)) AS sha256 FROM customer GROUP BY 1""",
+    "package_blocks": """
+WITH t AS (SELECT conv_id AS doc_id, role, 'said: ' || md5(text) AS said FROM conversations WHERE text IS NOT NULL)
+SELECT doc_id, 'heading' AS kind, count(*) AS blocks, min(role) AS least, max(role) AS most FROM t GROUP BY 1 UNION ALL SELECT doc_id, 'paragraph', count(*), min(said), max(said) FROM t GROUP BY 1""",
+    "output_names": r"""
+WITH n AS (SELECT source, lang, doc_id, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:2], ' ') || '.pdf' AS name FROM documents),
+s AS (SELECT source, lang, list(trim(regexp_replace(name, '\.[^.]+$', '')) ORDER BY doc_id) AS l FROM n GROUP BY 1, 2),
+k AS (SELECT source, lang, list_filter(l, lambda x: x <> '') AS l FROM s),
+j AS (SELECT source, lang, CASE WHEN len(l) = 0 THEN 'document' WHEN len(l) <= 3 THEN array_to_string(l, '+') ELSE l[1] || '+' || (len(l) - 1) || '-more' END AS x FROM k),
+c AS (SELECT source, lang, substr(trim(regexp_replace(regexp_replace(x, '[/\\?%*:|"<>\x00-\x1f]', '', 'g'), '\s+', ' ', 'g')), 1, 180) AS x FROM j)
+SELECT source, lang, CASE WHEN x = '' THEN 'document' ELSE x END || '-merged.pdf' AS name FROM c""",
+    "redaction_verified": rf"""
+WITH {_PII},
+chars AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, text FROM documents WHERE doc_id IN (SELECT doc_id FROM pii)),
+masked AS (
+  SELECT c.doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM pii p WHERE p.doc_id = c.doc_id AND c.i > p.start AND c.i <= p."end") THEN '█' ELSE c.text[c.i] END, '' ORDER BY c.i) AS t FROM chars c GROUP BY 1),
+hays AS (SELECT doc_id, lower(regexp_replace(t, '\s+', '', 'g')) AS hay FROM masked),
+again AS (SELECT DISTINCT doc_id FROM hays JOIN (SELECT DISTINCT doc_id, lower(regexp_replace(value, '\s+', '', 'g')) AS needle FROM pii WHERE length(trim(value)) >= 3) USING (doc_id) WHERE contains(hay, needle))
+SELECT count(*) AS documents, (SELECT count(*) FROM again)::BIGINT AS with_leftovers FROM hays""",
 }

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import events, layout, lines, pages, pii, scoring
-from ..sources import parsers
+from ..operators import events, layout, lines, pages, pii, scoring, text_lines
+from ..sources import parsers, writers
 from ..sources.tables import read_table as table
 
 
@@ -149,8 +149,8 @@ def preflight_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def target_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compression profiles for a target of a million bytes, a text taken a thousandfold."""
-    d = table(spark, sf_dir, "documents").where("n_chars > 0")
-    return d.select("doc_id", F.array_join(scoring.target_profiles(F.col("n_chars") * 1000.0, F.lit(1e6)), ",").alias("profiles"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(scoring.target_profiles((F.col("n_chars") + 1) * 1000.0, F.lit(1e6)), ",").alias("profiles"))
 
 
 def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines shared by 60 % of the documents of a source and language, or what comes of it."""
+    """Lines shared by 60 % of the documents of a group: those of a source whose first lines have digests that begin alike."""
     d = table(spark, sf_dir, "documents").withColumn("group", F.concat_ws("/", F.col("source"), F.substring(F.md5(F.split_part("text", F.lit("\n"), F.lit(1))), 1, 2)))
     return lines.repeated_lines(d, "group")
 
@@ -200,7 +200,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_ebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs between blank lines, documents joined to their source's next one by a blank line."""
+    """Paragraphs between blank lines, which stand after each sentence of a document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
     return lines.text_ebook(d)
 
@@ -294,6 +294,94 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("window_start").cast("timestamp").alias("window_start"), "event_type", "n").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def baseline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by baselines of glyph runs set from the documents' words, with the origin at the bottom."""
+    g, _ = layout.synthetic_glyphs(table(spark, sf_dir, "documents"))
+    return text_lines.baseline_lines(g.withColumn("y", 800.0 - F.col("y"))).select("doc_id", "page_number", "line", "text")
+
+
+def layout_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading text of the glyph runs set from every document; its digest."""
+    g, p = layout.synthetic_glyphs(table(spark, sf_dir, "documents"))
+    text = layout.plain_text(layout.reading_order(layout.lines_of(layout.banded(g, p))))
+    return text.select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"))
+
+
+def match_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of personal data by document, each text taken as one item of five points a character."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("item_id"), "text", F.lit(10.0).alias("e"), F.lit(700.0).alias("f"), (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("size"))
+    r = pii.rectangles_by_page(pii.match_rectangles(d))
+    return r.select("doc_id", "page_number", "n", F.round("area", 3).alias("area"))
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as pages in chunks of four."""
+    return pages.chunks(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page")), 4)
+
+
+def edited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as pages, turned by 90 degrees, the second taken out and the first doubled."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page")).distinct()
+    at = lambda k: t.where(F.col("page") == k).select("doc_id", F.col("page").alias("out_idx"))
+    return pages.edited(pages.rotated(t, 90), at(1), at(0)).select("doc_id", "out_idx", "src_idx", "rotate_delta")
+
+
+def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names for segments of three turns of each conversation."""
+    s = every_n_segments(spark, sf_dir)
+    return s.select("conv_id", "segment", S.segment_name(F.concat(F.lit("conv."), F.col("conv_id").cast("string"), F.lit(".pdf")), F.col("start"), F.col("end")).alias("name"))
+
+
+def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreadsheet letters of the customers' keys, and the index read back from a cell of that column."""
+    k = F.col("c_custkey") % 18_000
+    return table(spark, sf_dir, "customer").select("c_custkey", S.column_name(k).alias("name"), S.column_index(F.concat(S.column_name(k), F.lit("12"))).cast("long").alias("back"))
+
+
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of messages made from the events' ids."""
+    m = F.element_at(F.array(*[F.lit(x) for x in ("file is Encrypted with a password", "bad PASSWORD", "quota", "other", None)]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(S.error_code(m).alias("code")).agg(F.count("*").alias("events"))
+
+
+def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items at one of nine positions of a page, on paper and on the screen."""
+    o = F.col("o_orderkey")
+    names = [f"{v}-{h}" for v in ("top", "middle", "bottom") for h in ("left", "center", "right")]
+    position = F.element_at(F.array(*[F.lit(n) for n in names]), (o % 9 + 1).cast("int"))
+    w, h = (o % 130 + 1).cast("double"), (o % 170 + 1).cast("double")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", position.alias("position"), w.alias("w"), h.alias("h"))
+    d = d.withColumn("p", G.place(F.col("position"), F.lit(595.0), F.lit(842.0), F.col("w"), F.col("h"), F.lit(20.0)))
+    s = G.css_overlay(F.col("p"), F.lit(842.0), F.col("h"), F.lit(1.5))
+    return d.select("o_orderkey", "position", F.col("p.x").alias("x"), F.col("p.y").alias("y"), s["left"].alias("left"), s["top"].alias("top"))
+
+
+def header_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as header templates, their words the zones."""
+    z = G.header_zones(F.replace("p_name", F.lit(" "), F.lit("|")))
+    return table(spark, sf_dir, "part").select("p_partkey", z["left"].alias("left"), z["center"].alias("center"), z["right"].alias("right"))
+
+
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation written as a workbook and read back."""
+    row = F.array(F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal").cast("string"))
+    t = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    t = t.select("doc_id", F.lit(1).alias("page_number"), F.lit(1).alias("number"), F.lit("table-p1-1").alias("table_id"), "rows", F.lit(1.0).alias("confidence"))
+    b = parsers.blocks(writers.xlsx_packages(t), "xlsx", "content").where("kind = 'table'")
+    return b.select("doc_id", F.size("rows").alias("n_rows"), F.sha2(F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n"), 256).alias("sha256"))
+
+
+def package_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as word-processing packages, a page a turn, and read back."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    nothing = [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("string").alias("table_id")]
+    heading = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.lit(0).alias("block"), F.lit("heading").alias("kind"), F.lit(2).alias("level"), F.lit(False).alias("ordered"), F.col("role").alias("text"), *nothing)
+    said = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.lit(1).alias("block"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("ordered"), F.concat(F.lit("said: "), F.md5("text")).alias("text"), *nothing)
+    none = heading.where("false").select("doc_id", "page_number", "table_id", F.lit(None).cast("array<array<string>>").alias("rows"))
+    b = parsers.blocks(writers.docx_packages(heading.unionByName(said), none), "docx", "content")
+    return b.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.min("text").alias("least"), F.max("text").alias("most"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -301,5 +389,6 @@ QUERIES = {
         formatted_sizes, output_names, every_n_segments, turn_runs, page_labels, page_ranges, arranged_pages, merged_pages, ocr_gate, privacy_scores, preflight_classes,
         target_profiles, best_attempts, event_allowlist, recent_history, recent_by_user, catalog_search, repeated_lines, text_blocks, text_ebooks, transcript_runs, paginated_lines,
         html_titles, html_links, html_blocks, csv_blocks, markdown_blocks, layout_lines, layout_blocks, layout_tables, rectangles, event_windows,
+        baseline_lines, layout_plain, match_rectangles, page_chunks, edited_pages, segment_names, column_names, error_codes, placements, header_zones, workbook_rows, package_blocks,
     )
 }
