@@ -379,7 +379,7 @@ def package_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.lit(1).alias("block"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("ordered"), F.concat(F.lit("said: "), F.md5("text")).alias("text"), *nothing)
     none = heading.where("false").select("doc_id", "page_number", "table_id", F.lit(None).cast("array<array<string>>").alias("rows"))
     b = parsers.blocks(writers.docx_packages(heading.unionByName(said), none), "docx", "content")
-    return b.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.min("text").alias("least"), F.max("text").alias("most"))
+    return b.where("kind <> 'page-break'").groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.min("text").alias("least"), F.max("text").alias("most"))
 
 
 QUERIES = {

@@ -14,6 +14,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from itertools import groupby
 
 import pandas as pd
@@ -449,71 +450,204 @@ def _attribute(e: ET.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
 
 
+def _part(z: zipfile.ZipFile, name: str) -> ET.Element | None:
+    return ET.fromstring(z.read(name)) if name in z.namelist() else None
+
+
+def _relations(z: zipfile.ZipFile, name: str) -> dict[str, str]:
+    """Targets by id of a relationship part."""
+    root = _part(z, name)
+    return {} if root is None else {x.get("Id"): x.get("Target") or "" for x in _find(root, "Relationship")}
+
+
+def _numbered(z: zipfile.ZipFile) -> dict[str, bool]:
+    """Whether a list of that number is ordered: the number names a definition, that the format of its first level."""
+    root = _part(z, "word/numbering.xml")
+    if root is None:
+        return {}
+    formats = {_attribute(x, "abstractNumId"): next((_attribute(f, "val") for f in _find(x, "numFmt")), "bullet") for x in _find(root, "abstractNum")}
+    return {_attribute(x, "numId"): formats.get(next((_attribute(a, "val") for a in _find(x, "abstractNumId")), ""), "bullet") not in ("bullet", "none") for x in _find(root, "num")}
+
+
+def _word_styles(z: zipfile.ZipFile) -> dict[str, str]:
+    """Names of the styles by their ids."""
+    root = _part(z, "word/styles.xml")
+    return {} if root is None else {_attribute(s, "styleId") or "": next((_attribute(x, "val") or "" for x in s if _local(x) == "name"), "") for s in _find(root, "style")}
+
+
+def _on(properties: list[ET.Element], name: str) -> bool:
+    return any(_local(x) == name and (_attribute(x, "val") or "true").lower() not in ("0", "false", "none", "off") for p in properties for x in p)
+
+
+def _word_runs(node: ET.Element, links: dict[str, str], href: str | None = None) -> list[dict]:
+    runs: list[dict] = []
+    for e in node:
+        name = _local(e)
+        if name == "r":
+            about = [x for x in e if _local(x) == "rPr"]
+            said = {"t": lambda x: x.text or "", "tab": lambda _: "\t", "br": lambda x: "" if _attribute(x, "type") == "page" else "\n"}
+            text = "".join(said[_local(x)](x) for x in e if _local(x) in said)
+            color = next((css_color("#" + (_attribute(x, "val") or "")) for p in about for x in p if _local(x) == "color"), None)
+            style = {**PLAIN, "bold": _on(about, "b"), "italic": _on(about, "i"), "underline": _on(about, "u"), "color": color}
+            runs.append({"text": text, **(style | {"underline": True, "color": LINK_COLOR, "href": href} if href else style)})
+        elif name == "hyperlink":
+            runs += _word_runs(e, links, safe_link(links.get(_attribute(e, "id") or "")))
+        elif name in ("smartTag", "ins", "sdt", "sdtContent", "fldSimple"):
+            runs += _word_runs(e, links, href)
+    return merged_runs(runs)
+
+
 def docx_blocks(content: bytes) -> list[dict]:
-    """Headings by style, list items, paragraphs and tables of a word-processing package."""
-    body = _find(ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")), "body")[0]
-    text = lambda e: "".join(x.text or "" if _local(x) == "t" else "\t" if _local(x) == "tab" else "" for x in e.iter()).strip()
+    """Headings by style, lists, paragraphs with styled runs and links, tables and page breaks of a
+    word-processing package; then the texts of its headers and footers, in blocks of kind ``margin``."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    body = _find(ET.fromstring(z.read("word/document.xml")), "body")[0]
+    links, ordered, styles = _relations(z, "word/_rels/document.xml.rels"), _numbered(z), _word_styles(z)
     out: list[dict] = []
-    for e in body:
-        if _local(e) == "tbl":
-            out.append({"kind": "table", "rows": [[text(c) for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]})
-        elif _local(e) == "p" and (t := text(e)):
-            style = next((_attribute(x, "val") or "" for x in _find(e, "pStyle")), "")
-            if m := re.fullmatch(r"(?i)heading\s*([1-6])|title", style):
-                out.append({"kind": "heading", "level": int(m[1] or 1), "text": t})
-            elif _find(e, "numPr"):
-                if out and out[-1]["kind"] == "list":
-                    out[-1]["items"].append(t)
-                else:
-                    out.append({"kind": "list", "ordered": False, "items": [t]})
+
+    def paragraph(e: ET.Element) -> None:
+        if any(_local(x) == "br" and _attribute(x, "type") == "page" for x in e.iter()):
+            out.append({"kind": "page-break"})
+        runs = _word_runs(e, links)
+        text = "".join(r["text"] for r in runs).strip()
+        if not text:
+            return
+        style = next((_attribute(x, "val") or "" for x in _find(e, "pStyle")), "")
+        align = alignment(next((_attribute(x, "val") for x in _find(e, "jc")), None))
+        level = re.fullmatch(r"(?i)heading\s*([1-6])|title", style) or re.fullmatch(r"(?i)heading\s*([1-6])|title", styles.get(style, ""))
+        number = next((_attribute(x, "val") or "" for x in _find(e, "numId")), None)
+        if level:
+            out.append({"kind": "heading", "level": int(level[1] or 1), "text": text, "runs": runs, "align": align})
+        elif number is not None or _find(e, "numPr"):
+            inside = ordered.get(number or "", False)
+            if out and out[-1]["kind"] == "list" and out[-1]["ordered"] == inside:
+                out[-1]["items"].append(text)
             else:
-                out.append({"kind": "paragraph", "text": t})
+                out.append({"kind": "list", "ordered": inside, "items": [text]})
+        else:
+            out.append({"kind": "paragraph", "text": text, "runs": runs, "align": align})
+
+    def walk(parent: ET.Element) -> None:
+        for e in parent:
+            if _local(e) == "p":
+                paragraph(e)
+            elif _local(e) == "tbl":
+                said = lambda c: "\n".join("".join(r["text"] for r in _word_runs(p, links)) for p in _find(c, "p")).strip()
+                rows = [[said(c) for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]
+                out.append({"kind": "table", "rows": rows, "header_rows": int(any(_local(x) == "tblHeader" for x in e.iter()))})
+            elif _local(e) in ("sdt", "sdtContent", "ins"):
+                walk(e)
+
+    walk(body)
+    for name in sorted(n for n in z.namelist() if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n)):
+        text = " ".join("".join(x.text or "" for x in _find(ET.fromstring(z.read(name)), "t")).split())
+        if text:
+            out.append({"kind": "margin", "text": text})
     return out
 
 
-def xlsx_blocks(content: bytes, max_rows: int | None = None, max_columns: int = MAX_COLUMNS) -> list[dict]:
-    """A heading and a table for each sheet; shared strings resolved, cached values of formulas kept.
+#: The number formats that a workbook need not spell out.
+NUMBER_FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss",
+    22: "m/d/yy h:mm", 37: "#,##0", 38: "#,##0", 39: "#,##0.00", 40: "#,##0.00", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0",
+}
+
 
-    All rows, unless ``max_rows`` is given; what the limits leave out of a sheet is said in a block of
-    kind ``warning``."""
+def number_text(raw: str, code: str | None) -> str:
+    """A cell's number as its format shows it: percent, day (and time), thousands; else as it stands."""
+    try:
+        value = float(raw)
+    except ValueError:
+        return raw
+    if not code or value in (float("inf"), float("-inf")) or value != value:
+        return raw
+    places = 2 if ".00" in code else 0
+    if "%" in code:
+        return f"{value * 100:.{places}f}%"
+    plain = re.sub(r"\[[^\]]*\]", "", code)
+    if re.search(r"(?i)[ymdhis]", plain):
+        try:
+            at = datetime(1970, 1, 1) + timedelta(milliseconds=round((value - 25_569) * 86_400_000))
+        except OverflowError:
+            return raw
+        return at.strftime("%Y-%m-%d %H:%M:%S" if re.search(r"(?i)[his]", plain) else "%Y-%m-%d")
+    return f"{value:,.{places}f}" if "#,##0" in code else raw
+
+
+def _cell_formats(z: zipfile.ZipFile) -> list[str | None]:
+    """The number format of each cell style."""
+    root = _part(z, "xl/styles.xml")
+    if root is None:
+        return []
+    own = {int(x.get("numFmtId")): x.get("formatCode") for x in _find(root, "numFmt") if (x.get("numFmtId") or "").isdigit()}
+    styles = next(iter(_find(root, "cellXfs")), [])
+    ids = [int(x.get("numFmtId") or 0) for x in styles if _local(x) == "xf"]
+    return [own.get(k) or NUMBER_FORMATS.get(k) for k in ids]
+
+
+def sheets_of(content: bytes) -> list[tuple[str, str]]:
+    """(name, part) of the sheets of a workbook, in order."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    targets = _relations(z, "xl/_rels/workbook.xml.rels")
+    out = []
+    for i, s in enumerate(_find(ET.fromstring(z.read("xl/workbook.xml")), "sheet"), 1):
+        target = targets.get(_attribute(s, "id")) or f"worksheets/sheet{i}.xml"
+        out.append((s.get("name") or f"Sheet {i}", resolve_path(target if target.startswith("/") else target if target.startswith("xl/") else f"xl/{target}")))
+    return out
+
+
+def xlsx_blocks(content: bytes, max_rows: int | None = None, max_columns: int = MAX_COLUMNS, sheets: list[str] | None = None) -> list[dict]:
+    """A heading and a table for each sheet, or for the named ones; shared strings resolved, numbers as their
+    formats show them, cached values of formulas kept.
+
+    All rows, unless ``max_rows`` is given; what the limits leave out of a sheet, formulas and merged
+    cells are told in blocks of kind ``warning``."""
     z = zipfile.ZipFile(io.BytesIO(content))
     names = set(z.namelist())
-    shared = ["".join(t.text or "" for t in _find(s, "t")) for s in _find(ET.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
-    targets = {}
-    if "xl/_rels/workbook.xml.rels" in names:
-        targets = {x.get("Id"): x.get("Target") for x in _find(ET.fromstring(z.read("xl/_rels/workbook.xml.rels")), "Relationship")}
+    strings = _part(z, "xl/sharedStrings.xml")
+    shared = [] if strings is None else ["".join(t.text or "" for t in _find(s, "t")) for s in _find(strings, "si")]
+    formats = _cell_formats(z)
     out: list[dict] = []
-    for i, s in enumerate(_find(ET.fromstring(z.read("xl/workbook.xml")), "sheet"), 1):
-        part = "xl/" + (targets.get(_attribute(s, "id")) or f"worksheets/sheet{i}.xml").removeprefix("/xl/")
-        if part not in names:
+
+    def text_of(c: ET.Element) -> str:
+        raw = next((v.text or "" for v in c if _local(v) == "v"), "")
+        kind = c.get("t")
+        if kind == "s":
+            return shared[int(raw)] if raw.isdigit() and int(raw) < len(shared) else ""
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in _find(c, "t"))
+        if kind == "b":
+            return "TRUE" if raw == "1" else "FALSE"
+        if kind == "e":
+            return raw or "#ERROR"
+        formula = next((f.text or "" for f in c if _local(f) == "f"), None)
+        if not raw and formula is not None:
+            return f"={formula}"
+        style = int(c.get("s") or 0)
+        return number_text(raw, formats[style] if style < len(formats) else None) if kind != "str" else raw
+
+    for name, part in sheets_of(content):
+        if part not in names or (sheets is not None and name not in sheets):
             continue
         rows, wide = [], False
-        found = list(_find(ET.fromstring(z.read(part)), "row"))
+        root = ET.fromstring(z.read(part))
+        found = _find(root, "row")
         for r in found[:max_rows]:
             cells: dict[int, str] = {}
             for c in (x for x in r if _local(x) == "c"):
-                letters = re.match(r"[A-Z]*", c.get("r") or "")[0]
                 at = 0
-                for ch in letters:
+                for ch in re.match(r"[A-Za-z]*", c.get("r") or "")[0].upper():
                     at = at * 26 + ord(ch) - 64
-                at = at - 1 if letters else len(cells)
-                value = next((v.text or "" for v in c if _local(v) == "v"), None)
-                kind = c.get("t")
-                if kind == "s" and value is not None:
-                    value = shared[int(value)] if int(value) < len(shared) else ""
-                elif kind == "inlineStr":
-                    value = "".join(t.text or "" for t in _find(c, "t"))
-                elif kind == "b":
-                    value = "TRUE" if value == "1" else "FALSE"
-                elif value is None:
-                    value = next(("=" + (f.text or "") for f in c if _local(f) == "f"), "")
+                at = at - 1 if at else len(cells)
                 if at < max_columns:
-                    cells[at] = value
+                    cells[at] = text_of(c)
                 else:
                     wide = True
             rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
-        out += [{"kind": "heading", "level": 2, "text": s.get("name") or f"Sheet {i}"}, {"kind": "table", "rows": rows}]
+        out += [{"kind": "heading", "level": 2, "text": name}, {"kind": "table", "rows": rows}]
         out += _warnings(max_rows if max_rows is not None and len(found) > max_rows else 0, max_columns if wide else 0)
+        counts = ((len(_find(root, "f")), "formulas are shown by their stored values"), (len(_find(root, "mergeCell")), "merged ranges are shown as single cells"))
+        out += [{"kind": "warning", "text": f"{n} {said}."} for n, said in counts if n]
     return out
 
 

@@ -13,7 +13,7 @@ from test_operators import glyph_tables
 from leafmill.functions import geometry as G
 from leafmill.functions import scalars as S
 from leafmill.operators import layout, pages, pii, text_lines
-from leafmill.sources import parsers, writers
+from leafmill.sources import files, parsers, writers
 
 
 def one(spark, column):
@@ -36,7 +36,7 @@ def test_packages_are_read_back(spark):
     a = layout.analyze(*glyph_tables(spark))
     content = lambda d: bytes(d.first()["content"])
     book = parsers.docx_blocks(content(writers.docx_packages(a["blocks"], a["tables"])))
-    assert [b["kind"] for b in book] == ["heading", "paragraph", "paragraph", "table"] and book[3]["rows"][2] == ["Cash", "1200.50", "Verified"]
+    assert [b["kind"] for b in book] == ["heading", "paragraph", "paragraph", "page-break", "table"] and book[4]["rows"][2] == ["Cash", "1200.50", "Verified"]
     sheet = parsers.xlsx_blocks(content(writers.xlsx_packages(a["tables"])))
     assert sheet[0]["text"] == "Page 2 Table" and sheet[1]["rows"][1] == ["Debt", "900.10", "Open"]
     chapters = parsers.epub_blocks(content(writers.epub_packages(a["blocks"], a["tables"], 1)))
@@ -115,3 +115,68 @@ def test_pages_and_rectangles(spark):
     assert r["value"] == "a@b.io" and [round(v, 6) for v in r["rect"]] == [39.0, 97.2, 62.0, 11.8]
     by = pii.rectangles_by_page(pii.match_rectangles(items)).first()
     assert by["n"] == 1 and round(by["area"], 3) == 731.6
+
+
+def package(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_word_packages():
+    w = 'xmlns:w="urn:w" xmlns:r="urn:r"'
+    item = lambda n, t: f'<w:p><w:pPr><w:numPr><w:numId w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    body = (
+        '<w:p><w:pPr><w:pStyle w:val="H"/><w:jc w:val="center"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p>'
+        '<w:p><w:r><w:rPr><w:b/><w:color w:val="FF0000"/></w:rPr><w:t>bold</w:t></w:r><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t> not</w:t></w:r><w:hyperlink r:id="L"><w:r><w:t> go</w:t></w:r></w:hyperlink></w:p>'
+        + item(1, "a") + item(1, "b") + item(2, "c") + '<w:p><w:r><w:br w:type="page"/><w:t>next</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    )
+    parts = {
+        "word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": '<Relationships><Relationship Id="L" Target="https://x.y"/></Relationships>',
+        "word/styles.xml": f'<w:styles {w}><w:style w:styleId="H"><w:name w:val="heading 2"/></w:style></w:styles>', "word/footer1.xml": f"<w:ftr {w}><w:p><w:r><w:t>foot</w:t></w:r></w:p></w:ftr>",
+        "word/numbering.xml": f'<w:numbering {w}><w:abstractNum w:abstractNumId="7"><w:lvl><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>',
+    }
+    b = parsers.docx_blocks(package(parts))
+    assert [x["kind"] for x in b] == ["heading", "paragraph", "list", "list", "page-break", "paragraph", "table", "margin"]
+    assert (b[0]["level"], b[0]["align"], b[2]["ordered"], b[2]["items"], b[3]["ordered"], b[6]["rows"], b[7]["text"]) == (2, "center", True, ["a", "b"], False, [["x\ny"]], "foot")
+    assert [(r["text"], r["bold"], r["href"]) for r in b[1]["runs"]] == [("bold", True, None), (" not", False, None), (" go", False, "https://x.y")]
+    assert b[1]["runs"][0]["color"] == (1, 0, 0)
+
+
+def test_workbooks():
+    cell = lambda r, s, v, more="": f'<c r="{r}" s="{s}">{more}<v>{v}</v></c>'
+    sheet = f'<worksheet><sheetData><row>{cell("A1", 1, 0.256)}{cell("B1", 2, 45000.5)}{cell("C1", 3, 45000)}{cell("D1", 4, 1234567.891)}{cell("E1", 0, 1.5, "<f>3/2</f>")}</row></sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'
+    styles = '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="yyyy-mm-dd hh:mm"/></numFmts><cellXfs><xf/><xf numFmtId="10"/><xf numFmtId="170"/><xf numFmtId="15"/><xf numFmtId="4"/></cellXfs></styleSheet>'
+    book = package({"xl/workbook.xml": '<workbook><sheets><sheet name="S"/><sheet name="T"/></sheets></workbook>', "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": sheet, "xl/styles.xml": styles})
+    b = parsers.xlsx_blocks(book, sheets=["T"])
+    assert [x["kind"] for x in b] == ["heading", "table", "warning", "warning"] and b[0]["text"] == "T"
+    assert b[1]["rows"] == [["25.60%", "2023-03-15 12:00:00", "2023-03-15", "1,234,567.89", "1.5"]]
+    assert len([x for x in parsers.xlsx_blocks(book) if x["kind"] == "table"]) == 2
+
+
+def test_files(spark, tmp_path):
+    exif = b"Exif\0\0" + b"II*\0\x08\0\0\0" + b"\x01\0" + b"\x12\x01\x03\0\x01\0\0\0\x06\0\0\0"
+    photo = b"\xff\xd8\xff\xe0\0\x04ab" + b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + b"\xff\xd9"
+    (tmp_path / "a.jpg").write_bytes(photo)
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff")
+    (tmp_path / "c.txt").write_bytes(b"caf\xe9")
+    read = files.read_files(spark, str(tmp_path))
+    assert sorted((r["name"], r["size"], r["format"]) for r in read.select("name", "size", "format").collect()) == [("a.jpg", len(photo), "jpeg"), ("b.jpg", 3, "jpeg"), ("c.txt", 4, None)]
+    assert sorted(tuple(r)[1:] for r in files.orientations(files.read_files(spark, str(tmp_path), "*.jpg")).collect()) == [(1, False), (6, True)]
+    assert [tuple(r)[1:] for r in files.decoded_files(files.read_files(spark, str(tmp_path), "*.txt")).collect()] == [("café", "windows-1252")]
+
+
+def test_glyphs_of_items(spark):
+    rows = [
+        ("d", 1, 0, "A", [0.0, 12.0, -12.0, 0.0, 100.0, 700.0], -50.0, 0.0, "Arial-BoldItalic", None, "rtl"), ("d", 1, 1, "\u00a0", [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 1.0, 1.0, None, None, None),
+        ("d", 1, 2, "b", [0.0] * 4 + [900.0, -5.0], None, 14.0, None, "Demi", None), ("d", 9, 3, "x", [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 1.0, 1.0, None, None, None),
+    ]
+    items = spark.createDataFrame(rows, "doc_id string, page_number int, item_id int, text string, transform array<double>, width double, height double, font_name string, font_family string, dir string")
+    p = spark.createDataFrame([("d", 1, 600.0, 800.0, 0.0)], "doc_id string, page_number int, width double, height double, rotation double")
+    got = {r["item_id"]: r for r in files.glyphs_of(items, p).collect()}
+    assert set(got) == {0, 2}
+    a, b = got[0], got[2]
+    assert (a["x"], round(a["y"], 2), a["width"], a["height"], a["font_size"], a["rotation"], a["bold"], a["italic"], a["direction"]) == (100, 90.16, 50, 12, 12, 90, True, True, "rtl")
+    assert (b["x"], b["y"], b["width"], b["height"], b["font_size"], b["bold"], b["direction"]) == (600, 793.52, 0, 14, 14, True, "ltr")
