@@ -257,4 +257,21 @@ masked AS (
 hays AS (SELECT doc_id, lower(regexp_replace(t, '\s+', '', 'g')) AS hay FROM masked),
 again AS (SELECT DISTINCT doc_id FROM hays JOIN (SELECT DISTINCT doc_id, lower(regexp_replace(value, '\s+', '', 'g')) AS needle FROM pii WHERE length(trim(value)) >= 3) USING (doc_id) WHERE contains(hay, needle))
 SELECT count(*) AS documents, (SELECT count(*) FROM again)::BIGINT AS with_leftovers FROM hays""",
+    "items_recognised": """
+WITH o AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
+SELECT doc_id, CASE WHEN r > 0 THEN r ELSE n END AS items, r::BIGINT AS again FROM o""",
+    "unread_regions": """
+SELECT l_orderkey AS doc_id, count(*) AS regions, count(DISTINCT l_linenumber) AS pages FROM lineitem
+WHERE NOT (l_linenumber BETWEEN 1 AND 4 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)) GROUP BY 1""",
+    "pii_in_order": f"""
+WITH {_PII},
+o AS (SELECT *, list_position(['email', 'credit-card', 'aadhaar', 'pan', 'phone', 'ip-address'], type) AS d FROM pii)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, d) - 1)::INT AS place, type, start FROM o""",
+    "flags_in_order": """
+WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY first_line, l_returnflag) AS flags FROM f GROUP BY 1""",
+    "recorded_history": """
+WITH e AS (SELECT event_id, ts, event_type FROM events UNION ALL SELECT event_id, ts + INTERVAL 1 DAY, event_type FROM events WHERE event_id % 2 = 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) AS k FROM e)
+SELECT event_id, event_type FROM l WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 50""",
 }

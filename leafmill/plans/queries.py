@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import events, layout, lines, pages, pii, scoring, text_lines
+from ..operators import events, layout, lines, lookups, pages, pii, scoring, text_lines
 from ..sources import parsers, writers
 from ..sources.tables import read_table as table
 
@@ -382,6 +382,38 @@ def package_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where("kind <> 'page-break'").groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.min("text").alias("least"), F.max("text").alias("most"))
 
 
+def items_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the text items of orders; orders with a returned item have their items read anew."""
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.col("l_linenumber").alias("item"), F.col("l_returnflag").alias("text"))
+    again = i.where("text = 'R'").withColumn("text", F.lit("again"))
+    return lookups.recognised_items(i, again).groupBy("doc_id").agg(F.count("*").alias("items"), F.sum((F.col("text") == "again").cast("long")).alias("again"))
+
+
+def unread_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as regions of orders; only every third order has a raster."""
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"))
+    rasters = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_number"), F.lit("r").alias("raster"))
+    return lookups.region_totals(lookups.regions_without_raster(i, rasters))
+
+
+def pii_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document in order of place, with the detector that found it."""
+    return lookups.in_order(pii.find_pii(table(spark, sf_dir, "documents"))).select("doc_id", "place", "type", "start")
+
+
+def flags_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct return flags of each order's items in the order of their first line."""
+    d = lookups.distinct_in_order(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber")
+    return d.select("l_orderkey", F.array_join("values", ",").alias("flags"))
+
+
+def recorded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of events after those with even ids are recorded once more, a day later."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    again = e.where("event_id % 2 = 0").withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    return events.recorded(e, again).select("event_id", "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,5 +422,6 @@ QUERIES = {
         target_profiles, best_attempts, event_allowlist, recent_history, recent_by_user, catalog_search, repeated_lines, text_blocks, text_ebooks, transcript_runs, paginated_lines,
         html_titles, html_links, html_blocks, csv_blocks, markdown_blocks, layout_lines, layout_blocks, layout_tables, rectangles, event_windows,
         baseline_lines, layout_plain, match_rectangles, page_chunks, edited_pages, segment_names, column_names, error_codes, placements, header_zones, workbook_rows, package_blocks,
+        items_recognised, unread_regions, pii_in_order, flags_in_order, recorded_history,
     )
 }

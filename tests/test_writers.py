@@ -12,7 +12,7 @@ from test_operators import glyph_tables
 
 from leafmill.functions import geometry as G
 from leafmill.functions import scalars as S
-from leafmill.operators import layout, pages, pii, text_lines
+from leafmill.operators import events, layout, lookups, pages, pii, text_lines
 from leafmill.sources import files, parsers, writers
 
 
@@ -180,3 +180,35 @@ def test_glyphs_of_items(spark):
     a, b = got[0], got[2]
     assert (a["x"], round(a["y"], 2), a["width"], a["height"], a["font_size"], a["rotation"], a["bold"], a["italic"], a["direction"]) == (100, 90.16, 50, 12, 12, 90, True, True, "rtl")
     assert (b["x"], b["y"], b["width"], b["height"], b["font_size"], b["bold"], b["direction"]) == (600, 793.52, 0, 14, 14, True, "ltr")
+
+
+def test_lookups(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    items = make([("d", 1, "a"), ("d", 1, "b"), ("d", 2, "c")], "doc_id string, page_number int, text string")
+    seen = make([("d", 1, "A")], "doc_id string, page_number int, text string")
+    assert sorted(r["text"] for r in lookups.recognised_items(items, seen).collect()) == ["A", "c"]
+    rasters = make([("d", 1, "r")], "doc_id string, page_number int, raster string")
+    assert sorted((r["text"], r["raster"]) for r in lookups.pages_with_rasters(items, rasters).collect()) == [("a", "r"), ("b", "r"), ("c", None)]
+    assert [r["text"] for r in lookups.regions_without_raster(items, rasters).collect()] == ["c"]
+    assert tuple(lookups.region_totals(items).first()) == ("d", 3, 2)
+    images = make([("i", "x")], "image_ref string, image string")
+    assert [r["n"] for r in lookups.objects_with_images(make([("i", 1), ("j", 2), (None, 3)], "image_ref string, n int"), images).collect()] == [1]
+    blocks = make([("d", 1, 0, None), ("d", 1, 1, "t"), ("d", 1, 2, "gone")], "doc_id string, page_number int, block int, table_id string")
+    tables = make([("d", 1, "t", [["x"]])], "doc_id string, page_number int, table_id string, rows array<array<string>>")
+    assert {r["block"]: r["rows"] for r in lookups.blocks_with_rows(blocks, tables).collect()} == {0: [], 1: [["x"]], 2: []}
+    assert sorted(r["block"] for r in lookups.blocks_with_rows(blocks, tables, False).collect()) == [0, 1]
+    assert lookups.chosen(items, "text", []).count() == 3 and lookups.chosen(items, "text", ["a"]).count() == 1
+    assert [one(spark, lookups.known_language(F.lit(x))) for x in ("eng", "deu", None)] == [True, False, False]
+    tools = make([(1, True, "x"), (2, False, "x"), (3, True, "y")], "id int, available boolean, category string")
+    assert [r["id"] for r in lookups.available_tools(tools, "x").collect()] == [1] and lookups.tool(tools, 3).count() == 1
+    fonts = make([("d", "B", 1), ("d", "A", 2), ("d", "B", 3), ("d", None, 0)], "doc_id string, font string, n int")
+    assert lookups.distinct_in_order(fonts, "doc_id", "font", "n").first()["values"] == ["B", "A"]
+    slides = make([("d", "<p:grpSp><a:gradFill x/></p:grpSp>"), ("d", "<p:transition/><a:gradFill/>")], "doc_id string, xml string")
+    assert tuple(lookups.slide_counts(slides).first()) == ("d", 2, 1, 0, 1)
+    found = pii.find_pii(make([(1, "1.2.3.4 a@b.io")], "doc_id long, text string"))
+    assert [(r["place"], r["type"]) for r in lookups.in_order(found).orderBy("place").collect()] == [(0, "ip-address"), (1, "email")]
+    m = make([("a", "1"), ("b", "2")], "name string, digest string")
+    assert lookups.same_manifest(m, m).count() == 0 and sorted(map(tuple, lookups.same_manifest(m, make([("a", "1"), ("b", "3")], "name string, digest string")).collect())) == [("b", "2", "left"), ("b", "3", "right")]
+    h = make([(k, k) for k in range(60)], "event_id int, ts int")
+    new = events.recorded(h, make([(59, 100), (60, 101)], "event_id int, ts int"))
+    assert new.count() == 50 and new.where("event_id = 59").first()["ts"] == 100 and events.deleted(new, [60]).count() == 49 and events.deleted(new).count() == 0
