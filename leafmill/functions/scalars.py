@@ -67,15 +67,25 @@ def sanitize_filename(name: Column, fallback: str = "document") -> Column:
     return F.when(F.length(clean) > 0, F.substring(clean, 1, 180)).otherwise(F.lit(fallback))
 
 
-def suggest_output_name(names: Column, extension: str, suffix: str | None = None) -> Column:
-    """One name for a list of inputs: up to three stems joined, else the first and a count."""
-    stems = F.filter(F.transform(names, lambda n: strip_space(F.regexp_replace(n, r"\.[^.]+$", ""))), lambda n: n != "")
-    many = lambda s: F.concat(F.get(s, F.lit(0)), F.lit("+"), (F.size(s) - 1).cast("string"), F.lit("-more"))
-    stem = let(stems, lambda s: F.when(F.size(s) == 0, F.lit("document")).when(F.size(s) <= 3, F.array_join(s, "+")).otherwise(many(s)))
+def output_stem(name: Column) -> Column:
+    """A file's name without its last extension and outer white space."""
+    return strip_space(F.regexp_replace(name, r"\.[^.]+$", ""))
+
+
+def named_output(stems: Column, n: Column, extension: str, suffix: str | None = None) -> Column:
+    """One name for ``n`` inputs of which ``stems`` are the first: up to three joined, else the first and a count."""
+    many = F.concat(F.get(stems, F.lit(0)), F.lit("+"), (n - 1).cast("string"), F.lit("-more"))
+    stem = F.when(n == 0, F.lit("document")).when(n <= 3, F.array_join(stems, "+")).otherwise(many)
     tail = F.lit("") if suffix is None else F.concat(F.lit("-"), F.regexp_replace(sanitize_filename(F.lit(suffix)), r"\s+", "-"))
     return F.concat(sanitize_filename(stem), tail, F.lit("." + extension.lstrip(".")))
 
 
+def suggest_output_name(names: Column, extension: str, suffix: str | None = None) -> Column:
+    """One name for a list of inputs."""
+    stems = F.filter(F.transform(names, output_stem), lambda n: n != "")
+    return let(stems, lambda s: named_output(s, F.size(s), extension, suffix))
+
+
 def normalize_margin(text: Column) -> Column:
     """Lower case, digits as #, single spaces: what repeated margin lines have in common."""
     return strip_space(F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "#"), BLANK + "+", " "))

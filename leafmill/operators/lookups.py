@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import named_output, output_stem
+
 PAGE = ["doc_id", "page_number"]
 #: The languages that recognition knows, and the kinds of editor objects that hold text.
 LANGUAGES, TEXTUAL = ("eng", "spa"), ("text", "replace-text")
@@ -95,3 +99,17 @@ def same_manifest(left: DataFrame, right: DataFrame) -> DataFrame:
     """The entries (name, digest) that only one of two manifests has; none if they are equal."""
     a, b = left.select("name", "digest"), right.select("name", "digest")
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def merged_names(files: DataFrame, keys: list[str], order: str, extension: str, suffix: str | None = None) -> DataFrame:
+    """keys and ``name``: one file name for the files (keys, order, name) of each group.
+
+    Only a group's first three stems and their number are needed, so no task gathers a group."""
+    stems = files.select(*keys, F.col(order).alias("_at"), output_stem(F.col("name")).alias("_stem"))
+    some = stems.where("_stem <> ''")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
+    first = some.withColumn("_place", place).where("_place <= 3").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", "_stem"))).alias("_l"))
+    counts = stems.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(F.coalesce((F.col("_stem") != "").cast("long"), F.lit(0))).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys])
+    name = named_output(F.transform(F.coalesce("_l", F.array().cast("array<struct<_place:int,_stem:string>>")), lambda x: x["_stem"]), F.col("_n"), extension, suffix)
+    return counts.join(first, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], name.alias("name"))

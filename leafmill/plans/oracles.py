@@ -71,7 +71,8 @@ ORACLES = {
     "catalog_search": """
 WITH t AS (SELECT p_partkey AS id, p_name AS name, lower(concat_ws(' ', p_name, p_partkey, 'part', 'catalog')) AS hay FROM part)
 SELECT id, name FROM t WHERE contains(hay, '1') AND contains(hay, 'part')""",
-    "csv_blocks": "SELECT c_nationkey::BIGINT AS doc_id, 0 AS block, count(*)::INT AS n_rows, 3 AS n_columns FROM customer GROUP BY c_nationkey",
+    "csv_blocks": """
+SELECT c_custkey // 100 AS doc_id, 0 AS block, count(*)::INT AS n_rows, sha256(string_agg(c_custkey || '|' || c_name || '|' || c_acctbal, chr(10) ORDER BY c_custkey || '|' || c_name || '|' || c_acctbal)) AS sha256 FROM customer GROUP BY 1""",
     "layout_tables": """
 WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 3)
 SELECT doc_id, 'table-p1-1' AS table_id, n::INT AS n_rows, 4 AS n_columns, round(0.4 + 0.2 + least(1.0::DOUBLE, n / 5.0::DOUBLE) * 0.04 + 0.2 + 0.16, 6) AS confidence FROM c""",
@@ -238,7 +239,7 @@ SELECT o_orderkey, ['top', 'middle', 'bottom'][k // 3 + 1] || '-' || ['left', 'c
     "header_zones": """
 SELECT p_partkey, split_part(p_name, ' ', 1) AS "left", split_part(p_name, ' ', 2) AS center, split_part(p_name, ' ', 3) AS "right" FROM part""",
     "workbook_rows": """
-SELECT c_nationkey::BIGINT AS doc_id, count(*)::INT AS n_rows, sha256(string_agg(c_name || chr(9) || c_mktsegment || chr(9) || c_acctbal, chr(10) ORDER BY c_name, c_mktsegment, c_acctbal::VARCHAR)) AS sha256 FROM customer GROUP BY 1""",
+SELECT c_custkey // 100 AS doc_id, count(*)::INT AS n_rows, sha256(string_agg(c_name || chr(9) || c_mktsegment || chr(9) || c_acctbal, chr(10) ORDER BY c_name, c_mktsegment, c_acctbal::VARCHAR)) AS sha256 FROM customer GROUP BY 1""",
     "package_blocks": """
 WITH t AS (SELECT conv_id AS doc_id, role, 'said: ' || md5(text) AS said FROM conversations WHERE text IS NOT NULL)
 SELECT doc_id, 'heading' AS kind, count(*) AS blocks, min(role) AS least, max(role) AS most FROM t GROUP BY 1 UNION ALL SELECT doc_id, 'paragraph', count(*), min(said), max(said) FROM t GROUP BY 1""",

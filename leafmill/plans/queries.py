@@ -80,10 +80,9 @@ def formatted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merged file's name for the documents of each language and source, their first words as names."""
-    d = table(spark, sf_dir, "documents")
     name = F.concat(F.substring_index(F.split_part("text", F.lit("\n"), F.lit(1)), " ", 2), F.lit(".pdf"))
-    g = d.groupBy("source", "lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", name.alias("name")))).alias("l"))
-    return g.select("source", "lang", S.suggest_output_name(F.transform("l", lambda x: x["name"]), "pdf", "merged").alias("name"))
+    files = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", name.alias("name"))
+    return lookups.merged_names(files, ["source", "lang"], "doc_id", "pdf", "merged")
 
 
 def every_n_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,12 +233,12 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each nation written as one semicolon-separated text and read as blocks."""
+    """Customers, a hundred to a file, written as semicolon-separated texts and read as blocks."""
     c = table(spark, sf_dir, "customer")
     row = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit('"')), F.col("c_acctbal").cast("string"))
-    d = c.groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("l")).select("doc_id", F.array_join("l", "\n").alias("source"))
-    b = parsers.blocks(d, "csv")
-    return b.select("doc_id", "block", F.size("rows").alias("n_rows"), F.size(F.get("rows", F.lit(0))).alias("n_columns"))
+    d = c.groupBy(F.expr("c_custkey div 100").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("l")).select("doc_id", F.array_join("l", "\n").alias("source"))
+    cells = F.array_sort(F.transform("rows", lambda r: F.array_join(r, "|")))
+    return parsers.blocks(d, "csv").select("doc_id", "block", F.size("rows").alias("n_rows"), F.sha2(F.array_join(cells, "\n"), 256).alias("sha256"))
 
 
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,9 +362,9 @@ def header_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each nation written as a workbook and read back."""
+    """Customers, a hundred to a file, written as workbooks and read back."""
     row = F.array(F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal").cast("string"))
-    t = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    t = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 100").alias("doc_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     t = t.select("doc_id", F.lit(1).alias("page_number"), F.lit(1).alias("number"), F.lit("table-p1-1").alias("table_id"), "rows", F.lit(1.0).alias("confidence"))
     b = parsers.blocks(writers.xlsx_packages(t), "xlsx", "content").where("kind = 'table'")
     return b.select("doc_id", F.size("rows").alias("n_rows"), F.sha2(F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n"), 256).alias("sha256"))
