@@ -237,7 +237,7 @@ def test_blocks_frame(spark):
 
 
 def test_broken_sources_give_an_error(spark):
-    good = bytearray(_zip(word__document_dot_xml="<d><body><p><t>x</t></p></body></d>"))
+    good = bytearray(_zip(word__document_dot_xml="<d><body><p><r><t>x</t></r></p></body></d>"))
     bad = bytearray(good)
     bad[40:60] = b"\xff" * 20
     d = spark.createDataFrame([(1, good), (2, bad), (3, bytearray(b"PK")), (4, bytearray(_zip(x="y")))], "doc_id long, source binary")
