@@ -133,3 +133,24 @@ def most_scale(width: Column, height: Column, scale: Column, most_side: Column,
     side = most_side / F.greatest(width, height, F.lit(1.0))
     area = F.sqrt(most_pixels) / F.greatest(F.sqrt(width * height), F.lit(1.0))
     return F.least(scale, side, area)
+
+
+def fitted_size(size: Column, width_a_point: Column, most_width: Column) -> Column:
+    """The font size, lowered by 8 % until its text fits (two points spared) or it is 4, in 40 steps at most; never under 3.
+
+    ``width_a_point`` is the text's width at a size of 1."""
+    fits = lambda s: (s * width_a_point <= most_width - 2) | (s <= 4)
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(40)), size.cast("double"), lambda s, _: F.when(fits(s), s).otherwise(s * 0.92))
+    return F.greatest(F.lit(3.0), last)
+
+
+def jitter(seed: Column, amplitude: Column) -> Column:
+    """A number between -amplitude and amplitude that follows from the seed."""
+    v = F.sin(seed * 12.9898) * 43758.5453
+    return (v - F.floor(v) - 0.5) * 2 * amplitude
+
+
+def word_rect(x0: Column, y0: Column, x1: Column, y1: Column, page_height: Column, scale: Column) -> Column:
+    """A box on a rendered, upright page as a rectangle of the page."""
+    left, right = F.least(x0, x1) / scale, F.greatest(x0, x1) / scale
+    return rect(left, page_height - F.greatest(y0, y1) / scale, right - left, F.abs(y1 - y0) / scale)
