@@ -12,9 +12,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
 
     Large-star and small-star steps alternate until the edges are a forest of stars whose
-    centres are the components; every step only joins and aggregates, so the edges of a hub
-    are summed before a shuffle and its side of a join can be split. Each round is written to
-    the shared folder, and the one before it goes."""
+    centres are the components; every step only joins and aggregates. The edges of a hub are
+    summed before a shuffle; a join reads them, two numbers each, in one task. Each round is
+    written to the shared folder, and the one before it goes."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
     while not _is_forest_of_stars(e):

@@ -133,17 +133,19 @@ def meetings(shared: DataFrame, looked: DataFrame, percent: int) -> DataFrame:
     """(h, s, cid, n, asks): the rows that meet another in column h and size class s, as those
     looked up (asks) and as those found."""
     s = size_class(F.col("n"), percent)
-    asks = written(looked.select("h", F.explode(F.array(s, s + 1)).alias("s"), "cid", "n"), "asks")
+    asks = looked.select("h", F.explode(F.array(s, s + 1)).alias("s"), "cid", "n")
     by = ["h", "s"]
-    asked = asks.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # Sums by column are written before they are joined: then both sides are plain shuffles, and a column
+    # that very many rows have can be split between tasks.
+    asked = written(asks.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")), "asked")
     rows = shared.select("h", "cid", F.expr("n2 div 2").alias("n")).select("h", s.alias("s"), "cid", "n")
     other = (F.col("lo") != F.col("cid")) | (F.col("hi") != F.col("cid"))
     fits = (F.col("n") >= F.col("least")) & (F.col("n") * percent <= F.col("most") * 100)
     found = written(rows.join(asked, by).where(other & fits).select(*by, "cid", "n"), "found")
-    met = found.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    met = written(found.groupBy(*by).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")), "met")
     asking = asks.join(met, by).where(other).select(*by, "cid", "n", F.lit(True).alias("asks"))
     out = written(found.withColumn("asks", F.lit(False)).union(asking), "meetings")
-    dropped(asks, found)
+    dropped(asked, found, met)
     return out
 
 
@@ -202,12 +204,11 @@ def still_open(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Both rows of a link are among ``sets``, so a row's columns that another of them has too bound its overlaps."""
     columns = sets.select("cid", F.explode("s").alias("h"))
-    twice = columns.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h"))
+    twice = written(columns.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("_h")), "twice")
     can = columns.join(twice.hint("shuffle_hash"), F.col("h") == F.col("_h")).groupBy("cid").agg(F.count("*").alias("m"))
-    can = written(can, "shareable")
     enough = F.when(F.col("asks"), (F.col("n") - F.col("m")) * (100 + percent) <= F.col("n") * (100 - percent)).otherwise(F.col("m") * 100 >= F.col("n") * percent)
     left = written(meets.join(can, "cid").where(enough).select("h", "s", "cid", "asks"), "open")
-    dropped(can)
+    dropped(twice)
     return left
 
 
@@ -215,8 +216,10 @@ def grouped(meets: DataFrame) -> DataFrame:
     """(node, component): the rows that meet, directly or through others."""
     first = F.min(F.when(F.col("asks"), F.col("cid"))).alias("v")
     buckets = meets.groupBy("h", "s").agg(first, F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("v is not null and lo <> hi")
-    edges = meets.join(buckets.select("h", "s", "v"), ["h", "s"]).select(F.col("cid").alias("u"), "v")
-    return connected_components(edges)
+    buckets = written(buckets.select("h", "s", "v"), "buckets")
+    out = connected_components(meets.join(buckets, ["h", "s"]).select(F.col("cid").alias("u"), "v"))
+    dropped(buckets)
+    return out
 
 
 def cells_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -368,17 +371,15 @@ def labelled_rows(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, fa, fb, class_id, component, class_links for every document; rows without doc_id
     have the last three too if another row of their set has one."""
     small_batches(docs)
-    with_tokens = written(shingle_rows(docs, percent), "shingle-rows")
-    rows = written(with_tokens.select("doc_id", "n", "fa", "fb"), "rows")
-    of_class = with_tokens.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
+    rows = written(shingle_rows(docs, percent), "shingle-rows")
+    of_class = rows.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n", "x", "quota")
     classes = of_class.agg(F.min("doc_id").alias("class_id"), F.first("tokens", ignorenulls=True).alias("tokens"))
     classes = written(classes.withColumn("cid", F.col("fa")), "classes")
-    dropped(with_tokens)
+    keys = classes.drop("tokens")
     entries = classes.select(F.posexplode("tokens").alias("pos", "h"), "cid", "n", "x").select("h", "cid", (F.col("n") * 2 + (F.col("pos") < F.col("x")).cast("long")).alias("n2"))
-    counts = entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows")
+    counts = written(entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "rows"), "counts")
     shared = written(entries.join(counts.hint("shuffle_hash"), F.col("h") == F.col("_h")).select("h", "cid", "n2", "rows"), "shared")
-    keys = written(classes.drop("tokens"), "class-keys")
-    dropped(classes)
+    dropped(counts)
     looked = written(looked_up(shared, keys), "looked-up")
     meets = meetings(shared, looked, percent)
     dropped(shared, looked)
@@ -397,8 +398,8 @@ def labelled_rows(docs: DataFrame, percent: int) -> DataFrame:
     of = of.join(of.groupBy("component").agg(F.min("class_id").alias("least")), "component").select("cid", F.col("least").alias("component"))
     of = keys.select("fa", "fb", "n", "cid", "class_id").join(of, "cid", "left").join(linked, "cid", "left")
     of = written(of.select("fa", "fb", "n", "class_id", F.coalesce("component", "class_id").alias("component"), "class_links"), "class-labels")
-    dropped(keys, found, labels)
-    return rows.join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
+    dropped(classes, found, labels)
+    return rows.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left").select("doc_id", "n", "fa", "fb", "class_id", "component", "class_links")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
