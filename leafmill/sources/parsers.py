@@ -39,38 +39,43 @@ def csv_rows(source: str, delimiter: str, limit: int | None = None) -> list[list
     rows: list[list[str]] = []
     row: list[str] = []
     cell: list[str] = []
+    special = re.compile(f'["\\r\\n{re.escape(delimiter)}]')
     quoted, i, n = False, 0, len(source)
 
     def end_row() -> None:
         row.append("".join(cell))
         cell.clear()
-        if any(c != "" for c in row):
+        if any(row):
             rows.append(list(row))
         row.clear()
 
+    # From one character that means something to the next.
     while i < n and (limit is None or len(rows) < limit):
-        c = source[i]
         if quoted:
-            if c != '"':
-                cell.append(c)
-            elif source[i + 1 : i + 2] == '"':
+            at = source.find('"', i)
+            cell.append(source[i:] if at < 0 else source[i:at])
+            if at < 0:
+                break
+            quoted = source.startswith('""', at)
+            if quoted:
                 cell.append('"')
-                i += 1
-            else:
-                quoted = False
-        elif c == '"' and not cell:
-            quoted = True
-        elif c == delimiter:
+            i = at + 1 + quoted
+            continue
+        found = special.search(source, i)
+        cell.append(source[i : found.start()] if found else source[i:])
+        i = found.end() if found else n
+        mark = found and found[0]
+        if mark == '"':
+            quoted = not any(cell)
+            if not quoted:
+                cell.append(mark)
+        elif mark == delimiter:
             row.append("".join(cell))
             cell.clear()
-        elif c in "\r\n":
+        elif mark:
             end_row()
-            if c == "\r" and source[i + 1 : i + 2] == "\n":
-                i += 1
-        else:
-            cell.append(c)
-        i += 1
-    if not quoted and (cell or row) and (limit is None or len(rows) < limit):
+            i += source.startswith("\r\n", i - 1)
+    if not quoted and (any(cell) or row) and (limit is None or len(rows) < limit):
         end_row()
     return rows
 
