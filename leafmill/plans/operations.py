@@ -107,8 +107,8 @@ def run_operation(name: str, documents: DataFrame, path: str, options: dict | No
             late = end is not None and time.monotonic() > end
             if late or (cancel is not None and cancel.is_set()):
                 why.append("TIMEOUT" if late else "CANCELLED")
+                # Again and again: a group without a running job, as while a plan is made, cannot be cancelled.
                 context.cancelJobGroup(group)
-                return
 
     began = time.monotonic()
     watcher = threading.Thread(target=watch, daemon=True)

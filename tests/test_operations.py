@@ -34,7 +34,7 @@ def test_columns_cancel_and_timeout(spark, tmp_path):
     with pytest.raises(O.OperationError, match="CANCELLED"):
         O.run_operation("redact", docs(spark), str(tmp_path / "c"), cancel=stop)
     # Tasks end between rows, so many rows of a moderate size.
-    slow = spark.range(2_000_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("1111 "), 200), F.col("id").cast("string")).alias("text"))
+    slow = spark.range(2_000_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("1111 "), 20), F.col("id").cast("string")).alias("text"))
     with pytest.raises(O.OperationError) as e:
         O.run_operation("find-pii", slow, str(tmp_path / "d"), timeout=0.5)
     assert e.value.code == "TIMEOUT"
