@@ -168,11 +168,12 @@ def redaction_leftovers(pages: DataFrame, terms: DataFrame, most: int = MOST_TER
 
     ``terms`` is the user's list of marked terms, ``most`` at the most: it goes with the task to every page,
     and a longer list is refused. What a row's own detectors found is verified in the row by ``leftovers``."""
-    t = terms.select(strip_space(F.col("term")).alias("term")).where(F.length("term") >= 3).distinct().limit(most + 1).collect()
+    t = terms.select(strip_space(F.col("term")).alias("term")).where(F.length("term") >= 3).distinct().limit(most + 1).withColumn("needle", squeezed(F.col("term"))).collect()
     if len(t) > most:
         raise ValueError(f"INVALID_INPUT: more than {most} terms to verify")
-    listed = F.array(*[F.lit(r["term"]) for r in t]) if t else F.array().cast("array<string>")
-    needles = F.transform(listed, lambda x: F.struct(x.alias("term"), squeezed(x).alias("needle")))
+    if not t:
+        return terms.select("term").where("false")
+    needles = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["needle"]).alias("needle")) for r in t])
     left = let(squeezed(F.col("text")), lambda hay: F.filter(needles, lambda n: F.contains(hay, n["needle"])))
     return pages.select(F.explode(left).alias("n")).select("n.term").distinct()
 
