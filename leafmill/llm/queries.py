@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .ann import nearest
 from .chat import chat_digest
+from .lexical import build_index, ranked_search
 from .mixing import fair_mix
 from .ngram_join import near_duplicates
 from .pieces import sampled_pieces
 from .quality_fm import quality_scores
 from .quality_rules import quality_verdicts
+from .resample import resampled
 from .sharding import assign_shards
 from .sql import ORACLES
 from .toxicity import toxicity_scores
 from .url_filter import dated_list, host_of, judged
+from .warc import archived_captures
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +85,25 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into archives and read back, in order of URL key and time."""
+    out = archived_captures(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark texts, with the score of every document."""
+    out = resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op6_sentencepiece, op7_chat_format, op8_url_filter, op9_quality_rules, op10_shards)
+    f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op4_mix_sources, op5_ngram_join, op6_sentencepiece, op7_chat_format, op8_url_filter, op9_quality_rules, op10_shards, op11_warc, op12_lexical_search, op13_resample)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -140,4 +140,75 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op7_chat_format": OP7, "op8_url_filter": OP8, "op9_quality_rules": OP9}
+OP11 = r"""
+WITH p AS (
+  SELECT page_id, url, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id,
+         lower(regexp_replace(coalesce(url, ''), '[\x00-\x20\x7f]', '', 'g')) AS u,
+         strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM p),
+parts AS (SELECT *, regexp_extract(u, '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS x FROM g),
+keyed AS (SELECT *, regexp_replace(x.host, ':(80|443)?$', '') AS place FROM parts)
+SELECT page_id, payload_bytes, payload_digest, captured,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to,
+       CASE WHEN x.host = '' THEN u ELSE
+         array_to_string(list_reverse(string_split(rtrim(split_part(place, ':', 1), '.'), '.')), ',')
+         || CASE WHEN contains(place, ':') THEN ':' || split_part(place, ':', 2) ELSE '' END
+         || ')' || coalesce(nullif(x.path, ''), '/') || CASE WHEN len(x.query) > 1 THEN x.query ELSE '' END END AS url_key
+FROM keyed
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWERED.format("text")}, '{_TERM}') AS w FROM documents),
+sized AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM sized),
+asked AS (
+  SELECT q, item_id, term, count(*)::BIGINT AS repeats
+  FROM (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all({_LOWERED.format("text")}, '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+postings AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings, whole GROUP BY term, nd),
+scored AS (
+  SELECT q, item_id, r, doc_id,
+         sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nl))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
+
+OP13 = rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+words AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({_LOWERED.format("text")}, '{_TERM}'), []) AS w FROM documents),
+of_docs AS (SELECT r, word, count(*)::BIGINT AS n FROM (SELECT r, unnest(w) AS word FROM words) GROUP BY ALL),
+of_target AS (
+  SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({_LOWERED.format("text")}, '{_TERM}')) AS word FROM benchmark) GROUP BY ALL),
+bytes AS (
+  SELECT word, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT) AS b
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM of_docs UNION SELECT word FROM of_target))),
+bucket AS (
+  SELECT word, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM of_docs JOIN bucket USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM of_target JOIN bucket USING (word) GROUP BY bucket),
+whole AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS all_s, coalesce((SELECT sum(t) FROM t), 0) AS all_t),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((coalesce(s, 0) + 1) * (all_t + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), whole),
+weights AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM of_docs JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, r, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (10 * n) // 100 THEN place END::BIGINT AS rank
+FROM scored LEFT JOIN drawn USING (r)
+"""
+
+ORACLES = {"op4_mix_sources": OP4, "op7_chat_format": OP7, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op11_warc": OP11, "op12_lexical_search": OP12, "op13_resample": OP13}
