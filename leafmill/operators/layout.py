@@ -41,24 +41,24 @@ def banded(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     """The usable glyphs with ``band``, the band's top and bottom, and the page's ``font`` and width.
 
     In order of (y, x), a glyph joins the last band if its centre is within
-    max(1.5, 0.38 * median font size) of the band's current centre; the band grows with it."""
+    max(1.5, 0.38 * median font size) of the band's current centre; the band grows with it. The fold keeps a
+    mark for each glyph, as a fold's state is copied at every step; bands are counted afterwards."""
     g = usable_glyphs(glyphs)
     item = F.struct("y", "x", "item_id", "text", "width", "height", "font_size", "rotation", "bold", "direction")
     p = g.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("items"), F.median("font_size").alias("font"))
     near = F.greatest(F.lit(1.5), F.col("font") * 0.38)
-    empty = F.array().cast("array<int>")
-    zero = F.struct(F.lit(-1).alias("band"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), empty.alias("out"))
+    zero = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit("").alias("marks"))
 
     def step(a: Column, i: Column) -> Column:
         centre = i["y"] + i["height"] / 2
-        joins = (a["band"] >= 0) & (F.abs((a["top"] + a["bottom"]) / 2 - centre) <= near)
-        band = F.when(joins, a["band"]).otherwise(a["band"] + 1)
+        joins = F.coalesce(F.abs((a["top"] + a["bottom"]) / 2 - centre) <= near, F.lit(False))
         top = F.when(joins, F.least(a["top"], i["y"])).otherwise(i["y"])
         bottom = F.when(joins, F.greatest(a["bottom"], i["y"] + i["height"])).otherwise(i["y"] + i["height"])
-        return F.struct(band.alias("band"), top.alias("top"), bottom.alias("bottom"), F.array_append(a["out"], band).alias("out"))
+        return F.struct(top.alias("top"), bottom.alias("bottom"), F.concat(a["marks"], F.when(joins, "0").otherwise("1")).alias("marks"))
 
-    p = p.withColumn("bands", F.aggregate("items", zero, step)["out"])
-    z = p.select(*KEY, "font", F.explode(F.arrays_zip("items", "bands")).alias("z")).select(*KEY, "font", "z.items.*", F.col("z.bands").alias("band"))
+    p = p.withColumn("marks", F.split(F.aggregate("items", zero, step)["marks"], ""))
+    z = p.select(*KEY, "font", F.posexplode(F.arrays_zip("items", "marks")).alias("_at", "z")).select(*KEY, "font", "_at", "z.items.*", (F.col("z.marks") == "1").cast("int").alias("_new"))
+    z = z.withColumn("band", (F.sum("_new").over(Window.partitionBy(*KEY).orderBy("_at")) - 1).cast("int")).drop("_at", "_new")
     w = Window.partitionBy(*KEY, "band")
     z = z.withColumn("band_top", F.min("y").over(w)).withColumn("band_bottom", F.max(F.col("y") + F.col("height")).over(w))
     return z.join(pages.select(*KEY, F.col("width").alias("page_width"), F.col("height").alias("page_height")), KEY)
@@ -82,15 +82,16 @@ def lines_of(bands: DataFrame) -> DataFrame:
         *[F.first(c).alias(c) for c in ("band_top", "band_bottom", "page_width", "page_height", "font")],
     )
     backward = F.col("n_rtl") > F.col("n") / 2
-    zero = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("w"))
 
-    def step(a: Column, i: Column) -> Column:
-        gap = F.when(backward, a["x"] - (i["x"] + i["width"])).otherwise(i["x"] - (a["x"] + a["w"]))
-        tight = a["t"].rlike(CJK + "$") | i["text"].rlike("^" + CJK) | a["t"].rlike(r"\s$") | i["text"].rlike(r"^\s")
+    def piece(i: Column, k: Column) -> Column:
+        """An item's text behind the space that parts it from the item before."""
+        before = F.get("items", k - 1)
+        gap = F.when(backward, before["x"] - (i["x"] + i["width"])).otherwise(i["x"] - (before["x"] + before["width"]))
+        tight = before["text"].rlike(CJK + "$") | i["text"].rlike("^" + CJK) | before["text"].rlike(r"\s$") | i["text"].rlike(r"^\s")
         space = F.coalesce((gap > F.greatest(F.lit(1.5), i["font_size"] * 0.2)) & ~tight, F.lit(False))
-        return F.struct(F.concat(a["t"], F.when(space, " ").otherwise(""), i["text"]).alias("t"), i["x"].alias("x"), i["width"].alias("w"))
+        return F.concat(F.when(space, " ").otherwise(""), i["text"])
 
-    text = strip_space(F.regexp_replace(F.aggregate("items", zero, step)["t"], "[ \t]{2,}", " "))
+    text = strip_space(F.regexp_replace(F.array_join(F.transform("items", piece), ""), "[ \t]{2,}", " "))
     return g.select(
         *KEY, "band", "seg", F.concat(F.lit("p"), "page_number", F.lit("-r"), "band", F.lit("-s"), "seg").alias("line_id"), text.alias("text"), "x", "y",
         (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"), "font_size", (F.col("n_bold") >= F.ceil(F.col("n") / 2)).alias("bold"),

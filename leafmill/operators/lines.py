@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.scalars import BLANK, normalize_margin, strip_space
 
 LIST_ITEM = r"^\s*(?:([0-9]+)[.)]|([•●▪◦*-]))\s+(.+)$"
@@ -79,15 +80,21 @@ def wrapped(text: Column, most: int) -> Column:
     A blank line stays one blank line; a longer word has a line of its own."""
 
     def fill(line: Column) -> Column:
-        zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+        # The fold keeps the length of the line so far and a mark for each word, as its state is copied at every step.
+        zero = F.struct(F.lit(0).alias("now"), F.lit("").alias("marks"))
 
         def step(a: Column, w: Column) -> Column:
-            full = (F.length(a["now"]) > 0) & (F.length(a["now"]) + 1 + F.length(w) > most)
-            more = F.when(a["now"] == "", w).otherwise(F.concat(a["now"], F.lit(" "), w))
-            return F.struct(F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), F.when(full, w).otherwise(more).alias("now"))
+            empty, full = a["now"] == 0, a["now"] + 1 + F.length(w) > most
+            mark = F.when(empty, "e").when(full, "n").otherwise("s")
+            now = F.when(empty | full, F.length(w)).otherwise(a["now"] + 1 + F.length(w))
+            return F.struct(now.alias("now"), F.concat(a["marks"], mark).alias("marks"))
 
-        filled = F.aggregate(F.split(line, r"\s+"), zero, step, lambda a: F.array_append(a["done"], a["now"]))
-        return F.when(strip_space(line) == "", F.array(F.lit(""))).otherwise(filled)
+        def filled(words: Column) -> Column:
+            marks = F.split(F.aggregate(words, zero, step)["marks"], "")
+            parted = F.transform(F.arrays_zip(words.alias("w"), marks.alias("m")), lambda z: F.concat(F.when(z["m"] == "n", "\n").when(z["m"] == "s", " ").otherwise(""), z["w"]))
+            return F.split(F.array_join(parted, ""), "\n")
+
+        return F.when(strip_space(line) == "", F.array(F.lit(""))).otherwise(let(F.split(line, r"\s+"), filled))
 
     return F.flatten(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), fill))
 

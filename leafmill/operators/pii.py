@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.geometry import match_rect
 from ..functions.scalars import luhn_valid, squeezed, strip_space, verhoeff_valid
+from .terms import terms_found
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _S = r"[\s ﻿]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Marks around a match while it is measured: two code points that are no characters.
+#: Marks around a match while it is measured: two code points that are no characters; U+FFFD stands for one in a text.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
-#: Terms in a user's list to verify, at most.
-MOST_TERMS = 10_000
 
 #: The detectors in the order that breaks ties, their patterns and whether they run by default.
 DETECTORS = (
@@ -41,18 +40,17 @@ CARD_WORDS = "card|visa|mastercard|amex|debit|credit|cc:"
 def all_matches(text: Column, pattern: str, most: int | None = None) -> Column:
     """array<struct<value, start>>: the non-empty matches of a pattern and their offsets, the first ``most`` if given.
 
-    One pass of the pattern: each match is put between two characters that no text holds."""
+    One pass of the pattern: each match is put between OPEN and CLOSE."""
     spot = "array<struct<value:string,start:int>>"
     marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"), pattern, OPEN + "$0" + CLOSE)
 
     def spans(parts: Column) -> Column:
         pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.struct(F.substring_index(p, CLOSE, 1).alias("value"), F.length(p).alias("size")))
-        zero = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(spot).alias("out"))
-        here = lambda a, p: F.array(F.struct(p["value"].alias("value"), a["at"].alias("start")))
-        step = lambda a, p: F.struct(
-            (a["at"] + p["size"] - 1).alias("at"), F.when(p["value"] != "", F.concat(a["out"], here(a, p))).otherwise(a["out"]).alias("out")
-        )
-        found = F.aggregate(pairs, zero, step)["out"]
+        # The fold writes the starts as a text, as its state is copied at every step.
+        zero = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.lit("").alias("starts"))
+        step = lambda a, p: F.struct((a["at"] + p["size"] - 1).alias("at"), F.concat(a["starts"], a["at"].cast("string"), F.lit(",")).alias("starts"))
+        starts = let(F.split(F.aggregate(pairs, zero, step)["starts"], ","), lambda s: F.transform(pairs, lambda p, i: F.struct(p["value"].alias("value"), F.get(s, i).cast("int").alias("start"))))
+        found = F.filter(starts, lambda m: m["value"] != "")
         return F.when(F.size(parts) > 1, found if most is None else F.slice(found, 1, most)).otherwise(F.array().cast(spot))
 
     return let(F.split(marked, OPEN), spans)
@@ -74,7 +72,7 @@ def custom_detectors(patterns: list[str]) -> list[tuple[str, str]]:
     """Checked patterns of the user; blank ones are skipped, long or broken ones refused.
 
     They run as Java patterns, so they are checked as such where a session is at hand; else by
-    Python's rules, without what Java does not know."""
+    Python's rules, and what only Python knows is refused."""
     out = []
     spark = SparkSession.getActiveSession()
     for p in patterns:
@@ -84,7 +82,9 @@ def custom_detectors(patterns: list[str]) -> list[tuple[str, str]]:
             raise ValueError("INVALID_INPUT: custom patterns must be 200 characters or fewer")
         try:
             if spark is None:
-                re.compile(p.replace("(?P", "(?!<"))
+                if "(?P" in p:
+                    raise re.error("a group by Python's rules", p)
+                re.compile(p)
             else:
                 spark.sparkContext._jvm.java.util.regex.Pattern.compile(p)
         except (re.error, PySparkException) as e:
@@ -163,19 +163,11 @@ def leftovers(text: Column, terms: Column) -> Column:
     return let(squeezed(text), lambda hay: F.array_distinct(F.filter(trimmed, lambda t: F.contains(hay, squeezed(t)))))
 
 
-def redaction_leftovers(pages: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+def redaction_leftovers(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """The distinct terms of three characters and more that still occur in some page.
 
-    ``terms`` is the user's list of marked terms, ``most`` at the most: it goes with the task to every page,
-    and a longer list is refused. What a row's own detectors found is verified in the row by ``leftovers``."""
-    t = terms.select(strip_space(F.col("term")).alias("term")).where(F.length("term") >= 3).distinct().limit(most + 1).withColumn("needle", squeezed(F.col("term"))).collect()
-    if len(t) > most:
-        raise ValueError(f"INVALID_INPUT: more than {most} terms to verify")
-    if not t:
-        return terms.select("term").where("false")
-    needles = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["needle"]).alias("needle")) for r in t])
-    left = let(squeezed(F.col("text")), lambda hay: F.filter(needles, lambda n: F.contains(hay, n["needle"])))
-    return pages.select(F.explode(left).alias("n")).select("n.term").distinct()
+    What a row's own detectors found is verified in the row by ``leftovers``."""
+    return terms_found(pages.select("text"), terms.select("term"))
 
 
 def search_marks(docs: DataFrame, term: str) -> DataFrame:

@@ -6,7 +6,7 @@ the running mean of baselines, from the top of the page down.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["doc_id", "page_number"]
@@ -22,25 +22,29 @@ def baseline_lines(items: DataFrame) -> DataFrame:
     item = F.struct((-F.col("y")).alias("down"), "item_id", "text", "x", "y", "width")
     p = items.where("text is not null and text <> ''").groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("items"), F.coalesce(height, F.lit(USUAL_HEIGHT)).alias("height"))
     off = F.greatest(F.lit(OFF_LEAST), F.col("height") * OFF_PART)
-    zero = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<struct<line:int,mean:double>>").alias("out"))
+    joined = lambda a, y: (a["mean"] * a["n"] + y) / (a["n"] + 1)
+    zero = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.lit("").alias("marks"))
 
     def step(a: Column, i: Column) -> Column:
-        joins = (a["line"] >= 0) & (F.abs(i["y"] - a["mean"]) <= off)
-        line = F.when(joins, a["line"]).otherwise(a["line"] + 1)
-        n = F.when(joins, a["n"] + 1).otherwise(1)
-        mean = F.when(joins, (a["mean"] * a["n"] + i["y"]) / (a["n"] + 1)).otherwise(i["y"])
-        return F.struct(line.alias("line"), mean.alias("mean"), n.alias("n"), F.array_append(a["out"], F.struct(line.alias("line"), mean.alias("mean"))).alias("out"))
-
-    p = p.withColumn("lines", F.aggregate("items", zero, step)["out"])
-    z = p.select(*KEY, "height", F.posexplode(F.arrays_zip("items", "lines")).alias("at", "z")).select(*KEY, "height", "at", "z.items.*", "z.lines.*")
-    g = z.groupBy(*KEY, "line", "height").agg(F.sort_array(F.collect_list(F.struct("x", "at", "text", "width"))).alias("row"), F.max_by("mean", "at").alias("y"))
-    empty = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("end"))
-
-    def join(a: Column, i: Column) -> Column:
-        space = F.coalesce((i["x"] - a["end"] > F.col("height") * SPACE_PART) & ~a["t"].rlike(r"\s$") & ~i["text"].rlike(r"^\s"), F.lit(False))
-        return F.struct(F.concat(a["t"], F.when(space, " ").otherwise(""), i["text"]).alias("t"), (i["x"] + i["width"]).alias("end"))
-
-    text = F.regexp_replace(F.regexp_replace(F.aggregate("row", empty, join)["t"], "[ \t]{2,}", " "), r"[\s ﻿]+$", "")
+        joins = F.coalesce(F.abs(i["y"] - a["mean"]) <= off, F.lit(False))
+        mean, n = F.when(joins, joined(a, i["y"])).otherwise(i["y"]), F.when(joins, a["n"] + 1).otherwise(1)
+        return F.struct(mean.alias("mean"), n.alias("n"), F.concat(a["marks"], F.when(joins, "0").otherwise("1")).alias("marks"))
+
+    # The fold keeps a mark for each item, as its state is copied at every step; lines are counted afterwards.
+    p = p.withColumn("marks", F.split(F.aggregate("items", zero, step)["marks"], ""))
+    z = p.select(*KEY, "height", F.posexplode(F.arrays_zip("items", "marks")).alias("at", "z")).select(*KEY, "height", "at", "z.items.*", (F.col("z.marks") == "1").cast("int").alias("_new"))
+    z = z.withColumn("line", (F.sum("_new").over(Window.partitionBy(*KEY).orderBy("at")) - 1).cast("int"))
+    ys = F.sort_array(F.collect_list(F.struct("at", "y")))
+    g = z.groupBy(*KEY, "line", "height").agg(F.sort_array(F.collect_list(F.struct("x", "at", "text", "width"))).alias("row"), ys.alias("ys"))
+    none = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"))
+    g = g.withColumn("y", F.aggregate("ys", none, lambda a, i: F.struct(joined(a, i["y"]).alias("mean"), (a["n"] + 1).alias("n")))["mean"])
+
+    def piece(i: Column, k: Column) -> Column:
+        before = F.get("row", k - 1)
+        space = F.coalesce((i["x"] - (before["x"] + before["width"]) > F.col("height") * SPACE_PART) & ~before["text"].rlike(r"\s$") & ~i["text"].rlike(r"^\s"), F.lit(False))
+        return F.concat(F.when(space, " ").otherwise(""), i["text"])
+
+    text = F.regexp_replace(F.regexp_replace(F.array_join(F.transform("row", piece), ""), "[ \t]{2,}", " "), r"[\s ﻿]+$", "")
     return g.select(*KEY, "line", "y", text.alias("text"), F.size("row").alias("n_items"))
 
 

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packaged
 from .oracles import ORACLES
 from .queries import QUERIES, pii_by_type
 
+PARTS = (packaged,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data by type over all documents."""
@@ -16,8 +19,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(QUERIES) | {k: f for p in PARTS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | {k: q for p in PARTS for k, q in p.ORACLES.items()}

@@ -98,9 +98,14 @@ masked AS (
 done AS (SELECT doc_id, count(m) AS n, sha256(string_agg(coalesce(m, ch), '' ORDER BY i)) AS h FROM masked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::INT AS n_masked, coalesce(h, sha256(text)) AS sha256 FROM documents d LEFT JOIN done USING (doc_id)""",
     "redaction_leftovers": rf"""
-WITH terms AS (SELECT DISTINCT trim(array_to_string(string_split(text, ' ')[1:3], ' ')) AS term FROM benchmark),
+WITH {_PII},
+words AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+terms AS (SELECT DISTINCT trim(array_to_string(w[i : i + 2], ' ')) AS term FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
 needles AS (SELECT term, lower(regexp_replace(term, '\s+', '', 'g')) AS needle FROM terms WHERE length(term) >= 3),
-hays AS (SELECT lower(regexp_replace(text, '\s+', '', 'g')) AS hay FROM documents)
+chars AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, text FROM documents WHERE doc_id IN (SELECT doc_id FROM pii)),
+masked AS (
+  SELECT c.doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM pii p WHERE p.doc_id = c.doc_id AND c.i > p.start AND c.i <= p."end") THEN '█' ELSE c.text[c.i] END, '' ORDER BY c.i) AS t FROM chars c GROUP BY 1),
+hays AS (SELECT lower(regexp_replace(coalesce(t, text), '\s+', '', 'g')) AS hay FROM documents LEFT JOIN masked USING (doc_id))
 SELECT term FROM needles WHERE EXISTS (SELECT 1 FROM hays WHERE contains(hay, needle))""",
     "search_marks": r"""
 SELECT doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * 14)::INT AS start,

@@ -32,9 +32,10 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of each benchmark item, as marked terms, that still occur in a redacted text."""
-    words = table(spark, sf_dir, "benchmark").select(F.substring_index("text", " ", 3).alias("term"))
-    return pii.redaction_leftovers(pii.redacted(table(spark, sf_dir, "documents"), {"email"}), words)
+    """All runs of three words of the benchmark items, as marked terms, that still occur in a redacted text."""
+    words = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w")).where("size(w) >= 3")
+    runs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("term"))
+    return pii.redaction_leftovers(pii.redacted(table(spark, sf_dir, "documents")), runs)
 
 
 def redaction_verified(spark: SparkSession, sf_dir: str) -> DataFrame:

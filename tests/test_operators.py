@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import events, layout, lines, pages, pii, scoring
+from leafmill.operators import events, layout, lines, pages, pii, scoring, text_lines
 from leafmill.sources import parsers
 
 
@@ -53,8 +54,6 @@ def test_redaction_and_leftovers(spark):
     tabbed = spark.createDataFrame([("\tpl\u00a0ain\n",)], "term string")
     assert [r["term"] for r in pii.redaction_leftovers(d, tabbed).collect()] == ["pl\u00a0ain"]
     assert pii.redaction_leftovers(d, terms.where("false")).count() == 0
-    with pytest.raises(ValueError, match="INVALID_INPUT"):
-        pii.redaction_leftovers(d, terms, 2)
 
 
 def test_redaction_of_odd_rows(spark):
@@ -265,3 +264,23 @@ def test_no_rows_are_lost_unsaid(spark):
     for fmt, content in (("pptx", slides), ("epub", out.getvalue())):
         d = spark.createDataFrame([(1, bytearray(content))], "doc_id long, source binary")
         assert [r["kind"] for r in parsers.blocks(d, fmt).collect()] == ["error"]
+
+
+def test_large_pages_and_texts_take_linear_time(spark):
+    n = 100_000
+    i = F.col("id")
+    g = spark.range(n).select(
+        F.lit(1).alias("doc_id"), F.lit(1).alias("page_number"), i.cast("int").alias("item_id"), F.lit("w").alias("text"), ((i % 250) * 2.2).alias("x"), (F.floor(i / 250) * 12.0).alias("y"), F.lit(2.0).alias("width"),
+        F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"), F.lit(0.0).alias("rotation"), F.lit(False).alias("bold"), F.lit("ltr").alias("direction"),
+    )
+    p = spark.createDataFrame([(1, 1, 600.0, 5000.0)], "doc_id int, page_number int, width double, height double")
+    began = time.time()
+    lines_found = layout.lines_of(layout.banded(g, p)).select("text").collect()
+    assert len(lines_found) == n // 250 and {r["text"] for r in lines_found} == {"w" * 250}
+    rows = text_lines.baseline_lines(g.withColumn("y", -F.col("y"))).select("text", "n_items").collect()
+    assert len(rows) == n // 250 and {(r["text"], r["n_items"]) for r in rows} == {("w" * 250, 250)}
+    long = spark.createDataFrame([(1, ("word " * n).strip())], "doc_id int, text string")
+    assert lines.paginated(long, 9, 10).count() == n // 2 and lines.paginated(long, 4, 10).count() == n
+    mails = spark.createDataFrame([(1, "a@b.io " * (n // 4))], "doc_id int, text string")
+    assert pii.find_pii(mails, {"email"}).count() == n // 4
+    assert time.time() - began < 120
