@@ -1,20 +1,20 @@
 r"""Toxicity by compression distance.
 
 The windows of a text are its words; each is written as 8-byte digests of its beginnings of 2 to 8
-bytes and of the whole word, so that words of one stem share a beginning. Two zstandard dictionaries
-compress every window: one trained on windows of ordinary text, one trained on windows of toxic
-text. The ordinary one is larger, so that ordinary words which the toxic one holds are in both.
-
-As most of a toxic document is ordinary text, the toxic dictionary is trained again, ROUNDS times,
-on those windows of toxic documents whose pair of lengths (under a dictionary pair that has not seen the document:
-two folds) is NEED times as frequent in toxic as in ordinary text.
-
-The evidence of a window is the logarithm of that ratio for its pair of lengths. A document's
+bytes and of the whole word, so that words of one stem share a beginning (a word's own bytes are too few for
+their compressed length to tell anything). Two zstandard dictionaries compress every window. The ordinary one is made of the
+windows that the most ordinary documents hold. As most of a toxic document is ordinary text, the toxic one is made of
+the windows that are LIFT times as frequent in toxic documents as in ordinary ones, those of the most documents last, where
+they are cheapest to name. Both leave out windows of a single document if there are others.
+
+The evidence of a window is the logarithm of how much more frequent its pair of compressed lengths is in toxic than in
+ordinary documents, counted across FOLDS: each fold's lengths are under dictionaries that have not seen it. A document's
 largest evidence, its sum above ln NEED and its number of words go into a logistic curve, fitted
 across the folds, so that a score of 0.5 is the calibrated threshold.
 
 Training text is cleaned first: documents that largely repeat earlier ones are left out, and
-words in five-word passages that several documents share are not learned from.
+words in five-word passages that several documents share are not learned from. A document counts once for each of its
+windows. The table of evidence takes lengths over LENGTHS and savings beyond half of SAVINGS as those limits.
 
 Defined cases: a null, empty or wordless text has no evidence and score 0; texts of any length are
 read to their end; repeated rows score alike; without training documents
@@ -40,7 +40,7 @@ from .shingles import _COEF, _LOWER, _VALUE, WIDTH, _power, byte_pieces, mix, sh
 SHORTEST, LONGEST = 2, 8
 LEVEL = 5
 ORDINARY_BYTES, TOXIC_BYTES = 112 << 10, 16 << 10
-ROUNDS, NEED = 2, 2.0
+FOLDS, LIFT, NEED = 4, 4.0, 2.0
 #: Lengths and savings that the table of evidence tells apart.
 LENGTHS, SAVINGS = 96, 128
 #: The training sample is at most so many documents of each kind.
@@ -67,7 +67,7 @@ def word_windows(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list
 
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
-    d = zstd.ZstdCompressionDict(content)
+    d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
     return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -154,7 +154,7 @@ def _distinct(texts: list[str]) -> list[str]:
 
 
 def _training_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct windows, and of each word learned from the number of its window and its text."""
+    """The distinct windows, and the (number of a window, text) that are learned from, each once."""
     digests, rows, windows, seen = [], [], [], {}
     for first, raw, offsets in byte_pieces(pa.array(texts, pa.string())):
         d, r, starts, sizes = word_spans(raw, offsets)
@@ -179,18 +179,21 @@ def _training_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarr
         shared = whole & (low[which] != high[which])
         for j in range(WIDTH):
             fresh[j : m + j] &= ~shared
-    return windows, number[fresh], r[fresh]
+    pairs = np.unique(number[fresh] * len(texts) + r[fresh])
+    return windows, pairs // len(texts), pairs % len(texts)
 
 
 def _dictionary(windows: list[bytes], counts: np.ndarray, size: int) -> bytes:
-    """A dictionary trained on each window as often as it occurs."""
-    some = np.flatnonzero(counts)
-    # Training takes the best segments of each stretch of the samples, so like ones must not stand together.
-    samples = [windows[i] for i in np.random.default_rng(0).permutation(np.repeat(some, counts[some]))]
-    try:
-        return zstd.train_dictionary(size, samples, k=32, d=8).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(windows[i] for i in some[np.argsort(counts[some], kind="stable")])[-size:]
+    """The windows with the largest counts, the largest last."""
+    some = np.flatnonzero(counts >= 2)
+    some = some if len(some) else np.flatnonzero(counts)
+    return b"".join(windows[i] for i in some[np.argsort(counts[some], kind="stable")])[-size:]
+
+
+def _dictionaries(windows: list[bytes], usual: np.ndarray, found: np.ndarray, documents: tuple[int, int]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary from how many ordinary and toxic documents hold each window."""
+    more = (found + 0.5) * documents[0] >= LIFT * (usual + 0.5) * documents[1]
+    return _dictionary(windows, usual, ORDINARY_BYTES), _dictionary(windows, np.where(more, found, 0), TOXIC_BYTES)
 
 
 def _evidence(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
@@ -223,31 +226,21 @@ def train(texts: dict[int, list[str]]) -> ToxicityModel | None:
         return None
     documents = toxic + ordinary
     windows, word, row = _training_words(documents)
-    is_toxic, fold = np.arange(len(documents)) < len(toxic), np.arange(len(documents)) % 2
+    is_toxic, fold = np.arange(len(documents)) < len(toxic), np.arange(len(documents)) % FOLDS
     counted = lambda of: np.bincount(word[of[row]], minlength=len(windows))
-    every = np.ones(len(documents), bool)
-    usual = [counted(~is_toxic & (fold == f)) for f in (0, 1)]
-    found = [counted(is_toxic & (fold == f)) for f in (0, 1)]
-    learned = [np.zeros(len(windows), bool) for _ in (0, 1)]
-    base = [_dictionary(windows, usual[f], ORDINARY_BYTES) for f in (0, 1)]
-    unseen = [lengths(compressor(base[1 - f]), windows) for f in (0, 1)]
-    chosen = found
-    for again in range(ROUNDS + 1):
-        toxic_parts = [_dictionary(windows, chosen[f], TOXIC_BYTES) for f in (0, 1)]
-        cell = [cells(unseen[f], lengths(compressor(toxic_parts[1 - f]), windows)) for f in (0, 1)]
-        sums = [sum(np.bincount(cell[f], weights=c[f], minlength=LENGTHS * SAVINGS) for f in (0, 1)) for c in (found, usual)]
-        table = _evidence(*sums)
-        if again == ROUNDS:
-            break
-        learned = [learned[f] | (table[cell[f]] >= np.log(NEED)) for f in (0, 1)]
-        kept = [np.where(learned[f], found[f], 0) for f in (0, 1)]
-        chosen = [kept[f] if kept[f].any() else chosen[f] for f in (0, 1)]
+    usual, found = ([counted(kind & (fold == f)) for f in range(FOLDS)] for kind in (~is_toxic, is_toxic))
+    unseen, cell = [], []
+    for f in range(FOLDS):
+        rest = int((~is_toxic & (fold != f)).sum()), int((is_toxic & (fold != f)).sum())
+        unseen.append(_dictionaries(windows, sum(usual) - usual[f], sum(found) - found[f], rest))
+        cell.append(cells(*(lengths(compressor(d), windows) for d in unseen[f])))
+    table = _evidence(*(sum(np.bincount(cell[f], weights=c[f], minlength=LENGTHS * SAVINGS) for f in range(FOLDS)) for c in (found, usual)))
     features = np.zeros((len(documents), 3))
-    for f in (0, 1):
+    for f in range(FOLDS):
         held = np.flatnonzero(fold == f)
-        features[held] = Evidence(base[1 - f], toxic_parts[1 - f], table).features(pa.array([documents[i] for i in held], pa.string()))
+        features[held] = Evidence(*unseen[f], table).features(pa.array([documents[i] for i in held], pa.string()))
     weights = _logistic(features, is_toxic.astype(float))
-    return ToxicityModel(_dictionary(windows, counted(~is_toxic & every), ORDINARY_BYTES), _dictionary(windows, chosen[0] + chosen[1], TOXIC_BYTES), table, weights)
+    return ToxicityModel(*_dictionaries(windows, sum(usual), sum(found), (len(ordinary), len(toxic))), table, weights)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> ToxicityModel | None:

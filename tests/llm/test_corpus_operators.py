@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import ann, components, labelled, ngram_join, pieces, quality_fm, toxicity
@@ -398,3 +400,15 @@ def test_one_row_of_each_group_stays(spark):
     assert ngram_join.one_of_each(d.where("false")).count() == 0
     got = {(r["doc_id"], r["class_links"]) for r in ngram_join.near_duplicates(d).collect() if r["doc_id"] in (5, 7, 9)}
     assert got == {(5, 1), (7, 1), (9, 1), (9, 0)}
+
+
+@pytest.mark.parametrize(("folder", "least", "most"), [("sf0.1", 0.85, 0.01), ("sf0.01", 0.6, 0.02)])
+def test_toxicity_finds_held_out_documents(spark, folder, least, most):
+    """The figures of the README: the recall and the share of false alarms over the held-out rows."""
+    sf_dir = f"/root/testdata/{folder}"
+    if not Path(sf_dir).exists():
+        pytest.skip("no test tables here")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = toxicity.toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels).join(labels, "doc_id").where("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= least * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= most * (n[0, 0] + n.get((0, 1), 0))
