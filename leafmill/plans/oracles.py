@@ -229,6 +229,34 @@ SELECT doc_id, chunk::BIGINT AS chunk, min(page) AS first, max(page) AS last FRO
 WITH t AS (SELECT DISTINCT conv_id AS doc_id, turn AS page FROM conversations WHERE turn <> 1),
 d AS (SELECT doc_id, page, 0 AS copy FROM t UNION ALL SELECT doc_id, page, 1 FROM t WHERE page = 0)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, copy) - 1)::INT AS out_idx, page AS src_idx, 90 AS rotate_delta FROM d""",
+    "edit_log": """
+WITH RECURSIVE log AS (
+  SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+         ['rotate', 'delete', 'duplicate', 'move', 'undo', 'duplicate', 'redo', 'reset', 'move', 'rotate'][(conv_id * 3 + turn * 7) % 10 + 1] AS command,
+         [(turn % 4)::INT, ((turn + conv_id) % 7)::INT] AS keys, (90 * (turn % 4 + 1))::INT AS delta, (turn % 3)::INT AS source, ((turn + conv_id) % 4)::INT AS target FROM conversations),
+run AS (
+  SELECT conv_id AS doc_id, 0::BIGINT AS k, n, list_transform(range(n), lambda i: {'key': i::INT, 'src': i::INT, 'rot': 0}) AS pages,
+         []::STRUCT("key" INT, src INT, rot INT)[][] AS undo, []::STRUCT("key" INT, src INT, rot INT)[][] AS redo, n AS free
+  FROM (SELECT conv_id, (conv_id % 4 + 3)::INT AS n FROM conversations GROUP BY conv_id)
+  UNION ALL
+  SELECT doc_id, k, n, CASE WHEN back THEN undo[-1] WHEN forth THEN redo[-1] ELSE coalesce(e, pages) END,
+         CASE WHEN back THEN undo[:-2] WHEN forth OR e IS NOT NULL THEN list_append(undo, pages) ELSE undo END,
+         CASE WHEN back THEN list_append(redo, pages) WHEN forth THEN redo[:-2] WHEN e IS NOT NULL THEN [] ELSE redo END,
+         (free + CASE command WHEN 'duplicate' THEN len(chosen) WHEN 'reset' THEN n ELSE 0 END)::INT
+  FROM (
+    SELECT *, CASE command
+      WHEN 'rotate' THEN list_transform(pages, lambda p: {'key': p.key, 'src': p.src, 'rot': CASE WHEN list_contains(keys, p.key) THEN (p.rot + delta) % 360 ELSE p.rot END})
+      WHEN 'delete' THEN list_filter(pages, lambda p: NOT list_contains(keys, p.key))
+      WHEN 'duplicate' THEN flatten(list_transform(pages, lambda p: CASE WHEN list_contains(keys, p.key) THEN [p, {'key': (free + list_position(chosen, p.key) - 1)::INT, 'src': p.src, 'rot': p.rot}] ELSE [p] END))
+      WHEN 'move' THEN CASE WHEN source < len(pages) AND target < len(pages) THEN list_insert_at END
+      WHEN 'reset' THEN list_transform(range(n), lambda i: {'key': (free + i)::INT, 'src': i::INT, 'rot': 0}) END AS e
+    FROM (
+      SELECT r.doc_id, l.k, n, pages, undo, redo, free, command, keys, delta, source, target, command = 'undo' AND len(undo) > 0 AS back, command = 'redo' AND len(redo) > 0 AS forth,
+             list_transform(list_filter(pages, lambda p: list_contains(keys, p.key)), lambda p: p.key) AS chosen,
+             (pages[:source] || pages[source + 2:])[:target] || pages[source + 1 : source + 1] || (pages[:source] || pages[source + 2:])[target + 1:] AS list_insert_at
+      FROM run r JOIN log l ON l.doc_id = r.doc_id AND l.k = r.k + 1))),
+last AS (SELECT doc_id, arg_max(pages, k) AS pages FROM run GROUP BY doc_id)
+SELECT doc_id, (i - 1)::INT AS out_idx, pages[i].src AS src_idx, pages[i].rot AS rotate_delta, pages[i].key AS "key" FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM last)""",
     "segment_names": f"""
 SELECT conv_id, i::INT AS segment, 'conv.' || conv_id || CASE WHEN i * 3 + 1 = least(i * 3 + 3, n) THEN '-page-' || (i * 3 + 1) ELSE '-pages-' || (i * 3 + 1) || '-' || least(i * 3 + 3, n) END || '.pdf' AS name
 FROM (SELECT conv_id, n, unnest(range(0, (n + 2) // 3)) AS i FROM {_TURNS})""",

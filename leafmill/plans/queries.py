@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import events, layout, lines, lookups, pages, pii, scoring, text_lines
+from ..operators import edits, events, layout, lines, lookups, pages, pii, scoring, text_lines
 from ..sources import parsers, writers
 from ..sources.tables import read_table as table
 
@@ -326,6 +326,18 @@ def edited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.edited(pages.rotated(t, 90), at(1), at(0)).select("doc_id", "out_idx", "src_idx", "rotate_delta")
 
 
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a document for each conversation after a log of edits, a command for each turn."""
+    i, t = F.col("conv_id"), F.col("turn")
+    commands = F.array(*[F.lit(c) for c in ("rotate", "delete", "duplicate", "move", "undo", "duplicate", "redo", "reset", "move", "rotate")])
+    log = table(spark, sf_dir, "conversations").select(
+        i.alias("doc_id"), t.cast("int").alias("seq"), F.element_at(commands, ((i * 3 + t * 7) % 10 + 1).cast("int")).alias("command"), F.array((t % 4).cast("int"), ((t + i) % 7).cast("int")).alias("keys"),
+        (90 * (t % 4 + 1)).cast("int").alias("delta"), (t % 3).cast("int").alias("source"), ((t + i) % 4).cast("int").alias("target"),
+    )
+    counts = log.select("doc_id").distinct().withColumn("page_count", F.col("doc_id") % 4 + 3)
+    return edits.edited_pages(log, counts)
+
+
 def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names for segments of three turns of each conversation."""
     s = every_n_segments(spark, sf_dir)
@@ -421,7 +433,7 @@ QUERIES = {
         formatted_sizes, output_names, every_n_segments, turn_runs, page_labels, page_ranges, arranged_pages, merged_pages, ocr_gate, privacy_scores, preflight_classes,
         target_profiles, best_attempts, event_allowlist, recent_history, recent_by_user, catalog_search, repeated_lines, text_blocks, text_ebooks, transcript_runs, paginated_lines,
         html_titles, html_links, html_blocks, csv_blocks, markdown_blocks, layout_lines, layout_blocks, layout_tables, rectangles, event_windows,
-        baseline_lines, layout_plain, match_rectangles, page_chunks, edited_pages, segment_names, column_names, error_codes, placements, header_zones, workbook_rows, package_blocks,
+        baseline_lines, layout_plain, match_rectangles, page_chunks, edited_pages, edit_log, segment_names, column_names, error_codes, placements, header_zones, workbook_rows, package_blocks,
         items_recognised, unread_regions, pii_in_order, flags_in_order, recorded_history,
     )
 }

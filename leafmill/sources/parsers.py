@@ -704,12 +704,16 @@ def resolve_path(path: str) -> str:
     return "/".join(parts)
 
 
+#: The bytes that Windows-1252 gives no character.
+FREE_BYTES = frozenset((0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def decode_text(content: bytes) -> tuple[str, bool]:
-    """(text, strict): UTF-8, or Windows-1252 where that fails."""
+    """(text, strict): UTF-8, or Windows-1252 where that fails; as on the web, its five free bytes are control characters."""
     try:
         return content.decode("utf-8").removeprefix("﻿"), True
     except UnicodeDecodeError:
-        return content.decode("cp1252", "replace"), False
+        return "".join(chr(b) if b in FREE_BYTES else bytes([b]).decode("cp1252") for b in content), False
 
 
 PARSERS: dict[str, Callable] = {
@@ -754,23 +758,31 @@ def html_links_of(source: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _guarded(read: Callable, source: str, instead: object) -> object:
+    """What ``read`` makes of a source, or ``instead``: a page that its parser fails on concerns that page only."""
+    try:
+        return read(source)
+    except Exception:
+        return instead
+
+
 def html_titles(pages: DataFrame) -> DataFrame:
-    """page_id, title: the first title element, single-spaced; empty if there is none."""
+    """page_id, title: the first title element, single-spaced; empty if there is none or the page cannot be parsed."""
 
     def titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            first = lambda s: next(html_tree(s).found("title"), None)
-            yield pd.DataFrame({"page_id": b["page_id"], "title": [single_spaced(t.text()) if (t := first(s)) else "" for s in b["html"]]})
+            first = lambda s: next((single_spaced(t.text()) for t in html_tree(s).found("title")), "")
+            yield pd.DataFrame({"page_id": b["page_id"], "title": [_guarded(first, s, "") for s in b["html"]]})
 
     return pages.where("html is not null").select("page_id", "html").mapInPandas(titles, "page_id long, title string")
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """page_id, n, href, safe: all links in order; http, https and mailto ones are safe to keep."""
+    """page_id, n, href, safe: all links in order, none of a page that cannot be parsed; http, https and mailto ones are safe to keep."""
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, n, href, safe) for k, s in zip(b["page_id"], b["html"], strict=True) for n, (href, safe) in enumerate(html_links_of(s))]
+            out = [(k, n, href, safe) for k, s in zip(b["page_id"], b["html"], strict=True) for n, (href, safe) in enumerate(_guarded(html_links_of, s, []))]
             yield pd.DataFrame(out, columns=["page_id", "n", "href", "safe"])
 
     return pages.where("html is not null").select("page_id", "html").mapInPandas(links, "page_id long, n int, href string, safe boolean")

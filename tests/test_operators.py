@@ -284,3 +284,10 @@ def test_large_pages_and_texts_take_linear_time(spark):
     mails = spark.createDataFrame([(1, "a@b.io " * (n // 4))], "doc_id int, text string")
     assert pii.find_pii(mails, {"email"}).count() == n // 4
     assert time.time() - began < 120
+
+
+def test_a_page_that_cannot_be_parsed_concerns_itself_only(spark):
+    p = spark.createDataFrame([(1, "<![foo[x"), (2, '<title>T</title><a href="http://a.example">x</a>'), (3, None)], "page_id long, html string")
+    assert {r["page_id"]: r["title"] for r in parsers.html_titles(p).collect()} == {1: "", 2: "T"}
+    assert [(r["page_id"], r["href"]) for r in parsers.html_links(p).collect()] == [(2, "http://a.example")]
+    assert parsers.decode_text(b"a\x81\x9d\x80\xff") == ("a\x81\x9d€ÿ", False)
