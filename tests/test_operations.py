@@ -100,10 +100,10 @@ def test_guards_end_a_job_before_it_writes(spark, tmp_path):
     redact = O.Operation("redaction-plan", lambda x, regions, rasters: G.redaction_plan(x, regions, rasters), ("doc_id",))
     O.OPERATIONS[redact.name] = redact
     three = d.unionByName(spark.createDataFrame([(3,)], "doc_id long"))
-    for docs_, r, why in ((d, rasters.where("page_number = 1"), "INVALID_INPUT: page 2 is missing its rendered image"), (three, rasters, "INVALID_INPUT: mark at least one area to redact")):
+    for k, (docs_, r, why) in enumerate(((d, rasters.where("page_number = 1"), "INVALID_INPUT: page 2 is missing its rendered image"), (three, rasters, "INVALID_INPUT: mark at least one area to redact"))):
         with pytest.raises(O.OperationError) as e:
-            O.run_operation(redact.name, docs_, str(tmp_path / "guarded"), {"regions": regions, "rasters": r})
-        assert str(e.value) == why and not list(tmp_path.glob("guarded/part-*"))
+            O.run_operation(redact.name, docs_, str(tmp_path / f"guarded{k}"), {"regions": regions, "rasters": r})
+        assert str(e.value) == why and not list(tmp_path.glob("guarded*/part-*"))
     del O.OPERATIONS[redact.name]
     n = spark.createDataFrame([(3,), (0,)], "n int")
     assert n.where("n = 3").select(G.page_count(F.col("n"))).first()[0] == 3
