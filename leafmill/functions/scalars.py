@@ -148,11 +148,11 @@ def compact_pages(pages: Column, shown: int = 8) -> Column:
 
 
 def audio_timestamp(seconds: Column) -> Column:
-    """m:ss, or h:mm:ss from an hour on; never negative."""
+    """mm:ss, or hh:mm:ss from an hour on; never negative."""
     s = F.greatest(F.floor(F.coalesce(seconds, F.lit(0))), F.lit(0)).cast("long")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(r))).otherwise(F.concat_ws(":", two(m), two(r)))
+    return F.when(h > 0, F.concat_ws(":", F.when(h < 10, two(h)).otherwise(h.cast("string")), two(m), two(r))).otherwise(F.concat_ws(":", two(m), two(r)))
 
 
 def excel_date(serial: Column) -> Column:

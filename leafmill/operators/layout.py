@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import written
-from ..functions.scalars import normalize_margin, strip_space
+from ..functions.scalars import escape_xml, normalize_margin, strip_space
 
 KEY = ["doc_id", "page_number"]
 CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
@@ -131,7 +131,8 @@ def reading_order(lines: DataFrame, columns: bool = True) -> DataFrame:
 
 def tables_of(lines: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """Table candidates: islands of at least three near bands of 2 to 12 segments, with a
-    confidence from alignment, consistency, density, bold first row and numeric cells."""
+    confidence from alignment, consistency, density, bold first row and numeric cells; ``reasons`` tells
+    these in words."""
     limit = threshold(confidence)
     # Every window's key begins with the page, so all of them follow the one shuffle by page.
     page, band = Window.partitionBy(*KEY), Window.partitionBy(*KEY, "band")
@@ -161,10 +162,15 @@ def tables_of(lines: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     alignment = 1 - F.least(F.lit(1.0), F.col("deviation") / F.greatest(F.lit(6.0), F.col("font") * 1.5))
     score = alignment * 0.4 + F.col("n_aligned") / F.col("n_rows") * 0.2 + F.least(F.lit(1.0), F.col("n_rows") / 5) * 0.04
     score = score + F.col("bold_first") / F.col("first_cells") * 0.2 + F.col("numeric") / F.col("n_cells") * 0.16
+    percent = lambda part, said: F.concat(F.floor(part * 100 + 0.5).cast("string"), F.lit(f"% {said}"))
+    reasons = F.array(
+        percent(alignment, "of the cells' beginnings aligned"), percent(F.col("n_aligned") / F.col("n_rows"), "of the rows with the usual number of cells"), F.concat(F.col("n_rows").cast("string"), F.lit(" rows")),
+        F.when(F.col("bold_first") / F.col("first_cells") >= 0.5, "bold first row").otherwise("first row not bold"), percent(F.col("numeric") / F.col("n_cells"), "of the cells numeric"), F.lit("by text alone, without ruling lines"),
+    )
     rows = F.transform(F.sequence(F.lit(1), F.col("n_rows").cast("int")), lambda r: F.transform(F.filter("cells", lambda c: c["row"] == r), lambda c: c["text"]))
     out = g.select(
         *KEY, "number", F.concat(F.lit("table-p"), "page_number", F.lit("-"), "number").alias("table_id"), "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"),
-        rows.alias("rows"), F.transform("edges", lambda e: e["edge"]).alias("column_boundaries"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"),
+        rows.alias("rows"), F.transform("edges", lambda e: e["edge"]).alias("column_boundaries"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"), reasons.alias("reasons"),
     )
     return out.where(F.col("confidence") >= limit * KEPT_PART)
 
@@ -295,6 +301,26 @@ def html(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return g.select("doc_id", F.array_join(F.transform("l", lambda x: F.coalesce(x["t"], F.lit(""))), "\n").alias("html"))
 
 
+def positioned_html(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, html: every page as a section of its size in points, its lines as spans at their places.
+
+    Lines (doc_id, page_number, ord, text, x, y, font_size, bold, rotation, direction) stand in reading order; pages
+    (doc_id, page_number, width, height) without lines are empty sections."""
+    two = lambda c: F.regexp_replace(F.format_string("%.2f", F.coalesce(c, F.lit(0.0)).cast("double")), r"\.?0+$", "")
+    style = F.concat(
+        F.lit("left:"), two(F.col("x")), F.lit("pt;top:"), two(F.col("y")), F.lit("pt;font-size:"), two(F.col("font_size")), F.lit("pt"), F.when(F.col("bold"), ";font-weight:700").otherwise(""),
+        F.when(F.col("rotation") != 0, F.concat(F.lit(";transform:rotate("), two(F.col("rotation")), F.lit("deg)"))).otherwise(""),
+    )
+    span = F.concat(F.lit('<span dir="'), "direction", F.lit('" style="'), style, F.lit('">'), escape_xml(F.col("text")), F.lit("</span>"))
+    by_page = lines.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ord", span.alias("t")))).alias("l"))
+    p = pages.select(*KEY, "width", "height").join(by_page, KEY, "left")
+    inside = F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), ""), F.lit(""))
+    section = F.concat(F.lit('<section class="page" aria-label="Page '), F.col("page_number").cast("string"), F.lit('" style="width:'), two(F.col("width")), F.lit("pt;height:"), two(F.col("height")), F.lit('pt">'), inside, F.lit("</section>"))
+    d = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", section.alias("t")))).alias("p"))
+    sheet = "<style>.page{position:relative;overflow:hidden}.page span{position:absolute;white-space:pre}</style>"
+    return d.select("doc_id", F.concat(F.lit(f"{sheet}<main>"), F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("</main>")).alias("html"))
+
+
 def synthetic_glyphs(docs: DataFrame, words_a_line: int = 8, lines_a_page: int = 40) -> tuple[DataFrame, DataFrame]:
     """Glyph runs and pages set from plain text: one run per word on a fixed grid, for texts without geometry."""
     w = docs.where("text is not null").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("i", "text"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.guards import required
 from ..functions.scalars import BLANK, normalize_margin, strip_space
 
 LIST_ITEM = r"^\s*(?:([0-9]+)[.)]|([•●▪◦*-]))\s+(.+)$"
-STAMP = r"^\[((?:[0-9]+:)?[0-9]{1,2}:[0-9]{2})\]\s*"
+STAMP = r"^\s*\[((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}(?:\.[0-9]{1,3})?)\]\s*"
+#: Fixed value: the color of a time stamp.
+STAMP_COLOR = (0.12, 0.32, 0.58)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -64,33 +69,46 @@ def text_ebook(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("block", "text"))
 
 
-def transcript(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, line, stamp, text: a leading [h:mm:ss] of a line becomes its stamp."""
-    clean = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
-    parts = F.filter(F.transform(F.split(clean, "\n{2,}"), lambda x: strip_space(x)), lambda p: p != "")
+def transcript(docs: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """doc_id, paragraph, line, stamp, text, runs: a leading time stamp of a line becomes its stamp and a bold run.
+
+    With ``most_chars``, a longer text ends the job with the code MEMORY_LIMIT."""
+    text = F.regexp_replace("text", "\r\n?", "\n")
+    if most_chars is not None:
+        text = required(text, F.length("text") <= most_chars, "MEMORY_LIMIT", f"a transcript has {most_chars} characters at most")
+    parts = F.filter(F.split(text, "\n{2,}"), lambda p: strip_space(p) != "")
     p = docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("paragraph", "_p"))
     p = p.select("doc_id", "paragraph", F.posexplode(F.split("_p", "\n")).alias("line", "_l"))
-    stamp = F.regexp_extract("_l", STAMP, 1)
-    return p.select("doc_id", "paragraph", "line", F.when(stamp != "", stamp).alias("stamp"), F.regexp_replace("_l", STAMP, "").alias("text"))
+    p = p.select("doc_id", "paragraph", "line", F.nullif(F.regexp_extract("_l", STAMP, 1), F.lit("")).alias("stamp"), F.regexp_replace("_l", STAMP, "").alias("text"))
+    run = lambda t, marked: F.struct(t.alias("text"), F.lit(marked).alias("bold"), F.lit(marked).alias("code"), (F.array(*[F.lit(c) for c in STAMP_COLOR]) if marked else F.lit(None).cast("array<double>")).alias("color"))
+    said = run(F.col("text"), False)
+    return p.withColumn("runs", F.when(F.col("stamp").isNull(), F.array(said)).otherwise(F.array(run(F.concat(F.lit("["), "stamp", F.lit("] ")), True), said)))
+
+
+def width_in(widths: dict[str, float], usual: float) -> Callable[[Column], Column]:
+    """The width of a word by those of its characters, ``usual`` for the ones that are not named."""
+    known = F.create_map(*[F.lit(x) for c, w in widths.items() for x in (c, float(w))]) if widths else F.create_map().cast("map<string,double>")
+    return lambda word: F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(known, c), F.lit(float(usual))))
 
 
-def wrapped(text: Column, most: int) -> Column:
-    """array<string>: every line of the text filled greedily with words up to ``most`` characters.
+def wrapped(text: Column, most: float, width: Callable[[Column], Column] = F.length, space: float = 1) -> Column:
+    """array<string>: every line of the text filled greedily with words up to ``most`` characters, or up to a width
+    with the ``width`` of a word and that of a ``space``.
 
     A blank line stays one blank line; a longer word has a line of its own."""
 
     def fill(line: Column) -> Column:
         # The fold keeps the length of the line so far and a mark for each word, as its state is copied at every step.
-        zero = F.struct(F.lit(0).alias("now"), F.lit("").alias("marks"))
+        zero = F.struct(F.lit(0.0).alias("now"), F.lit("").alias("marks"))
 
         def step(a: Column, w: Column) -> Column:
-            empty, full = a["now"] == 0, a["now"] + 1 + F.length(w) > most
+            empty, full = a["now"] == 0, a["now"] + space + w > most
             mark = F.when(empty, "e").when(full, "n").otherwise("s")
-            now = F.when(empty | full, F.length(w)).otherwise(a["now"] + 1 + F.length(w))
+            now = F.when(empty | full, w).otherwise(a["now"] + space + w)
             return F.struct(now.alias("now"), F.concat(a["marks"], mark).alias("marks"))
 
         def filled(words: Column) -> Column:
-            marks = F.split(F.aggregate(words, zero, step)["marks"], "")
+            marks = F.split(F.aggregate(F.transform(words, lambda w: width(w).cast("double")), zero, step)["marks"], "")
             parted = F.transform(F.arrays_zip(words.alias("w"), marks.alias("m")), lambda z: F.concat(F.when(z["m"] == "n", "\n").when(z["m"] == "s", " ").otherwise(""), z["w"]))
             return F.split(F.array_join(parted, ""), "\n")
 

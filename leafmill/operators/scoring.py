@@ -30,6 +30,24 @@ def findings(features: DataFrame) -> DataFrame:
     return features.select("doc_id", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
 
 
+#: The kinds of objects that are counted, not only seen.
+COUNTED = {"n_annotations": "annotation", "n_links": "link"}
+
+
+def features_of(objects: DataFrame) -> DataFrame:
+    """The features of ``findings`` counted from a document's objects (doc_id, kind, action).
+
+    A kind is one of WEIGHTS, ``annotation`` or ``link``; an annotation whose action opens an address is a link too, and an object
+    of any kind whose action runs a script is a finding of JavaScript. Unknown kinds count nowhere."""
+    action = F.lower(F.coalesce("action", F.lit("")))
+    o = objects.select("doc_id", "kind", (action == "uri").alias("_opens"), (action == "javascript").alias("_runs"))
+    seen = lambda test: F.coalesce(F.max(test), F.lit(False))
+    flags = [seen((F.col("kind") == k) | (F.col("_runs") if k == "javascript" else F.lit(False))).alias(k) for k in WEIGHTS]
+    link = (F.col("kind") == COUNTED["n_links"]) | ((F.col("kind") == COUNTED["n_annotations"]) & F.col("_opens"))
+    counts = [F.count_if(F.col("kind") == COUNTED["n_annotations"]).alias("n_annotations"), F.count_if(link).alias("n_links")]
+    return o.groupBy("doc_id").agg(*flags, *counts)
+
+
 def privacy_scores(features: DataFrame) -> DataFrame:
     """doc_id, n_findings, score = max(0, 100 - sum of weights)."""
     f = findings(features).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))

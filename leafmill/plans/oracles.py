@@ -196,8 +196,8 @@ b AS (SELECT doc_id, island, kind, count(*)::INT AS n_lines, CASE WHEN kind = 'p
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1)::INT AS block, CASE WHEN kind = 'paragraph' THEN 'paragraph' ELSE 'list' END AS kind, kind = 'ordered' AS ordered, n_lines, text FROM b""",
     "transcript_runs": r"""
 SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS paragraph, 0 AS line,
-       CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS stamp,
-       length(trim(role || ': ' || replace(text, chr(10), ' ')))::INT AS n_chars
+       CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS stamp,
+       length(role || ': ' || replace(text, chr(10), ' '))::INT AS n_chars
 FROM (SELECT *, turn * 1000 AS s FROM conversations)""",
     "rectangles": """
 WITH r AS (SELECT o_orderkey, (o_orderkey % 700 - 50)::DOUBLE AS x, (o_orderkey % 900 - 50)::DOUBLE AS y, (o_orderkey % 130 + 1)::DOUBLE AS w, (o_orderkey % 170 + 1)::DOUBLE AS h FROM orders),

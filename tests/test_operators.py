@@ -291,3 +291,40 @@ def test_a_page_that_cannot_be_parsed_concerns_itself_only(spark):
     assert {r["page_id"]: r["title"] for r in parsers.html_titles(p).collect()} == {1: "", 2: "T"}
     assert [(r["page_id"], r["href"]) for r in parsers.html_links(p).collect()] == [(2, "http://a.example")]
     assert parsers.decode_text(b"a\x81\x9d\x80\xff") == ("a\x81\x9d€ÿ", False)
+
+
+def test_transcripts_have_bold_stamps_and_a_guard(spark):
+    d = docs(spark, " [01:02.5] a\rb\n\n \n\n[123:00] c")
+    got = lines.transcript(d).orderBy("paragraph", "line").collect()
+    assert [(r["paragraph"], r["stamp"], r["text"], [(x["text"], x["bold"]) for x in r["runs"]]) for r in got] == [
+        (0, "01:02.5", "a", [("[01:02.5] ", True), ("a", False)]), (0, None, "b", [("b", False)]), (1, None, "[123:00] c", [("[123:00] c", False)]),
+    ]
+    assert lines.transcript(d, 40).count() == 3
+    with pytest.raises(Exception, match="MEMORY_LIMIT"):
+        lines.transcript(d, 5).collect()
+
+
+def test_lines_by_measured_width(spark):
+    narrow = lines.width_in({"i": 1, "m": 3}, 2)
+    got = docs(spark, "mm iiii mm\n\nmmmmmm i").select(lines.wrapped(F.col("text"), 11, narrow, 1).alias("l")).first()["l"]
+    assert got == ["mm iiii", "mm", "", "mmmmmm", "i"]
+
+
+def test_table_reasons_and_positioned_html(spark):
+    glyph = lambda i, t, x, y, b=False: (1, 1, i, t, float(x), float(y), 5.0 * len(t), 10.0, 10.0, 0.0, b, "ltr")
+    rows = [glyph(10 * r + c, f"{r}{c}" if c else "a<b", 45 + 155 * c, 95 + 24 * r, r == 0) for r in range(4) for c in range(3)]
+    g = spark.createDataFrame(rows, "doc_id int, page_number int, item_id int, text string, x double, y double, width double, height double, font_size double, rotation double, bold boolean, direction string")
+    p = spark.createDataFrame([(1, 1, 600.0, 800.5), (1, 2, 10.0, 20.0)], "doc_id int, page_number int, width double, height double")
+    l = layout.lines_of(layout.banded(g, p))
+    (t,) = layout.tables_of(l).collect()
+    assert t["reasons"][:4] == ["100% of the cells' beginnings aligned", "100% of the rows with the usual number of cells", "4 rows", "bold first row"] and t["reasons"][4].startswith("67%")
+    page = layout.positioned_html(layout.reading_order(l), p).first()["html"]
+    assert page.count("<span") == 12 and 'style="left:45pt;top:95pt;font-size:10pt;font-weight:700">a&lt;b</span>' in page and 'aria-label="Page 2" style="width:10pt;height:20pt"></section>' in page and "height:800.5pt" in page
+
+
+def test_findings_are_counted_from_objects(spark):
+    o = [(1, "annotation", None), (1, "annotation", "URI"), (1, "link", None), (1, "xmp", None), (2, "annotation", "JavaScript"), (3, "unknown", None)]
+    f = scoring.features_of(spark.createDataFrame(o, "doc_id int, kind string, action string"))
+    got = {r["doc_id"]: (r["n_annotations"], r["n_links"], r["xmp"], r["javascript"]) for r in f.collect()}
+    assert got == {1: (2, 2, True, False), 2: (1, 0, False, True), 3: (0, 0, False, False)}
+    assert {r["doc_id"]: (r["n_findings"], r["score"]) for r in scoring.privacy_scores(f).collect()} == {1: (3, 100 - 10 - 8 - 2), 2: (2, 100 - 15 - 7), 3: (0, 100)}

@@ -45,7 +45,7 @@ def test_names(spark):
 
 
 def test_audio_and_dates(spark):
-    assert many(spark, S.audio_timestamp, [0, 65, 3600, -4], "int") == ["00:00", "01:05", "1:00:00", "00:00"]
+    assert many(spark, S.audio_timestamp, [0, 65, 3600, -4], "int") == ["00:00", "01:05", "01:00:00", "00:00"]
     assert str(one(spark, S.excel_date(F.lit(45000.5)))) == "2023-03-15 12:00:00"
     assert many(spark, S.column_index, ["A1", "Z9", "AA3", "AB12"]) == [0, 25, 26, 27]
 
