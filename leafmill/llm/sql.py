@@ -61,10 +61,10 @@ FROM marked GROUP BY conv_id
 OP8 = r"""
 WITH clean AS (
   SELECT page_id, regexp_replace(regexp_replace(lower(url), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\n\r]', '', 'g') AS u FROM pages),
-places AS (SELECT page_id, string_split(regexp_extract(u, '^[a-z][a-z0-9+.\-]*:[/\\]{2}([^/?#\\]*)', 1), '@')[-1] AS place FROM clean),
+places AS (SELECT page_id, string_split(regexp_extract(u, '^(?:(?:https?|wss?|ftp):[/\\]*|[a-z][a-z0-9+.\-]*:[/\\]{2})([^/?#\\]*)', 1), '@')[-1] AS place FROM clean),
 captures AS (
   SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INTEGER AS fetched,
-         nullif(rtrim(CASE WHEN place[1] = '[' THEN split_part(place, ']', 1) || ']' ELSE split_part(place, ':', 1) END, '.'), '') AS host
+         nullif(rtrim(CASE WHEN place[1] = '[' THEN split_part(place, ']', 1) || ']' ELSE translate(split_part(place, ':', 1), '。．｡', '...') END, '.'), '') AS host
   FROM places),
 hosts AS (
   SELECT DISTINCT host, CASE WHEN host[1] = '[' OR regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') THEN [host] ELSE string_split(host, '.') END AS labels

@@ -18,19 +18,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The scheme and the authority of a URL; what a browser strips from one: white space and controls at the ends, tabs and line ends anywhere.
-AUTHORITY = r"^[a-z][a-z0-9+.\-]*:[/\\]{2}([^/?#\\]*)"
+#: The scheme and the authority of a URL: schemes of the web take any number of slashes, others two. What a browser
+#: strips: white space and controls at the ends, tabs and line ends anywhere. Characters that it reads as dots.
+AUTHORITY = r"^(?:(?:https?|wss?|ftp):[/\\]*|[a-z][a-z0-9+.\-]*:[/\\]{2})([^/?#\\]*)"
 ENDS, ANYWHERE = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[\t\n\r]"
+DOTS = "\u3002\uff0e\uff61"
+NUMBER = r"(?:0x[0-9a-f]{0,8}|[0-9]{1,11})"
+
+
+def _address(host: Column) -> Column:
+    """An address whose one to four parts are decimal, octal or hexadecimal numbers, as four decimal ones; null if it is none."""
+
+    def value(part: Column) -> Column:
+        digits = F.when(part.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substr(part, F.lit(3))), 16, 10)).when(part.rlike("^0[0-7]*$"), F.conv(part, 8, 10)).when(part.rlike("^[1-9][0-9]*$"), part)
+        return digits.cast("long")
+
+    def dotted(v: Column) -> Column:
+        n = F.size(v)
+        last = F.element_at(v, -1)
+        fits = F.forall(F.slice(v, F.lit(1), n - 1), lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - n))
+        byte = lambda k: F.when(F.lit(k) < n - 1, F.get(v, F.lit(k))).otherwise(F.floor(last / F.lit(256 ** (3 - k))) % 256).cast("long").cast("string")
+        return F.when(fits, F.concat_ws(".", *[byte(k) for k in range(4)]))
+
+    return F.when(host.rlike(rf"^{NUMBER}(?:\.{NUMBER}){{0,3}}$"), F.get(F.transform(F.array(F.transform(F.split(host, r"\."), value)), dotted), F.lit(0)))
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of a URL without user, port and final dot, or null.
+    """The lower-cased host of a URL as a browser reads it, without user, port and final dots, or null.
 
-    A user part ends at the last @; a backslash ends the host like a slash."""
+    A user part ends at the last @; a backslash ends the host like a slash; escapes are read, wide dots are dots, and
+    numbers that are an address are written as one."""
     clean = F.regexp_replace(F.regexp_replace(F.lower(url), ENDS, ""), ANYWHERE, "")
     place = F.substring_index(F.regexp_extract(clean, AUTHORITY, 1), "@", -1)
-    host = F.when(place.startswith("["), F.regexp_extract(place, r"^(\[[^\]]*\])", 1)).otherwise(F.substring_index(place, ":", 1))
-    return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
+    name = F.substring_index(place, ":", 1)
+    read = F.when(name.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name))).otherwise(name)
+    plain = F.regexp_replace(F.translate(read, DOTS, "..."), r"\.+$", "")
+    host = F.when(place.startswith("["), F.regexp_extract(place, r"^(\[[^\]]*\])", 1)).otherwise(F.coalesce(_address(plain), plain))
+    return F.nullif(host, F.lit(""))
 
 
 def domains_of(host: Column) -> Column:

@@ -203,10 +203,14 @@ def test_url_filter(spark):
     assert sorted(got, key=str) == sorted([(1, "a.x.com", "allow", True), (2, "a.x.com", "block", False), (3, "x.com", "block", False), none(4), none(5), none(6), none(7), none(8), none(8), none(9)], key=str)
     odd = {
         "http://u@v@evil.com/x": "evil.com", " \x01http://evil.com": "evil.com", "ht\ntp://e\tvil.com/": "evil.com", "http:\\\\evil.com\\@good.com": "evil.com", "HTTP://Evil.com.:80?@x": "evil.com",
-        "http://[2001:db8::1]:80/": "[2001:db8::1]", "http://1.2.3.4:8/": "1.2.3.4", "mailto:a@b.c": None, "http:///x": None, "": None,
+        "http://[2001:db8::1]:80/": "[2001:db8::1]", "http://1.2.3.4:8/": "1.2.3.4", "mailto:a@b.c": None, "ftp://": None, "": None,
+        "http:///evil.com/": "evil.com", "http:/evil.com/": "evil.com", "http:evil.com": "evil.com", "http://ev%69l.com/": "evil.com", "http://evil.com../": "evil.com", "http://evil\u3002com": "evil.com",
+        "http://0x01020304/": "1.2.3.4", "http://1.2.772": "1.2.3.4", "http://01.0x2.3.4": "1.2.3.4", "http://16909060/": "1.2.3.4", "other:/evil": None,
     }
     hosts = spark.createDataFrame([(u,) for u in odd], "u string").select("u", url_filter.host_of(F.col("u")).alias("h"), url_filter.domains_of(url_filter.host_of(F.col("u"))).alias("d")).collect()
     assert {r["u"]: r["h"] for r in hosts} == odd
     assert {tuple(r["d"]) for r in hosts if r["h"] and r["h"] != "evil.com"} == {("[2001:db8::1]",), ("1.2.3.4",)}
+    left = {"http://a%zz.b/": "a%zz.b", "http://256.1.1.1": "256.1.1.1", "http://1.2.3.4.5": "1.2.3.4.5", "http://4294967296": "4294967296"}
+    assert {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in left], "u string").select("u", url_filter.host_of(F.col("u")).alias("h")).collect()} == left
     assert url_filter.judged(c, e.where("false")).where("verdict <> 'none'").count() == 0
     assert url_filter.judged(c.where("false"), e).count() == 0
