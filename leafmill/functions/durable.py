@@ -57,10 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more: call it only when all that was
     made of them is written itself."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        deleted(t.sparkSession, t._written_to)

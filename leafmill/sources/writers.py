@@ -189,7 +189,8 @@ def _packages(rows: DataFrame, order: list[str], write: Callable[[list[dict]], b
             content, error = write(entries), None
         except Exception as e:  # what one document does to its writer concerns that document only
             content, error = None, f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"doc_id": [str(key[0])], "name": [f"{key[0]}.{extension}"], "content": [content], "error": [error]})
+        named = None if pd.isna(key[0]) else str(key[0])
+        return pd.DataFrame({"doc_id": pd.Series([named], dtype=object), "name": [f"{named or 'document'}.{extension}"], "content": [content], "error": pd.Series([error], dtype=object)})
 
     return rows.groupBy("doc_id").applyInPandas(one, PACKAGES)
 

@@ -212,3 +212,8 @@ def test_lookups(spark):
     h = make([(k, k) for k in range(60)], "event_id int, ts int")
     new = events.recorded(h, make([(59, 100), (60, 101)], "event_id int, ts int"))
     assert new.count() == 50 and new.where("event_id = 59").first()["ts"] == 100 and events.deleted(new, [60]).count() == 49 and events.deleted(new).count() == 0
+
+
+def test_a_package_without_a_key_keeps_none(spark):
+    files = spark.createDataFrame([(None, "a.txt", bytearray(b"x")), ("None", "b.txt", bytearray(b"y"))], "doc_id string, name string, content binary")
+    assert sorted(((r["doc_id"], r["name"]) for r in writers.zip_packages(files).collect()), key=str) == [("None", "None.zip"), (None, "document.zip")]
