@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import SHUFFLE_CLEANUP, dropped, session_conf, shared_folder, written
+from ..functions.durable import SHUFFLE_CLEANUP, deleted, dropped, session_conf, shared_folder, written
 from .ngram_join import small_batches
 
 LEAST = 1000
@@ -260,6 +260,5 @@ def archived_captures(pages: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/leafmill-archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
     runs = written(capture_runs(spark, path), "capture-runs")
-    pages._written_to = path
-    dropped(pages)
+    deleted(spark, path)
     return merged_captures(runs)
