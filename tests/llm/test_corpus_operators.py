@@ -129,32 +129,59 @@ def test_nearest_against_brute_force(spark):
 
 
 def test_radius_is_complete():
+    """Every code within the pigeonhole radius is retrieved, each pair at one substring and in one part only."""
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 1 << 16, (400, ann.SUBSTRINGS), dtype=np.uint16)
     queries = rows[:20].copy()
     for i in range(20):
-        for b in rng.choice(ann.SUBSTRINGS * ann.BITS, 40 * i, replace=False):
+        for b in rng.choice(ann.SUBSTRINGS * ann.BITS, 10 * i, replace=False):
             queries[i, b // ann.BITS] ^= np.uint16(1 << (b % ann.BITS))
-    for flips in (0, 1, 2):
-        found, read = ann.Postings(rows).near(queries, flips)
-        radius = ann.SUBSTRINGS * (flips + 1) - 1
-        near = np.array([ann.code_distance(np.repeat(q[None], len(rows), 0), rows) <= radius for q in queries])
-        assert near.any() and found[near].all() and read >= found.sum()
-        plain = np.array([[(np.bitwise_count(q ^ r) <= flips).any() for r in rows] for q in queries])
-        assert np.array_equal(found, plain)
-    assert ann.Postings(rows).near(queries, ann.BITS)[0].all()
+    far = np.full(len(queries), ann.SUBSTRINGS * ann.BITS)
+    apart = np.bitwise_count(queries[:, None] ^ rows[None])
+    for s in (0, 3):
+        prefix = rows >> (ann.BITS - s)
+        parts = [(j, p, np.flatnonzero(prefix[:, j] == p)) for j in range(ann.SUBSTRINGS) for p in range(1 << s)]
+        earlier = set()
+        for f in range(ann.FLIPS + 1):
+            flips = np.full(len(queries), f)
+            made = [(int(x), int(at[y])) for j, p, at in parts for i, k in ann.Postings(rows[at], j, s, p).pairs(queries, flips, flips - 1, far) for x, y in zip(i, k, strict=True)]
+            assert len(made) == len(set(made)) and not earlier & set(made)
+            earlier |= set(made)
+            assert earlier == {(int(x), int(y)) for x, y in np.argwhere((apart <= f).any(2))}
+            within = np.argwhere(apart.sum(2, dtype=int) <= ann.SUBSTRINGS * (f + 1) - 1)
+            assert len(within) and {(int(x), int(y)) for x, y in within} <= earlier
+
+
+def test_index_splits_heavy_parts(spark, monkeypatch):
+    """Many rows and queries with one code, parts split in both directions: the pairs are those of a plain loop."""
+    monkeypatch.setattr(ann, "ROWS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 16, (300, ann.SUBSTRINGS), dtype=np.uint16)
+    codes[:150] = codes[0]
+    table = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(codes)], "id long, code binary")
+    asking = table.where("id % 10 = 0").select("id", "code", F.lit(2).alias("flips"), F.lit(-1).alias("seen"), F.lit(ann.SUBSTRINGS * ann.BITS).alias("reach"))
+    for s in (0, 2, 5):
+        index = ann.postings(table, s)
+        got = sorted(map(tuple, ann._retrieved(asking, index, s, ann._heavy(index, ann.ROWS, "wide")).collect()))
+        near = (np.bitwise_count(codes[::10, None] ^ codes[None]) <= 2).any(2)
+        assert got == [(int(q) * 10, int(r)) for q, r in np.argwhere(near)]
 
 
 def test_close_neighbours_read_few_postings(spark):
-    """Queries with near copies end after the first round and rank a small share of the rows."""
+    """Queries with near copies are done after one flip, which reads a small share of the postings, and no block is compared whole."""
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(300, 64)), 8, axis=0)
     x += 0.1 * rng.normal(size=x.shape)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    rows = rows.withColumn("ca", F.xxhash64("embedding")).withColumn("cb", F.xxhash64("embedding", F.lit(1))).withColumn("ids", F.array("vec_id"))
-    found = ann.rounds(rows.where("vec_id % 50 = 0").select("ca", "cb", "embedding"), rows, 5, ann.fit_index(rows, 64, 5)).collect()
-    assert {r["flips"] for r in found} == {1} and len(found) == 48 * 6
-    assert max(r["ranked"] for r in found) < 0.02 * len(x)
+    rows = spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(x)], "id long, embedding array<double>, ids array<long>")
+    index = ann.fit_index(rows.withColumnsRenamed({"id": "ca"}).withColumn("cb", F.col("ca")), 64, 5)
+    queries = rows.where("id % 50 = 0")
+    found = ann.found_by_codes(queries, rows, 5, index)
+    assert found.count() == 48 * 6 and found.where("q div 8 = r div 8").count() == 48 * 6
+    assert index[2] == 1 and ann._next(ann._ends(found, ann.coded(queries, index), 5), index[1], 1).isEmpty()
+    codes = ann.codes_of(ann._unit(x), index[0])
+    read = sum(len(q) for j in range(ann.SUBSTRINGS) for q, _ in ann.Postings(codes, j).near(codes[::50], np.ones(48, int)))
+    assert read < 0.1 * 48 * len(x)
 
 
 TOXIC = ["trashy", "blorgus", "snivel"]
