@@ -149,10 +149,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
-def fit_index(vectors: DataFrame, d: int, k: int) -> tuple[np.ndarray, int, int]:
+def fit_index(vectors: DataFrame, d: int, k: int, n: int) -> tuple[np.ndarray, int, int]:
     """(rotations, code distance beyond which hardly any neighbour lies, flips that would do for half of the
-    queries) from at most SAMPLE vectors of length d, the first of a digest order. In the whole table neighbours are
-    nearer than in a sample."""
+    queries) from at most SAMPLE vectors of length d, the first of a digest order. The k-th neighbour among all n
+    vectors lies where a sample has its (k * sample / n)-th, so that many neighbours of the sample are looked at, one at least."""
     sample = vectors.orderBy("ca", "cb").select("embedding").limit(SAMPLE).toArrow()
     x = _unit(_matrix(sample["embedding"]))
     rotations = learn_rotations(x, -(-SUBSTRINGS * BITS // d))
@@ -162,8 +162,9 @@ def fit_index(vectors: DataFrame, d: int, k: int) -> tuple[np.ndarray, int, int]
     q = min(PROBES, len(x))
     cos = x[:q] @ x.T
     cos[np.arange(q), np.arange(q)] = -2
-    best = np.argpartition(-cos, k, axis=1)[:, :k]
-    far = code_distance(np.repeat(c[:q], k, axis=0), c[best.ravel()])
+    r = max(1, -(-k * len(x) // n))
+    best = np.argpartition(-cos, r, axis=1)[:, :r]
+    far = code_distance(np.repeat(c[:q], r, axis=0), c[best.ravel()])
     last = np.median(np.take_along_axis(cos, best, 1).min(1))
     flips = next((f for f in range(1, FLIPS) if miss_chance(last, f) <= MISS), FLIPS)
     return rotations, int(np.ceil(np.quantile(far, QUANTILE))), flips
@@ -364,7 +365,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     for (d,) in sorted(classes.select(F.size("embedding")).distinct().collect()):
         mine = classes.where(F.size("embedding") == d)
         wanted = mine.join(asking.select("ca", "cb").distinct(), ["ca", "cb"], "left_semi")
-        part = found_by_codes(wanted, mine, k, fit_index(mine, d, k)).select("q", "r", "score")
+        part = found_by_codes(wanted, mine, k, fit_index(mine, d, k, mine.count())).select("q", "r", "score")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

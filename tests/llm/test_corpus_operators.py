@@ -174,7 +174,7 @@ def test_close_neighbours_read_few_postings(spark):
     x = np.repeat(rng.normal(size=(300, 64)), 8, axis=0)
     x += 0.1 * rng.normal(size=x.shape)
     rows = spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(x)], "id long, embedding array<double>, ids array<long>")
-    index = ann.fit_index(rows.withColumnsRenamed({"id": "ca"}).withColumn("cb", F.col("ca")), 64, 5)
+    index = ann.fit_index(rows.withColumnsRenamed({"id": "ca"}).withColumn("cb", F.col("ca")), 64, 5, len(x))
     queries = rows.where("id % 50 = 0")
     found = ann.found_by_codes(queries, rows, 5, index)
     assert found.count() == 48 * 6 and found.where("q div 8 = r div 8").count() == 48 * 6
