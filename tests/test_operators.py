@@ -328,3 +328,9 @@ def test_findings_are_counted_from_objects(spark):
     got = {r["doc_id"]: (r["n_annotations"], r["n_links"], r["xmp"], r["javascript"]) for r in f.collect()}
     assert got == {1: (2, 2, True, False), 2: (1, 0, False, True), 3: (0, 0, False, False)}
     assert {r["doc_id"]: (r["n_findings"], r["score"]) for r in scoring.privacy_scores(f).collect()} == {1: (3, 100 - 10 - 8 - 2), 2: (2, 100 - 15 - 7), 3: (0, 100)}
+
+
+def test_titles_keep_references_without_a_semicolon(spark):
+    cut = "<title>a&amp;&amp</title>", "<title>&amplt; &lt;b&gt;&#39;&eacute; & c\f d</title>", "<title>x&copy=1&#39 &nothing;</title>"
+    d = spark.createDataFrame(list(enumerate(cut)), "page_id long, html string")
+    assert [r["title"] for r in parsers.html_titles(d).orderBy("page_id").collect()] == ["a&&amp", "&amplt; <b>'é & c d", "x&copy=1&#39 &nothing;"]
