@@ -334,3 +334,11 @@ def test_titles_keep_references_without_a_semicolon(spark):
     cut = "<title>a&amp;&amp</title>", "<title>&amplt; &lt;b&gt;&#39;&eacute; & c\f d</title>", "<title>x&copy=1&#39 &nothing;</title>"
     d = spark.createDataFrame(list(enumerate(cut)), "page_id long, html string")
     assert [r["title"] for r in parsers.html_titles(d).orderBy("page_id").collect()] == ["a&&amp", "&amplt; <b>'é & c d", "x&copy=1&#39 &nothing;"]
+
+
+def test_blocks_are_handed_on_in_small_frames():
+    pd = pytest.importorskip("pandas")
+    page = "<p>a</p>" * 100
+    frames = list(parsers.block_frames(iter([pd.DataFrame({"k": range(500), "s": [page] * 499 + [page * 50]})]), parsers.PARSERS["html"]))
+    assert [len(f) <= parsers.BLOCKS_AT_ONCE for f in frames].count(False) == 1 and sum(map(len, frames)) == 499 * 100 + 5000
+    assert len(list(parsers.block_frames(iter([pd.DataFrame({"k": [], "s": []})]), parsers.PARSERS["html"]))[0]) == 0
