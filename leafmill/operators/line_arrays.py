@@ -83,3 +83,41 @@ def line_arrays(g: dict[str, np.ndarray], text: pa.Array, page_width: np.ndarray
         "font_size": medians(g["font_size"], line, starts), "bold": total("bold") >= np.ceil(n / 2), "rotation": medians(g["rotation"], line, starts), "rtl": backward,
         "band_top": top[of], "band_bottom": bottom[of], "font": font[page[starts]], "page_width": page_width[page[starts]],
     }
+
+
+def baseline_arrays(g: dict[str, np.ndarray], text: pa.Array, off_part: float, off_least: float, space_part: float, usual: float) -> dict[str, object]:
+    """The lines by baselines of items with text: ``page``, line, y, text, n_items.
+
+    ``g`` holds page (from 0, without gaps), y, x, item_id, width, height. The running mean is walked item by item."""
+    o = np.lexsort((g["x"], g["item_id"], -g["y"], g["page"]))
+    g, text = {k: v[o] for k, v in g.items()}, text.take(pa.array(o))
+    page, tall = g["page"], np.abs(g["height"])
+    height = np.full(page[-1] + 1, usual)
+    some = tall > 0
+    if some.any():
+        of, renumbered, n = np.unique(page[some], return_inverse=True, return_counts=True)
+        height[of] = medians(tall[some], renumbered, np.cumsum(n) - n)
+    off = np.maximum(off_least, height * off_part)
+    new, means = np.zeros(len(page), bool), []
+    last, mean, n, near = -1, 0.0, 0, 0.0
+    for i, (p, y) in enumerate(zip(page.tolist(), g["y"].tolist(), strict=True)):
+        if p == last and abs(y - mean) <= near:
+            mean, n = (mean * n + y) / (n + 1), n + 1
+            means[-1] = mean
+        else:
+            new[i], last, mean, n, near = True, p, y, 1, off[p]
+            means.append(y)
+    starts, line = np.flatnonzero(new), np.cumsum(new) - 1
+    o = np.lexsort((np.arange(len(page)), g["x"], line))
+    x, right, text = g["x"][o], (g["x"] + g["width"])[o], text.take(pa.array(o))
+    space = np.zeros(len(x), bool)
+    space[1:] = ~new[1:] & (x[1:] - right[:-1] > (height * space_part)[page[1:]])
+    if pc.any(pc.match_substring_regex(text, "[\t\n\x0b\f\r ]")).as_py():
+        blank = lambda p: pc.match_substring_regex(text, p).to_numpy(zero_copy_only=False)
+        space[1:] &= ~(blank(r"[\t\n\x0b\f\r ](?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z")[:-1] | blank("^[\t\n\x0b\f\r ]")[1:])
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(space), " ", ""), text, "")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(x)), pa.int32()), pieces), "")
+    at = page[starts]
+    return {
+        "page": at, "line": np.arange(len(at)) - np.searchsorted(at, at), "y": np.array(means), "text": pc.replace_substring_regex(joined, "[ \t]{2,}", " "), "n_items": np.diff(np.append(starts, len(x))),
+    }

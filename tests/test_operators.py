@@ -374,3 +374,12 @@ def test_line_arrays_against_rows(spark):
     want = layout.lines_of(layout.banded(d, p)).withColumn("rtl", F.col("direction") == "rtl")
     want = want.select("doc_id", "band", "seg", "x", "y", "width", "height", "font_size", "bold", "rotation", "rtl", "band_top", "band_bottom", "font", "text")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_baselines_set_from_texts_are_those_of_their_glyphs(spark):
+    d = docs(spark, "a b c d e f g h i\n\n j" * 90, "\u6f22\u5b57 x", "\u00a0 \u2003 z\u00a0", "\u00a0", "", None, "w" * 200 + " x" * 20)
+    got = text_lines.set_baseline_lines(d)
+    g, _ = layout.synthetic_glyphs(d)
+    want = text_lines.baseline_lines(g.withColumn("y", 800.0 - F.col("y"))).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() > 100
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
