@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from ..functions.durable import dropped, written
 
 SAMPLE, PROBES = 4096, 512
+#: Pairs of near vectors of the sample that the code distance is taken from at least.
+NEAR = 200
 SUBSTRINGS, BITS = 24, 16
 #: Flips of a substring that are looked up at most.
 FLIPS = 3
@@ -152,21 +154,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def fit_index(vectors: DataFrame, d: int, k: int, n: int) -> tuple[np.ndarray, int, int]:
     """(rotations, code distance beyond which hardly any neighbour lies, flips that would do for half of the
     queries) from at most SAMPLE vectors of length d, the first of a digest order. The k-th neighbour among all n
-    vectors lies where a sample has its (k * sample / n)-th, so that many neighbours of the sample are looked at, one at least."""
+    vectors lies where a sample has its (k * sample / n)-th, so that many neighbours of the sample are looked at. Where that is less
+    than one a probe, the nearest ones of all probes are, so that the distance falls as n grows; NEAR of them at least, which
+    holds it where it is beyond k * SAMPLE ** 2 / NEAR vectors."""
     sample = vectors.orderBy("ca", "cb").select("embedding").limit(SAMPLE).toArrow()
     x = _unit(_matrix(sample["embedding"]))
     rotations = learn_rotations(x, -(-SUBSTRINGS * BITS // d))
     c = codes_of(x, rotations)
     if len(x) <= k + 1:
         return rotations, SUBSTRINGS * BITS, FLIPS
-    q = min(PROBES, len(x))
-    cos = x[:q] @ x.T
-    cos[np.arange(q), np.arange(q)] = -2
     r = max(1, -(-k * len(x) // n))
-    best = np.argpartition(-cos, r, axis=1)[:, :r]
-    far = code_distance(np.repeat(c[:q], r, axis=0), c[best.ravel()])
-    last = np.median(np.take_along_axis(cos, best, 1).min(1))
+    # Among n vectors so many of a probe's neighbours lie as near as its k-th: less than one of them is in a small sample.
+    share = min(1.0, k * len(x) / (n * r))
+    probes = min(len(x), max(PROBES, int(np.ceil(NEAR / (share * r)))))
+    scores, far = [], []
+    for at in range(0, probes, PROBES):
+        some = np.arange(at, min(at + PROBES, probes))
+        cos = x[some] @ x.T
+        cos[np.arange(len(some)), some] = -2
+        best = np.argpartition(-cos, r, axis=1)[:, :r]
+        scores.append(np.take_along_axis(cos, best, 1))
+        far.append(code_distance(np.repeat(c[some], r, axis=0), c[best.ravel()]))
+    scores, far = np.concatenate(scores), np.concatenate(far)
+    last = np.median(scores.min(1))
     flips = next((f for f in range(1, FLIPS) if miss_chance(last, f) <= MISS), FLIPS)
+    nearest_pairs = np.argsort(-scores.ravel(), kind="stable")[: max(NEAR, int(np.ceil(share * len(far))))]
+    far = far[nearest_pairs]
     return rotations, int(np.ceil(np.quantile(far, QUANTILE))), flips
 
 

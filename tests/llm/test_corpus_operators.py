@@ -168,6 +168,14 @@ def test_index_splits_heavy_parts(spark, monkeypatch):
         assert got == [(int(q) * 10, int(r)) for q, r in np.argwhere(near)]
 
 
+def test_code_distance_falls_as_the_table_grows_beyond_its_sample(spark):
+    """Where a sample holds less than one of a row's k nearest, the distance follows the number of rows still."""
+    x = np.random.default_rng(4).normal(size=(700, 64))
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "ca long, cb long, embedding array<double>")
+    far = [ann.fit_index(rows, 64, 5, n * len(x))[1] for n in (1, 5, 30)]
+    assert far[0] > far[1] > far[2] > 0
+
+
 def test_close_neighbours_read_few_postings(spark):
     """Queries with near copies are done after one flip, which reads a small share of the postings, and no block is compared whole."""
     rng = np.random.default_rng(2)
