@@ -104,10 +104,9 @@ def end_states(chunk: Column, delimiter: Column) -> Column:
     return F.aggregate(F.split(marks, ""), F.lit(STATES), step)
 
 
-def _cut(texts: DataFrame, delimiter: str | None, size: int) -> DataFrame:
-    """Chunks of about ``size`` bytes, cut between characters, each with the states it ends in."""
-    d = F.lit(delimiter) if delimiter else detected_delimiter(F.col("source"))
-    t = texts.where("source is not null").select("doc_id", F.monotonically_increasing_id().alias("text"), d.alias("delimiter"), F.col("source").cast("binary").alias("source"))
+def _cut(texts: DataFrame, size: int) -> DataFrame:
+    """Chunks of about ``size`` bytes of texts (doc_id, text, delimiter, source), cut between characters, each with the states it ends in."""
+    t = texts.withColumn("source", F.col("source").cast("binary"))
     inside = lambda at: F.substring("source", at + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
     between = lambda at: F.when(~inside(at), at).when(~inside(at + 1), at + 1).when(~inside(at + 2), at + 2).otherwise(at + 3)
     last = F.expr(f"greatest(octet_length(source) - 1, 0) div {size}").cast("int")
@@ -150,8 +149,34 @@ def _tokens(chunks: DataFrame) -> DataFrame:
 def csv_rows(texts: DataFrame, delimiter: str | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, row (from 0), cells of every text (doc_id, source); the delimiter is found by a sample unless given.
 
-    A null text has no rows; rows with one doc_id or without are separate texts (column ``text``)."""
-    chunks = written(_cut(texts, delimiter, chunk_bytes), "csv-chunks")
+    A text of one chunk is read inside its row, so only longer ones are cut, sent and written. A null text has
+    no rows; rows with one doc_id or without are separate texts (column ``text``)."""
+    d = F.lit(delimiter) if delimiter else detected_delimiter(F.col("source"))
+    short = F.octet_length("source") <= chunk_bytes
+
+    def numbered(some: DataFrame, odd: int) -> DataFrame:
+        # Even numbers for short texts and odd ones for long, as the two are numbered apart.
+        return some.select("doc_id", (F.monotonically_increasing_id() * 2 + odd).alias("text"), d.alias("delimiter"), "source")
+
+    out = _whole_rows(numbered(texts.where(short), 0))
+    long = numbered(texts.where(~short), 1)
+    return out if long.isEmpty() else out.unionByName(_chunked_rows(long, chunk_bytes))
+
+
+def _whole_rows(texts: DataFrame) -> DataFrame:
+    """The rows of texts (doc_id, text, delimiter, source) of one chunk each."""
+    size = F.aggregate("raw", F.lit(0), lambda a, r: a + F.length(r))
+    t = texts.withColumn("raw", F.regexp_extract_all("source", _row_pattern(F.col("delimiter")), F.lit(0))).withColumn("rest", F.substr("source", size + 1, F.length("source")))
+    # What stands behind the last row is one, unless its quote never closes.
+    is_open = _translate(F.lit("S"), STATES, end_states(F.col("rest"), F.col("delimiter"))).isin("E", "Q")
+    raw = F.concat("raw", F.when((F.col("rest") == "") | is_open, F.array().cast("array<string>")).otherwise(F.array("rest")))
+    rows = F.filter(F.transform(raw, lambda r: cells_of(F.regexp_replace(r, r"[\r\n]\z", ""), F.col("delimiter"))), _some)
+    return t.select("doc_id", "text", F.posexplode(rows).alias("row", "cells")).select("doc_id", "text", F.col("row").cast("long").alias("row"), "cells")
+
+
+def _chunked_rows(texts: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The rows of texts (doc_id, text, delimiter, source) of any size."""
+    chunks = written(_cut(texts, chunk_bytes), "csv-chunks")
     tokens = written(_tokens(chunks), "csv-rows")
     dropped(chunks)
     sums = with_offsets(tokens.select("text", "chunk", "n"), ["text"], "chunk", {"n": "_before"}).select("text", "chunk", "_before")

@@ -105,3 +105,13 @@ def test_a_large_text_is_read_in_many_tasks(spark):
     assert (row["n"], row["s"], row["ok"]) == (n, n * (n - 1) // 2, n)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_texts_of_one_chunk_are_read_in_their_rows(spark):
+    """Short texts are neither sent nor written; beside a long one they keep their rows and numbers of their own."""
+    short = spark.createDataFrame([(1, 'a,"b\nc"\n\nd'), (2, 'x\n"open'), (2, "y,\r\n,"), (3, ",\n")], "doc_id long, source string")
+    rows = delimited.csv_rows(short, ",")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(read(rows).values()) == [[["a", "b\nc"], ["d"]], [["x"]], [["y", ""]]]
+    both = read(delimited.csv_rows(short.unionByName(spark.createDataFrame([(4, "l,m\n" * 20)], short.schema)), ",", 16))
+    assert len(both) == 4 and sorted(both.values())[1] == [["l", "m"]] * 20
