@@ -1,35 +1,97 @@
 """Which of many terms occur in many texts: a join on grams, then an exact test.
 
 White space and case are ignored. Each term picks one gram of its squeezed text, the one that the fewest texts of a sample
-hold (the sample changes the cost only), so common grams are met by few terms. Texts give each distinct gram once a
-piece; grams meet terms in an equi-join whose heavy grams Spark splits. Terms no longer than a gram are found by
+hold (the sample changes the cost only), so common grams are met by few terms. Texts give each distinct gram that a filter
+of the chosen ones lets through; these meet terms in an equi-join whose heavy grams Spark splits. Terms no longer than a gram are found by
 that; for others the texts in question, equal ones once, are tested whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import written
+from ..functions.durable import dropped, written
 from ..functions.scalars import squeezed, strip_space
 
 GRAM, LEAST = 6, 3
 #: Characters in a piece of a text, and one of how many texts is in the sample.
-PIECE, SAMPLED = 4096, 32
+PIECE, SAMPLED = 1 << 20, 32
+#: Bits of a place in the filter of grams.
+FILTER = 23
+
+
+def _places(points: np.ndarray, size: int) -> np.ndarray:
+    """The place in the filter of the stretch of ``size`` characters from each character on."""
+    n = len(points) - size + 1
+    h = np.full(max(n, 0), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : n + k]
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _passing(text: str, sizes: list[int], words: np.ndarray, most: int) -> set[str]:
+    """The distinct stretches of those sizes that the filter lets through, piece by piece; pieces overlap by a gram."""
+    out = set()
+    for at in range(0, len(text), most):
+        piece = text[at : at + most + GRAM - 1]
+        points = _points(piece)
+        for size in sizes:
+            place = _places(points, size)
+            hit = np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            out.update(piece[i : i + size] for i in hit.tolist())
+    return out
+
+
+def _exploded(rows: DataFrame, grams: Callable[[str], Iterable[str]]) -> DataFrame:
+    """key, gram: the grams of rows (key, hay)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [list(grams(t)) for t in b["hay"].to_pylist()]
+            key = b["key"].take(pa.array(np.repeat(np.arange(len(each)), [len(g) for g in each])))
+            yield pa.RecordBatch.from_arrays([key, pa.array([g for some in each for g in some], pa.string())], ["key", "gram"])
+
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return rows.select("key", "hay").mapInArrow(found, "key string, gram string")
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A bit for the place of every gram, in words: 1 MB whatever their number. An exact join stands behind it."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = np.array([_places(_points(g), len(g))[0] for g in b["gram"].to_pylist()], np.uint64)
+            bit = np.left_shift(np.uint64(1), place & np.uint64(63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["word", "bit"])
+
+    t = grams.select("gram").distinct().mapInArrow(placed, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (FILTER - 6), np.uint64)
+    words[np.asarray(t["word"])] = np.asarray(t["bits"]).view(np.uint64)
+    return words
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    """array<string>: all distinct stretches of that many characters."""
-    pattern = F.concat(F.lit("(?s)(?=(.{"), (F.lit(size) if isinstance(size, int) else size).cast("string"), F.lit("}))"))
-    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
+def _text_grams(texts: DataFrame, sizes: list[int], wanted: DataFrame) -> DataFrame:
+    """key, gram: of the grams of (key, hay), those that may be wanted (column gram)."""
+    held = texts.sparkSession.sparkContext.broadcast(_filter(wanted))
+    most = PIECE
+    return _exploded(texts, lambda t: _passing(t, sizes, held.value, most))
 
 
-def _text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """key, gram: the grams of (key, hay), piece by piece; pieces overlap by a gram."""
-    pieces = F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    each = texts.select("key", F.explode(pieces).alias("piece"))
-    return each.select("key", F.explode(F.concat(*[_grams(F.col("piece"), s) for s in sizes])).alias("gram"))
+def _own_grams(needle: str) -> set[str]:
+    size = min(len(needle), GRAM)
+    return {needle[i : i + size] for i in range(len(needle) - size + 1)}
 
 
 def checked_terms(terms: DataFrame) -> DataFrame:
@@ -46,17 +108,18 @@ def terms_found(texts: DataFrame, terms: DataFrame) -> DataFrame:
     sizes = [r["size"] for r in t.select("size").distinct().orderBy("size").collect()]  # GRAM values at most
     if not sizes:
         return t.select("term")
-    keyed = texts.where("text is not null").select(F.md5("text").alias("key"), F.col("text"))
-    hays = keyed.select("key", squeezed(F.col("text")).alias("hay"))
-    own = t.select("term", "needle", F.explode(_grams(F.col("needle"), F.col("size"))).alias("gram"))
+    # Texts may cost much to make (redaction), so they are squeezed once and read thrice.
+    hays = written(texts.where("text is not null").select(F.md5("text").alias("key"), squeezed(F.col("text")).alias("hay")), "squeezed-texts")
+    own = written(_exploded(t.select(F.col("term").alias("key"), F.col("needle").alias("hay")), _own_grams), "own-grams")
     sample = hays.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0)
-    common = _text_grams(sample, sizes).join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    common = _text_grams(sample, sizes, own).join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram"))
-    chosen = written(own.join(common, "gram", "left").groupBy("term", "needle").agg(rarest.alias("gram")), "chosen-grams")
-    met = _text_grams(hays, sizes).join(chosen, "gram")
+    chosen = own.join(common, "gram", "left").groupBy(F.col("key").alias("term")).agg(rarest.alias("gram")).join(t.select("term", "needle"), "term")
+    chosen = written(chosen, "chosen-grams")
+    met = written(_text_grams(hays, sizes, chosen).join(chosen, "gram").select("key", "term", "needle").distinct(), "terms-to-test")
+    dropped(own)
     short = F.length("needle") <= GRAM
-    sure = met.where(short).select("term").distinct()
-    asked = written(met.where(~short).select("key", "term", "needle").distinct(), "terms-to-test")
-    some = keyed.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    tested = some.select("key", squeezed(F.col("text")).alias("hay")).join(asked, "key").where(F.contains("hay", F.col("needle"))).select("term").distinct()
+    sure, asked = met.where(short).select("term").distinct(), met.where(~short)
+    some = hays.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("hay").alias("hay"))
+    tested = some.join(asked, "key").where(F.contains("hay", F.col("needle"))).select("term").distinct()
     return sure.unionByName(tested)

@@ -33,3 +33,12 @@ def test_there_is_no_limit_of_terms(spark):
     many = spark.range(n).select(F.concat(F.lit("common beginning "), F.col("id").cast("string"), F.lit(" end")).alias("term"))
     texts = spark.range(300).select(F.concat(F.lit("x common beginning "), (F.col("id") * 1001).cast("string"), F.lit(" end; common beginning of no term")).alias("text"))
     assert terms.terms_found(texts, many).count() == len([k for k in range(300) if k * 1001 < n])
+
+
+def test_only_grams_that_may_be_wanted_are_sent(spark):
+    """Of a text's thousands of grams those of no term stay in its row."""
+    text = " ".join(f"word{i * 7919}" for i in range(3000)).replace(" ", "")
+    texts = spark.createDataFrame([("k", text)], "key string, hay string")
+    got = terms._text_grams(texts, [3, 6], spark.createDataFrame([("word79",), ("d79",), ("absent",)], "gram string"))
+    found = {r["gram"] for r in got.collect()}
+    assert {"word79", "d79"} <= found and len(found) < 100 and all(g in text for g in found)
